@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import licenses, quality, secrets
+from quillon.llm import jaccard, licenses, quality, secrets
 from quillon.llm.shared import documents_of
 
 
@@ -16,9 +16,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents_of(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents_of(spark, sf_dir), n=3, percent=90)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op_scores(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan}
-SQL: dict[str, str] = {"op1_license_scan": licenses.sql()}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan}
+SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90)}
