@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import jaccard, licenses, quality, secrets
+from quillon.llm import jaccard, licenses, quality, secrets, substrings
 from quillon.llm.shared import documents_of
 
 
@@ -20,9 +20,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents_of(spark, sf_dir), n=3, percent=90)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(documents_of(spark, sf_dir), window=35, keep_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op_scores(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan}
-SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90)}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan}
+SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90), "op4_substring_dedup": substrings.sql(35)}
