@@ -3,7 +3,10 @@
 A text's segments are its lines and the text as a whole. Segments and templates are normalised alike:
 lower case, everything but ASCII letters and digits a space. With |A| and |B| bigrams a Dice coefficient of t
 or more needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, so a segment meets only the templates within these
-bounds; shared bigrams are then found by a join with the templates' bigrams, a table of fixed size.
+bounds; shared bigrams are then found by a join with the templates' bigrams, a table of fixed size. Such a
+segment also shares t / (2 - t) of the template's bigrams at least. `telling_words` picks words that occur in
+more than the rest of every template's bigrams: a text or line without any of them can't match and is passed
+over early.
 
 Defined results: a null or empty text, and one that matches nothing, has null license and dice and no
 matching segments; equal scores go to the licence first by name; repeated rows each give a row; other
@@ -12,6 +15,10 @@ columns are ignored. A segment of one word has no bigrams and matches nothing.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +48,9 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+# Function words that texts of any kind hold; they tell nothing of licences.
+COMMON_WORDS = frozenset("a all an and any as at be but by for from if in is it no not of on one or that the this to under was with without you".split())
+
 
 def normalised(c: Column) -> Column:
     """Lower case; line ends stay, any other run of characters but ASCII letters and digits becomes one space."""
@@ -65,6 +75,29 @@ def templates(spark: SparkSession, texts=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, schema).select("license", "template", grams.alias("grams"), F.size(grams).alias("n_template"))
 
 
+def telling_words(texts=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every segment that matches a template holds one: greedily, those in many bigrams and long, common words last."""
+    grams, need = [], []
+    for _, text in texts:
+        w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        grams.append(set(zip(w, w[1:])))
+        need.append(int(len(grams[-1]) * (1 - threshold / (2 - threshold)) + 1e-9) + 1)
+    chosen: list[str] = []
+    while any(n > 0 for n in need):
+        gain = lambda word: sum(min(n, sum(word in g for g in part)) for part, n in zip(grams, need) if n > 0) * (0.01 if word in COMMON_WORDS else len(word))  # noqa: B023, E731
+        word = max(sorted({w for part in grams for g in part for w in g}), key=gain)
+        chosen.append(word)
+        need = [n - sum(word in g for g in part) for part, n in zip(grams, need)]
+        grams = [{g for g in part if word not in g} for part in grams]
+    return chosen
+
+
+def _holds_any(c: Column, words: list[str]) -> Column:
+    """Whether the lower-case text holds one of the words, be it (if it is long) within another; a superset, and cheap."""
+    held = lambda t, w: F.contains(t, F.lit(w)) if len(w) > 3 else t.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])")
+    return F.exists(F.array(F.lower(c)), lambda t: reduce(or_, (held(t, w) for w in words)))
+
+
 def matches(docs: DataFrame, texts=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The matching segments of docs(_row, text): _row, segment (line number from 0; the number of lines for the whole text), license, template, dice."""
     known = templates(docs.sparkSession, texts)
@@ -74,8 +107,9 @@ def matches(docs: DataFrame, texts=TEMPLATES, threshold: float = THRESHOLD) -> D
     text = normalised(F.col("text"))
     lines = F.split(text, "\n")
     whole = F.when(F.contains(F.col("text"), F.lit("\n")), F.array(text)).otherwise(F.array().cast("array<string>"))
-    segments = docs.where("text is not null").select("_row", F.posexplode(F.concat(lines, whole)).alias("segment", "line"))
-    counted = segments.where(F.length("line") >= 2 * least).withColumn("_g", _bigrams(_words(F.col("line")))).withColumn("n", F.size("_g")).where(F.col("n").between(least, most))
+    telling = telling_words(texts, threshold)
+    segments = docs.where(_holds_any(F.col("text"), telling)).select("_row", F.posexplode(F.concat(lines, whole)).alias("segment", "line"))
+    counted = segments.where((F.length("line") >= 2 * least) & _holds_any(F.col("line"), telling)).withColumn("_g", _bigrams(_words(F.col("line")))).withColumn("n", F.size("_g")).where(F.col("n").between(least, most))
     bigrams = counted.select("_row", "segment", "n", F.explode("_g").alias("gram"))
     wanted = known.select("license", "template", "n_template", F.explode("grams").alias("gram"))
     near = bigrams.join(F.broadcast(wanted), "gram").where(F.col("n").between(F.col("n_template") * F.lit(threshold / (2 - threshold)), F.col("n_template") * F.lit((2 - threshold) / threshold)))
