@@ -118,23 +118,27 @@ def _links(texts: DataFrame, sieve: DataFrame, n: int, percent: int, fragments:
     """Links (u, v) between class representatives that give the same components as all links."""
     classes = sieve.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("r"))
     reps = classes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "k1", "k2")
-    fronts = sieve.join(reps, ["doc_id", "h", "k1", "k2"]).dropDuplicates(["doc_id", "h", "k1", "k2"])
-    posted = fronts.select("doc_id", "h", "n", "need", F.explode("front").alias("tok"))
+    fronts = written(sieve.join(reps, ["doc_id", "h", "k1", "k2"]).dropDuplicates(["doc_id", "h", "k1", "k2"]), "fronts")
+    # Here k1 stands for the class: if two classes had it in common, both would only pass more easily.
+    posted = fronts.select("k1", F.explode("front").alias("tok"))
     common = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("tok")
-    through = written(posted.join(common, "tok").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("_c"), F.first("need").alias("need")).where("_c >= need").select("doc_id", "h"), "through")
+    passed = posted.join(common.hint("shuffle_hash"), "tok").groupBy("k1").agg(F.count(F.lit(1)).alias("_c"))
+    through = written(fronts.select("doc_id", "h", "k1", "need").join(passed, "k1").where("_c >= need").select("doc_id", "h"), "through")
+    dropped(fronts)
 
     chosen = texts.join(through, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    sets = chosen.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_rows(n), "rep long, n long, toks array<long>")
-    tokens = written(sets.select("rep", "n", F.explode("toks").alias("tok")), "tokens")
+    whole = written(chosen.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_rows(n), "rep long, n long, toks array<long>"), "whole")
+    tokens = whole.select("rep", F.explode("toks").alias("tok"))
     df = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # The place in the global order: rarer first, then by hash.
     place = F.shiftleft(F.least("df", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftrightunsigned("tok", 21))
-    shared = written(tokens.join(df, "tok").select("rep", "n", "tok", place.alias("place")), "shared")
+    shared = written(tokens.join(df.hint("shuffle_hash"), "tok").select("rep", "tok", place.alias("place")), "shared")
     cuts = sorted(set(shared.agg(F.percentile_approx("place", [i / fragments for i in range(1, fragments)], 1000).alias("c")).first()["c"] or []))
     frag = sum((F.when(F.col("place") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    sets = written(shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("toks")), "sets")
+    ordered = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "tok"))).alias("toks"))
+    sets = written(whole.select("rep", "n").join(ordered, "rep"), "sets")
     segments = written(shared.withColumn("frag", frag).groupBy("rep", "frag").agg(F.collect_list("tok").alias("toks")), "segments")
-    dropped(tokens)
+    dropped(whole)
     dropped(shared)
 
     alone = F.col("n") - F.size("toks")  # shingles of this set alone, which come first

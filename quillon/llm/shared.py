@@ -34,6 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what has just been written
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out
