@@ -5,7 +5,9 @@
    have equal anchors at equal places, so a window that repeats has an anchor that repeats; no window is lost.
 2. Anchors that repeat are extended to twice the length, to either side. A window holds one of the two
    extensions whole, so anchors with neither repeated are dropped.
-3. The survivors' windows, those that hold a surviving extension, are counted at full length (128-bit hashes).
+3. The survivors' windows, those that hold a surviving extension, are counted at full length (96-bit hashes).
+   Texts that occur twice or more repeat in all their windows. One of them stands for all in the counts, and
+   none needs its windows looked up again.
    Further doublings (`longest`) go on from windows that repeat until no candidate survives.
 4. Windows that occur twice or more are marked and the words they cover removed, judged on the input throughout.
 
@@ -90,7 +92,7 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _window_rows(window: int):
-    """From (doc_id, h, text, ats): the windows that hold an extension at one of `ats`, with two hashes each."""
+    """From (doc_id, h, text, ats, weight): the windows that hold an extension at one of `ats`, with two hashes each."""
     _, double = levels(window)
 
     def scan(batches):
@@ -108,39 +110,52 @@ def _window_rows(window: int):
                     np.add.at(mark, at + 1, -1)  # ... to the extension itself
                 starts = np.flatnonzero((np.cumsum(mark)[: len(inside)] > 0) & inside)
                 doc = np.searchsorted(w.first, starts, side="right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(doc)), batch.column(1)[a:b].take(pa.array(doc)), pa.array((starts - w.first[doc]).astype(np.int32)), pa.array(signed(w.grams(window)[starts])), pa.array(signed(w.grams(window, salt=2)[starts]))], names=["doc_id", "h", "start", "w1", "w2"])
+                second = signed(w.grams(window, salt=2)[starts]) >> 32
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b].take(pa.array(doc)) for c in (0, 1, 4)), pa.array((starts - w.first[doc]).astype(np.int32)), pa.array(signed(w.grams(window)[starts])), pa.array(second.astype(np.int32))], names=["doc_id", "h", "weight", "start", "w1", "w2"])
 
     return scan
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of docs(doc_id, h, text), h being a hash of the text: the starts of windows that occur twice or more, as (doc_id, h, start), in words from 0."""
-    found = written(docs.select("doc_id", "h", "text").mapInArrow(_anchor_rows(window), "doc_id long, h long, at int, gram long, left long, right long"), "anchors")
+def copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, h, text) whose text occurs twice or more: (doc_id, h, first), first marking one key for each text."""
+    keyed = docs.where("text is not null").select("doc_id", "h", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    many = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("doc_id", "h")).alias("_f")).where("_c > 1")
+    return keyed.join(many, ["k1", "k2"]).select("doc_id", "h", (F.col("_f") == F.struct("doc_id", "h")).alias("first")).distinct()
+
+
+def repeated_windows(docs: DataFrame, same: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of docs(doc_id, h, text), h being a hash of the text: the starts of windows that occur twice or more, as (doc_id, h, start), in words from 0. Those of the rows in `same`, see copies(), are left out: all of theirs do."""
+    found = written(docs.select("doc_id", "h", "text").mapInArrow(_anchor_rows(window), "doc_id long, h int, at int, gram long, left long, right long"), "anchors")
     repeats = lambda rows, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    one = written(found.join(repeats(found, "gram"), "gram").select("doc_id", "h", "at", "left", "right"), "level1")
+    one = written(found.join(repeats(found, "gram").hint("shuffle_hash"), "gram").select("doc_id", "h", "at", "left", "right"), "level1")
     dropped(found)
     n, double = levels(window)
     sides = one.select("doc_id", "h", (F.col("at") - (double - n)).alias("at"), F.col("left").alias("wide")).union(one.select("doc_id", "h", "at", F.col("right").alias("wide"))).where("wide <> 0")
     # A place may be an extension of two anchors and so count twice: it survives one level more than it need.
-    two = sides.join(repeats(sides, "wide"), "wide")
+    two = sides.join(repeats(sides, "wide").hint("shuffle_hash"), "wide")
     held = written(two.groupBy("doc_id", "h").agg(F.collect_set("at").alias("ats")), "level2")
     dropped(one)
-    texts = docs.join(held, ["doc_id", "h"]).select("doc_id", "h", "text", "ats")
-    windows = written(texts.mapInArrow(_window_rows(window), "doc_id long, h long, start int, w1 long, w2 long"), "windows")
+    needed = held.join(same, ["doc_id", "h"], "left").where("first is null or first").select("doc_id", "h", "ats", F.when(F.col("first"), 2).otherwise(1).alias("weight"))
+    texts = docs.join(needed, ["doc_id", "h"]).select("doc_id", "h", "text", "ats", "weight")
+    windows = written(texts.mapInArrow(_window_rows(window), "doc_id long, h int, weight int, start int, w1 long, w2 int"), "windows")
     dropped(held)
-    return windows.join(repeats(windows, "w1", "w2"), ["w1", "w2"]).select("doc_id", "h", "start")
+    many = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("_c")).where("_c > 1").drop("_c")
+    starts = written(windows.where("weight = 1").select("doc_id", "h", "start", "w1", "w2").join(many.hint("shuffle_hash"), ["w1", "w2"]).select("doc_id", "h", "start"), "starts")
+    dropped(windows)
+    return starts
 
 
 def _clean_rows(keep_text: bool, window: int):
-    """From (doc_id, h, text, starts): words, removed words and the kept words, or their hash."""
+    """From (doc_id, h, text, starts, whole): words, removed words and the kept words, or their hash."""
 
     def scan(batches):
         for batch in batches:
-            texts, starts, out = batch.column(2), batch.column(3), []
+            texts, starts, whole, out = batch.column(2), batch.column(3), batch.column(4), []
             for i in range(len(texts)):
                 words = (texts[i].as_py() or "").encode().split()
                 kept, at = [], 0
-                for x, y in _spans(np.array(starts[i].as_py() or [], dtype=np.int64), window):
+                begin = range(len(words) - window + 1) if whole[i].as_py() else starts[i].as_py() or []
+                for x, y in _spans(np.array(begin, dtype=np.int64), window):
                     kept += words[at:x]
                     at = y
                 kept += words[at:]
@@ -153,24 +168,27 @@ def _clean_rows(keep_text: bool, window: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with the key (doc_id, h); one of a null doc_id has the key (0, h), and `own` keeps what it had."""
+    """Rows with the key (doc_id, h), h being 32 bits that only tell texts of one doc_id apart; a null doc_id has the key (0, h), and `own` keeps what it had."""
     own = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("h"), "text", own.alias("own"))
+    return docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), F.hash("text").alias("h"), "text", own.alias("own"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, n_removed, kept (the remaining words joined by one space, or with keep_text=False their SHA-256)."""
     rows = _keyed(docs)
-    starts = repeated_windows(rows, window).groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts"))
-    joined = rows.join(starts, ["doc_id", "h"], "left").select(F.col("own").alias("doc_id"), "h", "text", "starts")
+    same = written(copies(rows), "copies")
+    marks = repeated_windows(rows, same, window).groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts")).withColumn("whole", F.lit(False))
+    marks = marks.union(same.select("doc_id", "h", F.lit(None).cast("array<int>"), F.lit(True)))
+    joined = rows.join(marks, ["doc_id", "h"], "left").select(F.col("own").alias("doc_id"), "h", "text", "starts", "whole")
     return joined.mapInArrow(_clean_rows(keep_text, window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def longest(docs: DataFrame, window: int = WINDOW) -> list[tuple[int, int]]:
-    """The doublings from `window` on: (length, windows that repeat at it), until none does."""
-    rows = _keyed(docs)
+    """The doublings from `window` on: (length, windows of different texts that repeat at it), until none does."""
+    rows = _keyed(docs.dropDuplicates(["text"]))
+    same = copies(rows)
     out, length = [], window
-    while n := repeated_windows(rows, length).count():
+    while n := repeated_windows(rows, same, length).count():
         out.append((length, n))
         length *= 2
     return out
