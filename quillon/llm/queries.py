@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import embeddings, jaccard, licenses, quality, secrets, substrings
+from quillon.llm import embeddings, jaccard, licenses, quality, secrets, sharding, substrings
 from quillon.llm.shared import documents_of
 
 
@@ -28,9 +28,13 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents_of(spark, sf_dir), shards=24)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op_scores(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op6_sharding": op6_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan}
 SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90), "op4_substring_dedup": substrings.sql(35), "op7_embedding_near_dedup": embeddings.sql(0.98)}
