@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import embeddings, jaccard, licenses, quality, secrets, sharding, substrings
+from quillon.llm import buckets, embeddings, jaccard, licenses, quality, secrets, sharding, substrings, tokens
 from quillon.llm.shared import documents_of
 
 
@@ -20,6 +20,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents_of(spark, sf_dir), n=3, percent=90)
 
 
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.pack(documents_of(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(documents_of(spark, sf_dir), window=35, keep_text=False).withColumnRenamed("kept", "kept_sha256")
 
@@ -36,5 +40,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op_scores(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op6_sharding": op6_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan}
+def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pack(documents_of(spark, sf_dir))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op3_length_buckets": op3_length_buckets, "op4_substring_dedup": op4_substring_dedup, "op6_sharding": op6_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan, "op10_packed_tokens": op10_packed_tokens}
 SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90), "op4_substring_dedup": substrings.sql(35), "op7_embedding_near_dedup": embeddings.sql(0.98)}
