@@ -2,7 +2,7 @@
 
 1. Each text becomes a set of 64-bit shingle hashes. Equal sets form a class, represented by one row.
 2. Sieve: in hash order, two sets that link share `need` of their first `need + p - 1` shingles, p being the
-   usual prefix length. Classes that share fewer with all others together can't link; only the others go on.
+   usual prefix length and need as long. Classes that share fewer with all others together can't link; only the others go on.
 3. Their shingles are put in one global order, rarest first. Those of one class alone stay at the front, as
    a number. The order is cut into fragments of about equal mass, so a set becomes one segment a fragment.
 4. Candidates share a shingle within both prefixes, at positions that leave the overlap in reach. The overlap
@@ -55,7 +55,7 @@ def shingle_sets(texts: pa.Array, n: int):
 def prefix_lengths(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Of sets of these sizes, how many of the first shingles to look at, and how many of them a partner shares at least."""
     p = size - -(-percent * size // 100) + 1
-    need = np.maximum(1, p // 2)
+    need = np.maximum(1, p)
     return np.minimum(size, p + need - 1), need
 
 
@@ -94,55 +94,63 @@ def _least_overlap(percent: int, a: Column, b: Column) -> Column:
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b, na, nb) that link, as (u, v): overlaps are counted fragment by fragment and summed."""
-    left = segments.select(F.col("rep").alias("a"), "frag", F.col("toks").alias("ta"))
-    right = segments.select(F.col("rep").alias("b"), "frag", F.col("toks").alias("tb"))
+    pairs = written(pairs, "pairs")
+    involved = written(segments.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep"), "segments")
+    left = involved.select(F.col("rep").alias("a"), "frag", F.col("toks").alias("ta"))
+    right = involved.select(F.col("rep").alias("b"), "frag", F.col("toks").alias("tb"))
     parts = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part"))
     sums = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return sums.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = written(sums.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    dropped(pairs)
+    dropped(involved)
+    return links
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity of percent / 100 or more, itself included)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     sieve = written(texts.mapInArrow(_sieve_rows(n, percent), "doc_id long, h long, n long, k1 long, k2 long, need long, front array<long>"), "sieve")
-    links = _links(texts, sieve, n, percent, fragments)
+    rows = written(sieve.select("doc_id", "h", "n", "k1", "k2"), "rows")
+    links = _links(texts, sieve, rows, n, percent, fragments)
     found = components(links)
-    classes = sieve.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_component"))
-    rows = sieve.select("doc_id", "n", "k1", "k2")
     out = rows.join(named, (rows.k1 == named._k1) & (rows.k2 == named._k2) & (rows.n > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
 
 
-def _links(texts: DataFrame, sieve: DataFrame, n: int, percent: int, fragments: int):
+def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent: int, fragments: int):
     """Links (u, v) between class representatives that give the same components as all links."""
-    classes = sieve.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("r"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("r"))
     reps = classes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "k1", "k2")
     fronts = written(sieve.join(reps, ["doc_id", "h", "k1", "k2"]).dropDuplicates(["doc_id", "h", "k1", "k2"]), "fronts")
+    dropped(sieve)
     # Here k1 stands for the class: if two classes had it in common, both would only pass more easily.
     posted = fronts.select("k1", F.explode("front").alias("tok"))
     common = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("tok")
+    common = written(common, "common")  # a table of its own, so that both sides are dealt for the join and a hot shingle can be split
     passed = posted.join(common.hint("shuffle_hash"), "tok").groupBy("k1").agg(F.count(F.lit(1)).alias("_c"))
     through = written(fronts.select("doc_id", "h", "k1", "need").join(passed, "k1").where("_c >= need").select("doc_id", "h"), "through")
     dropped(fronts)
+    dropped(common)
 
     chosen = texts.join(through, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     whole = written(chosen.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_rows(n), "rep long, n long, toks array<long>"), "whole")
     tokens = whole.select("rep", F.explode("toks").alias("tok"))
-    df = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # The place in the global order: rarer first, then by hash.
-    place = F.shiftleft(F.least("df", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftrightunsigned("tok", 21))
-    shared = written(tokens.join(df.hint("shuffle_hash"), "tok").select("rep", "tok", place.alias("place")), "shared")
-    cuts = sorted(set(shared.agg(F.percentile_approx("place", [i / fragments for i in range(1, fragments)], 1000).alias("c")).first()["c"] or []))
-    frag = sum((F.when(F.col("place") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    ordered = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "tok"))).alias("toks"))
-    sets = written(whole.select("rep", "n").join(ordered, "rep"), "sets")
-    segments = written(shared.withColumn("frag", frag).groupBy("rep", "frag").agg(F.collect_list("tok").alias("toks")), "segments")
-    dropped(whole)
-    dropped(shared)
-
+    df = written(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
+    # In the global order rarer shingles come first, then lower hashes.
+    shared = tokens.join(df.hint("shuffle_hash"), "tok").select("rep", F.struct(F.col("df").cast("int").alias("df"), "tok").alias("t"))
+    ordered = shared.groupBy("rep").agg(F.sort_array(F.collect_list("t")).alias("toks"))
     alone = F.col("n") - F.size("toks")  # shingles of this set alone, which come first
     front = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    sets = written(ordered.join(whole.select("rep", "n"), "rep").where(front > alone), "sets")
+    dropped(whole)
+    dropped(df)
+    place = lambda t: F.least(t["df"], F.lit(1 << 20)) + F.shiftrightunsigned(t["tok"], 1) / F.lit(2.0**63)
+    cuts = sorted(set(sets.select(F.explode("toks").alias("t")).agg(F.percentile_approx(place(F.col("t")), [i / fragments for i in range(1, fragments)], 1000).alias("c")).first()["c"] or []))
+    bounds = [float("-inf"), *cuts, float("inf")]
+    cut = lambda lo, hi: F.transform(F.filter("toks", lambda t: (place(t) > lo) & (place(t) <= hi)), lambda t: t["tok"])
+    segments = sets.select("rep", F.posexplode(F.array(*[cut(lo, hi) for lo, hi in zip(bounds, bounds[1:])])).alias("frag", "toks")).where(F.size("toks") > 0)
     prefix = F.slice("toks", 1, F.greatest(F.lit(0), front - F.col("alone")).cast("int"))
     posted = written(sets.withColumn("alone", alone).where(front > alone).select("rep", "n", "alone", F.posexplode(prefix).alias("i", "t")).select("rep", "n", "alone", F.col("t.tok").alias("tok"), (F.col("alone") + F.col("i") + 1).alias("pos")), "prefixes")
 
@@ -155,7 +163,7 @@ def _links(texts: DataFrame, sieve: DataFrame, n: int, percent: int, fragments:
         pairs = banded.join(best, ["tok", "band"]).where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb")
         lead = pairs if lead is None else lead.union(pairs)
     lead = lead.where(_in_reach(percent)).distinct()
-    first = written(_verified(lead, segments, percent), "links")
+    first = _verified(lead, segments, percent)
     known = written(components(first), "known")
 
     placed = posted.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "alone")
@@ -167,8 +175,8 @@ def _links(texts: DataFrame, sieve: DataFrame, n: int, percent: int, fragments:
     every = open_.select("tok", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("_top"))
     o = _least_overlap(percent, F.col("na"), F.col("nb"))
     rest = small.join(every, "tok").where((F.col("ca") != F.col("cb")) & (F.col("_top") | (F.col("a") < F.col("b"))) & _in_reach(percent) & (F.col("pa") <= F.col("na") - o + 1) & (F.col("pb") <= F.col("nb") - o + 1))
-    second = written(_verified(rest.select("a", "b", "na", "nb").distinct(), segments, percent), "links")
-    for table in (posted, placed, sets, segments, through):
+    second = _verified(rest.select("a", "b", "na", "nb").distinct(), segments, percent)
+    for table in (posted, placed, sets, through):
         dropped(table)
     return first.union(second)
 
