@@ -126,7 +126,8 @@ def copies(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, same: DataFrame, window: int = WINDOW) -> DataFrame:
     """Of docs(doc_id, h, text), h being a hash of the text: the starts of windows that occur twice or more, as (doc_id, h, start), in words from 0. Those of the rows in `same`, see copies(), are left out: all of theirs do."""
     found = written(docs.select("doc_id", "h", "text").mapInArrow(_anchor_rows(window), "doc_id long, h int, at int, gram long, left long, right long"), "anchors")
-    repeats = lambda rows, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    # Tables of their own, so that both sides of the joins below are dealt alike and a hot hash can be split.
+    repeats = lambda rows, *keys: written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"), "repeats")
     one = written(found.join(repeats(found, "gram").hint("shuffle_hash"), "gram").select("doc_id", "h", "at", "left", "right"), "level1")
     dropped(found)
     n, double = levels(window)
@@ -139,7 +140,7 @@ def repeated_windows(docs: DataFrame, same: DataFrame, window: int = WINDOW) ->
     texts = docs.join(needed, ["doc_id", "h"]).select("doc_id", "h", "text", "ats", "weight")
     windows = written(texts.mapInArrow(_window_rows(window), "doc_id long, h int, weight int, start int, w1 long, w2 int"), "windows")
     dropped(held)
-    many = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("_c")).where("_c > 1").drop("_c")
+    many = written(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("_c")).where("_c > 1").drop("_c"), "repeats")
     starts = written(windows.where("weight = 1").select("doc_id", "h", "start", "w1", "w2").join(many.hint("shuffle_hash"), ["w1", "w2"]).select("doc_id", "h", "start"), "starts")
     dropped(windows)
     return starts
