@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import buckets, embeddings, jaccard, licenses, quality, secrets, sharding, substrings, tokens
+from quillon.llm import buckets, decontaminate, embeddings, jaccard, licenses, quality, secrets, sharding, substrings, tokens
 from quillon.llm.shared import documents_of
 
 
@@ -32,6 +32,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents_of(spark, sf_dir), shards=24)
 
@@ -44,5 +48,5 @@ def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack(documents_of(spark, sf_dir))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op3_length_buckets": op3_length_buckets, "op4_substring_dedup": op4_substring_dedup, "op6_sharding": op6_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan, "op10_packed_tokens": op10_packed_tokens}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op3_length_buckets": op3_length_buckets, "op4_substring_dedup": op4_substring_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan, "op10_packed_tokens": op10_packed_tokens}
 SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90), "op4_substring_dedup": substrings.sql(35), "op7_embedding_near_dedup": embeddings.sql(0.98)}
