@@ -17,6 +17,7 @@ contaminates nothing; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,14 +195,20 @@ def _tiled(least: int):
     return scan
 
 
+def _items(benchmark: DataFrame, least: int, broadcast_bytes: int) -> tuple[DataFrame, Items | None]:
+    """The test items, and their index if they are small."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
+        return items, None
+    held = items.collect()
+    return items, Items([r["item_id"] for r in held], [r["text"] for r in held], least)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, contaminated, item_id and coverage of the item most covered, n_items (those covered by `share` or more)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        held = items.collect()
-        known = Items([r["item_id"] for r in held], [r["text"] for r in held], least)
+    items, known = _items(benchmark, least, broadcast_bytes)
+    if known:
         found = rows.mapInArrow(_looked_up(known, least, share), "doc_id long, found array<struct<item_id:long,coverage:double>>")
     else:
         found = _joined(rows, items, least, share)
@@ -209,9 +216,27 @@ def find(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float
     return found.withColumn("_b", best).select("doc_id", (F.size("found") > 0).alias("contaminated"), F.col("_b.item_id").alias("item_id"), F.coalesce(-F.col("_b.worst"), F.lit(0.0)).alias("coverage"), F.size("found").cast("long").alias("n_items"))
 
 
-def _joined(rows: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
-    """For large test sets: seeds meet in a shuffle join, then each candidate pair is tiled."""
-    keyed = rows.withColumn("k", F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h")))
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated."""
+    items, known = _items(benchmark, least, broadcast_bytes)
+    if known:
+        look = _looked_up(known, least, share)
+
+        @F.pandas_udf("boolean")
+        def contaminated(text):
+            batch = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), pa.Array.from_pandas(text, type=pa.string())], names=["doc_id", "text"])
+            return pd.Series([len(f) > 0 for part in look([batch]) for f in part.column(1).to_pylist()], dtype=bool)
+
+        return docs.where(~contaminated(F.lower("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h"))
+    bad = _pairs(rows.withColumn("k", key), items, least, share).select(F.col("k").alias("_k")).distinct()
+    keyed = docs.withColumn("_k", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.lower("text")).alias("h")))
+    return keyed.join(bad, "_k", "left_anti").select(*docs.columns)
+
+
+def _pairs(keyed: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
+    """For large test sets: seeds meet in a shuffle join, then each candidate pair is tiled. Gives k, item_id, coverage."""
     columns = "place int, seed long, n int"
     theirs = items.mapInArrow(_seed_rows(least), f"k long, {columns}").select(F.col("k").alias("item_id"), "place", "seed", "n")
     ours = keyed.select("k", "text").mapInArrow(_seed_rows(least), f"k struct<d:long,h:long>, {columns}").select("k", "seed").distinct()
@@ -221,5 +246,10 @@ def _joined(rows: DataFrame, items: DataFrame, least: int, share: float) -> Data
     ready = pairs.join(texts, "k").join(items.withColumnRenamed("text", "item"), "item_id").select("k", "item_id", "item", "text")
     tiled = written(ready.mapInArrow(_tiled(least), "k struct<d:long,h:long>, item_id long, coverage double").where(F.col("coverage") >= share), "tiled")
     dropped(pairs)
-    found = tiled.groupBy("k").agg(F.collect_list(F.struct("item_id", "coverage")).alias("found"))
+    return tiled
+
+
+def _joined(rows: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
+    keyed = rows.withColumn("k", F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h")))
+    found = _pairs(keyed, items, least, share).groupBy("k").agg(F.collect_list(F.struct("item_id", "coverage")).alias("found"))
     return keyed.join(found, "k", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<item_id:bigint,coverage:double>>")).alias("found"))

@@ -108,6 +108,11 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity of percent / 100 or more, itself included)."""
+    return _grouped(docs, n, percent, fragments).drop("h")
+
+
+def _grouped(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
+    """The rows of join() with h, a hash of the text that tells texts of one doc_id apart."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     sieve = written(texts.mapInArrow(_sieve_rows(n, percent), "doc_id long, h long, n long, k1 long, k2 long, need long, front array<long>"), "sieve")
     rows = written(sieve.select("doc_id", "h", "n", "k1", "k2"), "rows")
@@ -116,7 +121,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_component"))
     out = rows.join(named, (rows.k1 == named._k1) & (rows.k2 == named._k2) & (rows.n > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"), "h")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id; of repeated rows one stays. Texts without words all stay."""
+    grouped = _grouped(docs, n, percent, FRAGMENTS)
+    at = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    stay = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(at("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    keyed = docs.withColumn("_d", at("doc_id")).withColumn("_h", F.xxhash64("text"))
+    return keyed.join(stay, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*docs.columns)
 
 
 def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent: int, fragments: int):

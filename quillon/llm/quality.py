@@ -16,12 +16,14 @@ import math
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What training may gather: rows per label, and bytes of a text for it to be eligible. A sample of labelled rows only.
 TRAIN_ROWS, TRAIN_BYTES = 1200, 16_384
 DICT_BYTES, CHUNK_BYTES, LEVEL = 112_640, 1_024, 9
+#: The least score of an accepted text.
+ACCEPT = 0.7
 
 
 #: Shapes: letters of either case, digits and bytes beyond ASCII each become one symbol; marks and spaces stay.
@@ -110,16 +112,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     return fit(*picked)
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with two more columns, `score` and `predicted` (1 from 0.7 on). Same-named columns of docs are replaced."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # two dictionaries of 110 KB at most
+def _scored(docs: DataFrame, model: Model) -> Column:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # four dictionaries of 110 KB at most
 
     @F.pandas_udf("double")
     def score(text):
         return text.map(shared.value.score, na_action=None).astype(float)
 
-    return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return score(F.col("text"))
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with two more columns, `score` and `predicted` (1 from 0.7 on). Same-named columns of docs are replaced."""
+    return docs.withColumn("score", _scored(docs, model)).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the classifier accepts."""
+    return docs.where(_scored(docs, model) >= ACCEPT)
 
 
 def op_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

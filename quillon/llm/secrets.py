@@ -20,10 +20,10 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import written
+from quillon.llm.shared import dropped, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -82,19 +82,22 @@ def battery(token: str, enc: int) -> tuple[float, float]:
     return x2, min(1.0, math.exp(-s) * (1 + s + s * s / 2))
 
 
+def _of_text(text: str) -> tuple[list[tuple[str, int, int]], list[dict]]:
+    """The fixed patterns' spans, and the candidates outside them with their statistics."""
+    base, cands = base_spans(text), []
+    for m in CANDIDATE.finditer(text):
+        enc = encoding_of(m[0])
+        if enc is not None and not any(a < m.end() and m.start() < b for _, a, b in base):
+            x2, p_random = battery(m[0], enc)
+            cands.append({"start": m.start(), "end": m.end(), "n": m.end() - m.start(), "enc": enc, "x2": x2, "p_random": p_random})
+    return base, cands
+
+
 def _scan(batches):
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        rows = []
+        ids, texts, rows = batch.column(0).to_pylist(), batch.column(1), []
         for i in range(len(ids)):
-            text = texts[i].as_py() or ""
-            base = base_spans(text)
-            taken = [(a, b) for _, a, b in base]
-            cands = []
-            for m in CANDIDATE.finditer(text):
-                enc = encoding_of(m[0])
-                if enc is not None and not any(a < m.end() and m.start() < b for a, b in taken):
-                    cands.append({"start": m.start(), "end": m.end(), "n": m.end() - m.start(), "enc": enc, **dict(zip(("x2", "p_random"), battery(m[0], enc)))})
+            base, cands = _of_text(texts[i].as_py() or "")
             rows.append({"doc_id": ids[i], "base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "cands": cands, "bytes": None})
         joined = texts.cast(pa.large_binary())
         offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
@@ -133,28 +136,80 @@ def bh_limits(bins: pd.DataFrame, alpha: float) -> dict[int, float]:
     return out
 
 
+class Rule:
+    """What the whole corpus decides about spans of kind random: the moments of the statistic in text, and the largest z accepted in each band of lengths."""
+
+    def __init__(self, moments: list[tuple[float, float, float, float]], limits: dict[int, float], least_random: float):
+        self.moments, self.limits, self.least_random = moments, limits, least_random
+
+    def spans(self, text: str | None) -> list[tuple[str, int, int]]:
+        """All spans of a text, by start and then kind."""
+        base, cands = _of_text(text or "")
+        more = []
+        for c in cands:
+            a, b, v, w = self.moments[c["enc"]]
+            z = (c["x2"] - (a * c["n"] + b)) / math.sqrt(v * c["n"] + w)
+            if c["p_random"] >= self.least_random and math.floor(z * 16) / 16 < self.limits.get(int(math.log2(c["n"])), -math.inf):
+                more.append(("random", c["start"], c["end"]))
+        return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
+
+    def redact(self, text: str | None, mark: str = "[SECRET]") -> str | None:
+        """The text with `mark` in place of its spans; overlapping spans get one."""
+        if text is None:
+            return None
+        out, at = [], 0
+        for _, start, end in self.spans(text):
+            if start >= at:
+                out += [text[at:start], mark]
+            at = max(at, end)
+        return "".join([*out, text[at:]]) if at else text
+
+
+def _scanned(docs: DataFrame, alpha: float, least_random: float) -> tuple[DataFrame, Rule]:
+    """The written scan, a row per row of docs and one with byte counts per batch; and the rule. The driver gets the corpus's byte counts (256 numbers) and counts of candidates by band and z bin, of fixed size."""
+    scanned = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, base array<struct<kind:string,start:long,end:long>>, cands array<struct<start:long,end:long,n:int,enc:int,x2:double,p_random:double>>, bytes array<long>"), "secrets")
+    totals = scanned.filter("bytes is not null").agg(*[F.sum(F.col("bytes")[i]).alias(f"b{i}") for i in range(256)]).first()
+    moments = text_moments(np.array([x or 0 for x in totals]))
+    each = scanned.filter("bytes is null").select(F.explode("cands").alias("x")).where(F.col("x.p_random") >= least_random)
+    bins = each.select(_band(F.col("x")).alias("band"), F.greatest(F.lit(-640), F.floor(_z(F.col("x"), moments) * 16)).cast("int").alias("bin")).groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    return scanned, Rule(moments, bh_limits(bins, alpha), least_random)
+
+
+def _band(x: Column) -> Column:
+    return F.floor(F.log2(x["n"].cast("double"))).cast("int")
+
+
+def _z(x: Column, moments: list[tuple[float, float, float, float]]) -> Column:
+    a, b, v, w = (F.element_at(F.array(*[F.lit(float(m[i])) for m in moments]), x["enc"] + 1) for i in range(4))
+    return (x["x2"] - (a * x["n"] + b)) / F.sqrt(v * x["n"] + w)
+
+
 def find_secrets(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.001) -> DataFrame:
     """One row per row of docs: doc_id and `spans`, an array of (kind, start, end) in code points, by start and then kind.
 
     alpha: the share of false discoveries allowed among the spans of kind random, in each band of lengths
-    (a band doubles the length). least_random: the least p-value of the randomness battery. The driver gets
-    the corpus's byte counts (256 numbers) and counts of candidates by band and z bin, of fixed size.
+    (a band doubles the length). least_random: the least p-value of the randomness battery.
     """
-    scanned = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, base array<struct<kind:string,start:long,end:long>>, cands array<struct<start:long,end:long,n:int,enc:int,x2:double,p_random:double>>, bytes array<long>"), "secrets")
-    totals = scanned.filter("bytes is not null").agg(*[F.sum(F.col("bytes")[i]).alias(f"b{i}") for i in range(256)]).first()
-    a, b, c, d = zip(*text_moments(np.array([x or 0 for x in totals])))
-    rows = scanned.filter("bytes is null")
-    z = lambda x: (x["x2"] - (element(a, x) * x["n"] + element(b, x))) / F.sqrt(element(c, x) * x["n"] + element(d, x))
-    element = lambda v, x: F.element_at(F.array(*[F.lit(float(y)) for y in v]), x["enc"] + 1)
-    band = lambda x: F.floor(F.log2(x["n"].cast("double"))).cast("int")
-    random = F.filter("cands", lambda x: x["p_random"] >= least_random)
-    each = rows.select(F.explode(random).alias("x")).select(band(F.col("x")).alias("band"), F.greatest(F.lit(-640), F.floor(z(F.col("x")) * 16)).cast("int").alias("bin"))
-    limits = bh_limits(each.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas(), alpha)
-    limit = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in limits.items() for y in kv]), band(x)), F.lit(float("-inf"))) if limits else F.lit(float("-inf"))
-    kept = F.transform(F.filter(random, lambda x: F.floor(z(x) * 16) / 16 < limit(x)), lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    scanned, rule = _scanned(docs, alpha, least_random)
+    no = F.lit(float("-inf"))
+    limit = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in rule.limits.items() for y in kv]), _band(x)), no) if rule.limits else no
+    passes = lambda x: (x["p_random"] >= least_random) & (F.floor(_z(x, rule.moments) * 16) / 16 < limit(x))
+    kept = F.transform(F.filter("cands", passes), lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     order = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     spans = F.array_sort(F.concat("base", kept), lambda x, y: F.when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise((order(x) - order(y)).cast("int")))
-    return rows.select("doc_id", spans.alias("spans"))
+    return scanned.filter("bytes is null").select("doc_id", spans.alias("spans"))
+
+
+def redacted(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.001) -> DataFrame:
+    """docs with a mark in place of every span in `text`. One pass finds the rule, another applies it; rows aren't joined, so any rows will do."""
+    scanned, rule = _scanned(docs, alpha, least_random)
+    dropped(scanned)
+
+    @F.pandas_udf("string")
+    def clean(text):
+        return text.map(rule.redact, na_action="ignore")
+
+    return docs.withColumn("text", clean("text"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -162,14 +217,3 @@ def digest(found: DataFrame) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
-
-
-def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with `mark` in place of every span; overlapping spans count as one. doc_id must be unique among the rows with spans."""
-    spans = found.filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.first("spans").alias("_spans"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out")))
-    done = F.aggregate("_spans", start, step)
-    cleaned = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"))))
-    return docs.join(spans, docs["doc_id"] == spans["_id"], "left").withColumn("text", cleaned).select(*docs.columns)
-
