@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import ranked, written
 
 
-def shard(docs: DataFrame, shards: int = 24, iterations: int = 6) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, iterations: int = 3) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, size, text_crc32, law (`rows`), shard, slot (gapless from 0 within the shard), grown_shard (null under this law), n_copies (rows of this text) and n_with (those of them in this shard)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("g1"), F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(1), "text")).alias("g2"))
@@ -40,26 +40,22 @@ def shard(docs: DataFrame, shards: int = 24, iterations: int = 6) -> DataFrame:
     linked = state.where("members > 1").select("id", "g1", "g2", "members", "shard")
     largest = linked.agg(F.max("members")).first()[0] or 0
     for i in range(iterations):
-        after = _moved(linked, i, quotas, largest > quotas[-1])
+        after = _moved(linked, i, quotas, i == 0 and largest > quotas[-1])
         settled = after.where("moved").isEmpty()
         linked = after.drop("moved")
         if settled:
             break
-    kept = ranked(linked.select("id", "shard", (-F.col("members")).alias("order")), ["shard"], ["order", "id"], "place").withColumn("over", F.col("place") >= _at(quotas, F.col("shard")))
-    free = ranked(state.where("members = 1").select("id", "shard", F.lit(0).cast("long").alias("order")), ["shard"], ["id"], "place")
-    held = {r["shard"]: r["n"] for r in kept.where("not over").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    free = free.withColumn("over", F.col("place") >= _at([q - held.get(s, 0) for s, q in enumerate(quotas)], F.col("shard")))
-    settled = written(kept.select("id", "shard", "over").union(free.select("id", "shard", "over")), "settled")
-    # Rows over a quota take the places that are left, in the order of shards.
+    # In each shard linked rows come first, then the others; what is over the quota takes the places left elsewhere.
+    both = linked.select("id", "shard", (-F.col("members")).alias("order")).union(state.where("members = 1").select("id", "shard", F.lit(0).cast("long")))
+    settled = written(ranked(both, ["shard"], ["order", "id"], "slot").withColumn("over", F.col("slot") >= _at(quotas, F.col("shard"))).drop("order"), "settled")
     taken = {r["shard"]: r["n"] for r in settled.where("not over").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ends, at = [], 0
+    starts = [0]
     for s, q in enumerate(quotas):
-        at += q - taken.get(s, 0)
-        ends.append(at)
+        starts.append(starts[-1] + q - taken.get(s, 0))
     homeless = ranked(settled.where("over").select("id"), [], ["id"], "n")
-    new = sum((F.when(F.col("n") >= e, 1).otherwise(0) for e in ends), F.lit(0)).cast("int")
-    final = settled.where("not over").select("id", "shard").union(homeless.select("id", new.alias("shard")))
-    placed = ranked(final, ["shard"], ["id"], "slot")
+    new = sum((F.when(F.col("n") >= e, 1).otherwise(0) for e in starts[1:]), F.lit(0)).cast("int")
+    moved = homeless.withColumn("shard", new).select("id", "shard", (F.col("n") - _at(starts, F.col("shard")) + _at([taken.get(s, 0) for s in range(shards)], F.col("shard"))).alias("slot"))
+    placed = settled.where("not over").select("id", "shard", "slot").union(moved)
     out = written(state.drop("shard").join(placed, "id"), "placed")
     with_ = out.where("members > 1").groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n_with"))
     return out.join(with_, ["g1", "g2", "shard"], "left").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("members").alias("n_copies"), F.coalesce("n_with", F.lit(1)).alias("n_with"))
@@ -75,7 +71,8 @@ def _moved(linked: DataFrame, iteration: int, quotas: list[int], some_overflow:
     # Where most of a group is. Groups that found no room there are tied again and again, and try another shard each time.
     best = counts.groupBy("g1", "g2").agg(F.max(F.struct("n", F.xxhash64("g1", "shard", F.lit(iteration)).alias("h"), "shard"))["shard"].alias("home"))
     wishes = linked.join(best, ["g1", "g2"]).withColumn("want", F.col("home"))
-    if some_overflow:  # a group larger than its home wants the shards after it in a circle, quota by quota
+    wishes = wishes if some_overflow else wishes.withColumn("want", F.when(F.col("members") > quotas[-1], F.col("shard")).otherwise(F.col("home")))
+    if some_overflow:  # once, a group larger than its home wants the shards after it in a circle, quota by quota
         quota = F.greatest(F.lit(1), _at(quotas, F.col("home")))
         big = wishes.where(F.col("members") > quota).withColumn("away", (F.col("shard") != F.col("home")).cast("int"))
         turned = ranked(big, ["g1", "g2"], ["away", "id"], "turn").withColumn("want", ((F.col("home") + F.floor(F.col("turn") / quota)) % len(quotas)).cast("int"))

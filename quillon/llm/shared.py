@@ -51,26 +51,31 @@ def dropped(df: DataFrame) -> None:
 
 
 
+#: Rows of rank offsets (at most a row per range and one per key) up to which they are broadcast, some 40 bytes each.
+OFFSET_ROWS = 100_000
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds `out`: the gapless rank from 0 of a row within `keys` in the order of `order`, which must be unique within keys.
 
-    One key may hold most rows, so no window spans a whole key. Rows are dealt by range, each range
-    numbers its own rows of a key, and the ranges' counts (ranges x keys rows) give the offsets.
+    One key may hold most rows, so no window spans a whole key. Rows are dealt by range and sorted, and so
+    numbered within their range as they are written. What precedes a range's rows of a key is a sum over
+    the ranges before it: a small table of counts by range and key.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    dealt = dealt.withColumn("_part", F.shiftright("_id", 33))
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = dealt.select("_id", F.col("_part").alias("_p"), *[F.col(k).alias(x) for k, x in zip(keys, names)]).groupBy("_p", *names).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    counts = written(counts, "counts")
+    before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_part", *keys).orderBy(*order)
-    numbered = dealt.withColumn("_in", F.row_number().over(inside) - 1)
-    renamed = offsets.select(F.col("_part").alias("_part2"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
-    cond = F.col("_part") == F.col("_part2")
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = numbered.join(renamed, cond)
-    return joined.withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_part2", "_in", "_before", *[f"_k{i}" for i in range(len(keys))])
+    if counts.count() <= OFFSET_ROWS:
+        offsets = F.broadcast(offsets)
+    cond = F.col("_part") == F.col("_p")
+    for k, x in zip(keys, names):
+        cond = cond & F.col(k).eqNullSafe(F.col(x))
+    return dealt.join(offsets, cond).withColumn(out, F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_part", "_p", "_first", "_before", *names)
 
 
 def ascii_lower(c: Column) -> Column:
