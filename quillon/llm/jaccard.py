@@ -153,13 +153,14 @@ def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent:
     tokens = whole.select("rep", F.explode("toks").alias("tok"))
     df = written(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
     # In the global order rarer shingles come first, then lower hashes.
-    shared = tokens.join(df.hint("shuffle_hash"), "tok").select("rep", F.struct(F.col("df").cast("int").alias("df"), "tok").alias("t"))
-    ordered = shared.groupBy("rep").agg(F.sort_array(F.collect_list("t")).alias("toks"))
+    shared = written(tokens.join(df.hint("shuffle_hash"), "tok").select("rep", F.col("df").cast("int").alias("df"), "tok"), "shared")
+    dropped(df)
+    ordered = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
     alone = F.col("n") - F.size("toks")  # shingles of this set alone, which come first
     front = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     sets = written(ordered.join(whole.select("rep", "n"), "rep").where(front > alone), "sets")
     dropped(whole)
-    dropped(df)
+    dropped(shared)
     place = lambda t: F.least(t["df"], F.lit(1 << 20)) + F.shiftrightunsigned(t["tok"], 1) / F.lit(2.0**63)
     cuts = sorted(set(sets.select(F.explode("toks").alias("t")).agg(F.percentile_approx(place(F.col("t")), [i / fragments for i in range(1, fragments)], 1000).alias("c")).first()["c"] or []))
     bounds = [float("-inf"), *cuts, float("inf")]
