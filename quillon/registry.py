@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillon.plans import audits, batches, facts, matches, streams
+from quillon.plans.catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "audits", "batches", "facts", "matches", "streams"]
