@@ -91,7 +91,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> list[float]:
 def fit(good: list[str], bad: list[str]) -> Model:
     """good, bad: texts; half of each makes the dictionaries, the other half fits the curve."""
     if len(good) < 2 or len(bad) < 2:
-        return Model([], [0.0])
+        return Model([], [0.0, 0.0])
     halves = [[t.encode() for t in texts[::2]] for texts in (good, bad)]
     pairs = [tuple(_content([t.translate(SHAPE) if shaped else t for t in texts]) for texts in halves) for shaped in (False, True)]
     model = Model(pairs, [])
@@ -128,7 +128,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the classifier accepts."""
+    """The rows of docs that the classifier accepts; all of them if there was nothing to learn from."""
+    if not model.pairs:
+        return docs
     return docs.where(_scored(docs, model) >= ACCEPT)
 
 
