@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import audits, batches, facts, matches, streams
+from quillon.plans import audits, batches, facts, matches, sources, streams
 from quillon.plans.catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "audits", "batches", "facts", "matches", "streams"]
+__all__ = ["QUERIES", "SQL", "audits", "batches", "facts", "matches", "sources", "streams"]
