@@ -175,6 +175,7 @@ def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent:
     for shift in (0.0, 0.5):
         banded = posted.withColumn("band", band(shift))
         best = banded.groupBy("tok", "band").agg(F.min(F.struct("alone", "rep", "n")).alias("l"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("tok", "band", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"))
+        best = written(best, "leaders")  # again a table of its own, for the sake of hot shingles
         pairs = banded.join(best, ["tok", "band"]).where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb")
         lead = pairs if lead is None else lead.union(pairs)
     lead = lead.where(_in_reach(percent)).distinct()
@@ -185,6 +186,7 @@ def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent:
     placed = written(placed, "placed")
     per = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("_c"))
     top = per.groupBy("tok").agg(F.max(F.struct("_c", "comp")).alias("m"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select("tok", F.col("m.comp").alias("top"))
+    top = written(top, "top")
     open_ = placed.join(top, "tok")
     small = open_.where("comp <> top").select("tok", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
     every = open_.select("tok", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("_top"))
