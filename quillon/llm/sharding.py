@@ -33,6 +33,7 @@ def shard(docs: DataFrame, shards: int = 24, iterations: int = 3) -> DataFrame:
     mixed = rows.withColumn("mix", F.xxhash64("doc_id", "g1")).withColumn("tie", F.monotonically_increasing_id())
     dealt = ranked(mixed, [], ["mix", "tie"], "id").drop("mix", "tie").withColumn("shard", (F.col("id") % shards).cast("int"))
     groups = dealt.where("g1 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    groups = written(groups, "groups")  # a table of its own, so that a hot group is split in the join
     state = written(dealt.join(groups, ["g1", "g2"], "left").withColumn("members", F.coalesce("members", F.lit(1))), "shards")
     total = state.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
@@ -70,6 +71,7 @@ def _moved(linked: DataFrame, iteration: int, quotas: list[int], some_overflow:
     counts = linked.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
     # Where most of a group is. Groups that found no room there are tied again and again, and try another shard each time.
     best = counts.groupBy("g1", "g2").agg(F.max(F.struct("n", F.xxhash64("g1", "shard", F.lit(iteration)).alias("h"), "shard"))["shard"].alias("home"))
+    best = written(best, "homes")
     wishes = linked.join(best, ["g1", "g2"]).withColumn("want", F.col("home"))
     wishes = wishes if some_overflow else wishes.withColumn("want", F.when(F.col("members") > quotas[-1], F.col("shard")).otherwise(F.col("home")))
     if some_overflow:  # once, a group larger than its home wants the shards after it in a circle, quota by quota
