@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillon.llm import embeddings, graph, jaccard, licenses, sharding, substrings
+from quillon.llm import embeddings, graph, jaccard, licenses, shared, sharding, substrings
 from quillon.llm.shared import ranked
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,7 +124,9 @@ def test_window_minima():
         assert substrings.window_minima(h, width).tolist() == [max((j for j in range(i, i + width) if h[j] == h[i : i + width].min())) for i in range(200 - width + 1)]
 
 
-def test_ranked(spark):
+@pytest.mark.parametrize("offset_rows", [shared.OFFSET_ROWS, 0])
+def test_ranked(spark, offset_rows, monkeypatch):
+    monkeypatch.setattr(shared, "OFFSET_ROWS", offset_rows)
     r = random.Random(2)
     rows = [(r.choice(["a", "a", "a", "b", None]), i, r.randint(0, 9)) for i in range(500)]
     got = ranked(spark.createDataFrame(rows, "k string, i int, o int"), ["k"], ["o", "i"], "at").collect()

@@ -197,7 +197,9 @@ def test_token_plan_is_best_fit_decreasing():
         assert sorted(free) == sorted(bins)
 
 
-def test_tokens_round_trip(spark, documents, odd):
+@pytest.mark.parametrize("broadcast_rows", [tokens.BROADCAST_ROWS, 0])
+def test_tokens_round_trip(spark, documents, odd, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", broadcast_rows)
     rows = odd + [(100 + i, f"text number {i} " * (i % 9)) for i in range(60)]
     got = tokens.pack(documents(rows, extra=True), row=64).collect()
     encoding, texts = tokens.encoding(tokens.VOCABULARY), defaultdict(list)
