@@ -2,7 +2,7 @@
 
 1. Each text becomes a set of 64-bit shingle hashes. Equal sets form a class, represented by one row.
 2. Sieve: in hash order, two sets that link share `need` of their first `need + p - 1` shingles, p being the
-   usual prefix length and need as long. Classes that share fewer with all others together can't link; only the others go on.
+   usual prefix length and need one less, but 1 at least. Classes that share fewer with all others together can't link; only the others go on.
 3. Their shingles are put in one global order, rarest first. Those of one class alone stay at the front, as
    a number. The order is cut into fragments of about equal mass, so a set becomes one segment a fragment.
 4. Candidates share a shingle within both prefixes, at positions that leave the overlap in reach. The overlap
@@ -53,9 +53,14 @@ def shingle_sets(texts: pa.Array, n: int):
 
 
 def prefix_lengths(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of sets of these sizes, how many of the first shingles to look at, and how many of them a partner shares at least."""
+    """Of sets of these sizes, how many of the first shingles to look at, and how many of them a partner of any size shares at least.
+
+    Sets of sizes a and b with overlap o share need_a + o - ceil(t * a) of them or need_b + o - ceil(t * b), whichever is
+    less, so that neither need may be over these. Above 62 percent p - 1 never is (tests try all sizes up to 700; beyond,
+    the room grows with the size); p itself is for small sets, as a smaller partner may show fewer.
+    """
     p = size - -(-percent * size // 100) + 1
-    need = np.maximum(1, p)
+    need = np.maximum(1, p - 1) if percent > 62 else np.ones_like(p)
     return np.minimum(size, p + need - 1), need
 
 

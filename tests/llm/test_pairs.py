@@ -65,6 +65,27 @@ def test_jaccard_join(spark, documents, n, percent):
     assert got == brute_join(pairs, n, percent)
 
 
+@pytest.mark.parametrize("percent", range(1, 101))
+def test_sieve_asks_no_more_than_partners_share(percent):
+    size = np.arange(1, 701)
+    k, need = jaccard.prefix_lengths(size, percent)
+    a, b = size[:, None], size[None, :]
+    both = -(-percent * (a + b) // (100 + percent))  # the least overlap of a link
+    shared_ = np.minimum(k[:, None] - a, k[None, :] - b) + both
+    link = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    assert (need >= 1).all() and (np.maximum(need[:, None], need[None, :]) <= shared_)[link].all()
+
+
+@pytest.mark.parametrize("n,percent,words", [(3, 90, 12), (5, 80, 9), (3, 90, 22)])
+def test_jaccard_links_of_unequal_sizes(spark, documents, n, percent, words):
+    pairs = []
+    for i in range(40):
+        w = [f"t{i}w{j}" for j in range(words)]
+        pairs += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w[1:] if i % 2 else w[:-1])), (10 * i + 2, " ".join(w[2:]))]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.join(documents(pairs), n, percent).collect()}
+    assert got == brute_join(pairs, n, percent) and len({c for _, c in got.values()}) < 120
+
+
 def test_jaccard_odd_rows(spark, documents, odd):
     got = Counter((r[0], r[1], r[2]) for r in jaccard.join(documents(odd), 3, 90).collect())
     assert sum(got.values()) == len(odd)
