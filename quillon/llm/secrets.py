@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Any further run of key characters is a candidate. Its alphabet gives the encoding. Three tests ask
+Any further run of key characters is a candidate, and so are its parts of 16 characters or more between `/`, `+`,
+`-` and `_`, as a path or a name may stand before a key. A part within an accepted run isn't named again. The
+narrowest alphabet that holds a candidate gives its encoding; runs of separators alone have none. Three tests ask
 whether its symbols look drawn evenly and independently from that alphabet: chi-squared uniformity,
 runs about the median symbol, lag-one serial correlation. A key must pass all three together. Ordinary
 text of few letters passes them too, so the chi-squared statistic is also held against its distribution
@@ -30,10 +32,11 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run is matched whole, so shorter runs are dropped as they fail
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
 
 #: Encodings from the narrowest alphabet to the widest, each in symbol order.
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ENCODINGS = (("hex", _DIG + "abcdef"), ("hex_upper", _DIG + "ABCDEF"), ("base32", _UP + "234567"), ("base36", _DIG + _LOW), ("base36_upper", _DIG + _UP), ("base52", _UP + _LOW), ("base62", _DIG + _UP + _LOW), ("base64", _UP + _LOW + _DIG + "+/"), ("base64url", _UP + _LOW + _DIG + "_-"))
+ENCODINGS = (("base10", _DIG), ("hex", _DIG + "abcdef"), ("hex_upper", _DIG + "ABCDEF"), ("base26", _LOW), ("base26_upper", _UP), ("base32", _UP + "234567"), ("base36", _DIG + _LOW), ("base36_upper", _DIG + _UP), ("base52", _UP + _LOW), ("base62", _DIG + _UP + _LOW), ("base64", _UP + _LOW + _DIG + "+/"), ("base64url", _UP + _LOW + _DIG + "_-"))
 _SETS = [frozenset(a) for _, a in ENCODINGS]
 _INDEX = [{c: i for i, c in enumerate(a)} for _, a in ENCODINGS]
 
@@ -52,9 +55,9 @@ def _two_sided(z: float) -> float:
 
 
 def encoding_of(token: str) -> int | None:
-    """Index of the narrowest encoding, or None for tokens that aren't of two kinds of characters at least."""
+    """Index of the narrowest encoding, or None for tokens that fit none or hold no letter or digit."""
     seen = set(token)
-    if sum(bool(seen & set(part)) for part in (_UP, _LOW, _DIG)) < 2:
+    if not seen - set("+/_-"):
         return None
     return next((i for i, s in enumerate(_SETS) if seen <= s), None)
 
@@ -86,24 +89,30 @@ def _of_text(text: str) -> tuple[list[tuple[str, int, int]], list[dict]]:
     """The fixed patterns' spans, and the candidates outside them with their statistics."""
     base, cands = base_spans(text), []
     for m in CANDIDATE.finditer(text):
-        enc = encoding_of(m[0])
-        if enc is not None and not any(a < m.end() and m.start() < b for _, a, b in base):
-            x2, p_random = battery(m[0], enc)
-            cands.append({"start": m.start(), "end": m.end(), "n": m.end() - m.start(), "enc": enc, "x2": x2, "p_random": p_random})
+        for start, end in dict.fromkeys([m.span(), *(part.span() for part in PART.finditer(text, *m.span()))]):
+            enc = encoding_of(text[start:end])
+            if enc is not None and not any(a < end and start < b for _, a, b in base):
+                x2, p_random = battery(text[start:end], enc)
+                cands.append({"start": start, "end": end, "n": end - start, "enc": enc, "x2": x2, "p_random": p_random})
     return base, cands
 
 
+#: Rows whose candidates a task holds as Python objects at once.
+SCAN_ROWS = 500
+
+
 def _scan(batches):
     for batch in batches:
-        ids, texts, rows = batch.column(0).to_pylist(), batch.column(1), []
-        for i in range(len(ids)):
-            base, cands = _of_text(texts[i].as_py() or "")
-            rows.append({"doc_id": ids[i], "base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "cands": cands, "bytes": None})
-        joined = texts.cast(pa.large_binary())
-        offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
-        data = np.frombuffer(joined.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if joined.buffers()[2] else np.zeros(0, np.uint8)
-        rows.append({"doc_id": None, "base": [], "cands": [], "bytes": np.bincount(data, minlength=256).tolist()})
-        yield pa.RecordBatch.from_pylist(rows, schema=_SCANNED)
+        for part in (batch.slice(at, SCAN_ROWS) for at in range(0, batch.num_rows, SCAN_ROWS)):
+            ids, texts, rows = part.column(0).to_pylist(), part.column(1), []
+            for i in range(len(ids)):
+                base, cands = _of_text(texts[i].as_py() or "")
+                rows.append({"doc_id": ids[i], "base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "cands": cands, "bytes": None})
+            joined = texts.cast(pa.large_binary())
+            offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
+            data = np.frombuffer(joined.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if joined.buffers()[2] else np.zeros(0, np.uint8)
+            rows.append({"doc_id": None, "base": [], "cands": [], "bytes": np.bincount(data, minlength=256).tolist()})
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCANNED)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -150,7 +159,8 @@ class Rule:
             a, b, v, w = self.moments[c["enc"]]
             z = (c["x2"] - (a * c["n"] + b)) / math.sqrt(v * c["n"] + w)
             if c["p_random"] >= self.least_random and math.floor(z * 16) / 16 < self.limits.get(int(math.log2(c["n"])), -math.inf):
-                more.append(("random", c["start"], c["end"]))
+                if not more or c["end"] > more[-1][2]:  # a run comes before its parts
+                    more.append(("random", c["start"], c["end"]))
         return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
     def redact(self, text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -194,10 +204,12 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.0
     no = F.lit(float("-inf"))
     limit = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in rule.limits.items() for y in kv]), _band(x)), no) if rule.limits else no
     passes = lambda x: (x["p_random"] >= least_random) & (F.floor(_z(x, rule.moments) * 16) / 16 < limit(x))
-    kept = F.transform(F.filter("cands", passes), lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    accepted = F.filter("cands", passes)
+    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x["n"] < y["n"])
+    kept = F.transform(F.filter("_accepted", lambda x: ~F.exists("_accepted", lambda y: within(x, y))), lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     order = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     spans = F.array_sort(F.concat("base", kept), lambda x, y: F.when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise((order(x) - order(y)).cast("int")))
-    return scanned.filter("bytes is null").select("doc_id", spans.alias("spans"))
+    return scanned.filter("bytes is null").withColumn("_accepted", accepted).select("doc_id", spans.alias("spans"))
 
 
 def redacted(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.001) -> DataFrame:

@@ -58,6 +58,27 @@ def test_random_secrets(spark, documents):
     assert sum(got[100 + i] for i in range(200)) <= 5
 
 
+def test_random_secrets_in_paths_and_of_one_case(spark, documents):
+    r = random.Random(6)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    key = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    base62 = low + low.upper() + "0123456789"
+    forms = [lambda: ("/api-v1/keys/", key(base62, 64)), lambda: ("/usr/share/stations/onion/rainbow/sentences/another/reason/there/", key(base62, 64)), lambda: ("", key(low, 120)), lambda: ("", key(low.upper(), 120))]
+    made = [(10 * j + i, *form()) for j in range(20) for i, form in enumerate(forms)]
+    words = ["the", "reason", "stations", "ethere", "onion", "sentence", "another", "rainbow"]
+    plain = [(1000 + i, "see " + r.choice(["", "-", "/", "_"]).join(r.choice(words) for _ in range(16)) + " here") for i in range(200)]
+    plain += [(i + 1000, t.upper()) for i, t in plain]  # the statistics of upper-case text come from the corpus too
+    rows = [(i, f"see {path}{k} here") for i, path, k in made] + plain
+    got = {x.doc_id: x.spans for x in secrets.find_secrets(documents(rows)).collect()}
+    text = dict(rows)
+    for form in range(4):
+        hits = sum(any(text[i][s.start : s.end].endswith(k) for s in got[i]) for i, _, k in made if i % 10 == form)
+        assert hits >= 14, form
+    assert sum(bool(got[i]) for i, _ in plain) <= 10
+    clean = {x.doc_id: x.text for x in secrets.redacted(documents(rows)).collect()}
+    assert all((clean[i] != text[i]) == bool(got[i]) for i in text)
+
+
 def test_redaction(spark, documents):
     rows = [(i, s) for i, s in enumerate(SECRETS)] + [(50, None), (51, "clean text")]
     got = {x.doc_id: x.text for x in secrets.redacted(documents(rows, extra=True)).collect()}
