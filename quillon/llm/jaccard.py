@@ -12,8 +12,11 @@
    only. Every pair left out lies within a component already, so components are exact.
 
 Defined results: a text with fewer words than a shingle is one shingle; a text without words, or null, has an
-empty set and is a component of its own; repeated rows each give a row; a null doc_id takes part with its
-text, but no component is named after it; other columns are ignored.
+empty set and is a component of its own; repeated rows each give a row; a row with a null doc_id takes part,
+and other rows may be linked through it, but no component is named after it (one of such rows alone has a null
+component_id); texts that share a doc_id are judged each for itself; ties go to the smallest doc_id; texts of any
+length are taken whole, in one task each with some 20 bytes of memory a byte of text; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.graph import components
-from quillon.llm.shared import Words, dropped, mix, signed, slices, written
+from quillon.llm.shared import Words, dropped, mix, signed, slices, whole_row, written
 
 FRAGMENTS = 8
 
@@ -64,21 +67,26 @@ def prefix_lengths(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
     return np.minimum(size, p + need - 1), need
 
 
+def _keys(at: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
+    """Two sums that name a set: equal sets have equal sums."""
+    keys = []
+    for salt in (np.uint64(0x1234567), np.uint64(0x89ABCDE)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + salt))])
+        keys.append(signed(sums[at[1:]] - sums[at[:-1]]))
+    return keys
+
+
 def _sieve_rows(n: int, percent: int):
     def scan(batches):
         for batch in batches:
-            for a, b, at, grams in shingle_sets(batch.column(2), n):
+            for a, b, at, grams in shingle_sets(batch.column(3), n):
                 size = np.diff(at)
-                keys = []
-                for salt in (np.uint64(0x1234567), np.uint64(0x89ABCDE)):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + salt))])
-                    keys.append(signed(sums[at[1:]] - sums[at[:-1]]))
                 k, need = prefix_lengths(size, percent)
                 k = np.where(size > 0, k, 0)
                 ends = np.concatenate([[0], np.cumsum(k)])
                 take = np.repeat(at[:-1] - ends[:-1], k) + np.arange(ends[-1])
                 front = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(grams[take])))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(size, pa.int64()), *map(pa.array, keys), pa.array(need, pa.int64()), front], names=["doc_id", "h", "n", "k1", "k2", "need", "front"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in range(3)), pa.array(size, pa.int64()), *map(pa.array, _keys(at, grams)), pa.array(need, pa.int64()), front], names=["doc_id", "h1", "h2", "n", "k1", "k2", "need", "front"])
 
     return scan
 
@@ -86,8 +94,8 @@ def _sieve_rows(n: int, percent: int):
 def _set_rows(n: int):
     def scan(batches):
         for batch in batches:
-            for a, b, at, grams in shingle_sets(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(grams)))], names=["rep", "n", "toks"])
+            for _, _, at, grams in shingle_sets(batch.column(0), n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(at), pa.int64()), *map(pa.array, _keys(at, grams)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(grams)))], names=["n", "k1", "k2", "toks"])
 
     return scan
 
@@ -113,48 +121,75 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity of percent / 100 or more, itself included)."""
-    return _grouped(docs, n, percent, fragments).drop("h")
+    return _grouped(docs, n, percent, fragments).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _text_keys() -> tuple[Column, Column]:
+    return F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
 
 
 def _grouped(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
-    """The rows of join() with h, a hash of the text that tells texts of one doc_id apart."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    sieve = written(texts.mapInArrow(_sieve_rows(n, percent), "doc_id long, h long, n long, k1 long, k2 long, need long, front array<long>"), "sieve")
-    rows = written(sieve.select("doc_id", "h", "n", "k1", "k2"), "rows")
-    links = _links(texts, sieve, rows, n, percent, fragments)
-    found = components(links)
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_component"))
+    """One row per row of docs: doc_id, h1 and h2 (which name its text), n, component_id, and `group`, which names its component (null without words)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
+    sieve = written(texts.mapInArrow(_sieve_rows(n, percent), "doc_id long, h1 long, h2 long, n long, k1 long, k2 long, need long, front array<long>"), "sieve")
+    rows = written(sieve.select("doc_id", "h1", "h2", "n", "k1", "k2"), "rows")
+    names, found = _components(texts, sieve, n, percent, fragments)
+    near = written(names.join(found.withColumnRenamed("node", "rep"), "rep").groupBy("k1", "k2").agg(F.min("component").alias("component")), "near")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    # The smallest doc_id is looked for at the end, so that rows without one, or several texts of one, can still be links in a chain.
+    together = classes.join(near, ["k1", "k2"]).groupBy("component").agg(F.min("least").alias("_least"), F.min(F.struct("k1", "k2")).alias("_group"))
+    named = classes.join(near.join(together, "component"), ["k1", "k2"], "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("_least", "least").alias("_component"), F.coalesce("_group", F.struct("k1", "k2")).alias("group"))
+    named = written(named, "named")  # a table of its own, so that a hot class is split in the join
+    for table in (names, near):
+        dropped(table)
     out = rows.join(named, (rows.k1 == named._k1) & (rows.k2 == named._k2) & (rows.n > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"), "h")
+    return out.select("doc_id", "h1", "h2", "n", F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; of repeated rows one stays. Texts without words all stay."""
-    grouped = _grouped(docs, n, percent, FRAGMENTS)
-    at = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    stay = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(at("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_d", at("doc_id")).withColumn("_h", F.xxhash64("text"))
-    return keyed.join(stay, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*docs.columns)
-
-
-def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent: int, fragments: int):
-    """Links (u, v) between class representatives that give the same components as all links."""
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("r"))
-    reps = classes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "k1", "k2")
-    fronts = written(sieve.join(reps, ["doc_id", "h", "k1", "k2"]).dropDuplicates(["doc_id", "h", "k1", "k2"]), "fronts")
+    """docs with one row of each component, that of the smallest doc_id (null comes last; of texts of one doc_id that of the lowest hash); of repeated rows one stays. Texts without words all stay."""
+    grouped = written(_grouped(docs, n, percent, FRAGMENTS), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "h1", "h2")).alias("_r")
+    one = grouped.where("n > 0").groupBy("group").agg(first).select("_r.doc_id", "_r.h1", "_r.h2")
+    stay = one.union(grouped.where("n = 0").select("doc_id", "h1", "h2").distinct())
+    key = lambda c: [F.coalesce(c, F.lit(0)).alias("_d"), c.isNull().alias("_null")]
+    stay = stay.select(*key(F.col("doc_id")), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    h1, h2 = _text_keys()
+    keys = ["_d", "_null", "_h1", "_h2"]
+    keyed = docs.select(whole_row(docs).alias("row"), *key(F.col("doc_id").cast("long")), h1.alias("_h1"), h2.alias("_h2"))
+    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select("row.*")
+
+
+def _components(texts: DataFrame, sieve: DataFrame, n: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """The classes that may link (rep, k1, k2), and their components (node, component) in terms of rep."""
+    # One row a class: equal sets have equal fronts. The copies of a hot text fall away before the shuffle.
+    fronts = sieve.where("n > 0").groupBy("k1", "k2").agg(F.first("need").alias("need"), F.first("front").alias("front"), F.min(F.struct("h1", "h2")).alias("h"))
+    fronts = written(fronts.select("k1", "k2", "need", "front", "h.h1", "h.h2"), "fronts")
     dropped(sieve)
     # Here k1 stands for the class: if two classes had it in common, both would only pass more easily.
     posted = fronts.select("k1", F.explode("front").alias("tok"))
     common = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("tok")
     common = written(common, "common")  # a table of its own, so that both sides are dealt for the join and a hot shingle can be split
     passed = posted.join(common.hint("shuffle_hash"), "tok").groupBy("k1").agg(F.count(F.lit(1)).alias("_c"))
-    through = written(fronts.select("doc_id", "h", "k1", "need").join(passed, "k1").where("_c >= need").select("doc_id", "h"), "through")
+    through = written(fronts.select("h1", "h2", "k1", "need").join(passed, "k1").where("_c >= need").select("h1", "h2"), "through")
     dropped(fronts)
     dropped(common)
 
-    chosen = texts.join(through, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    whole = written(chosen.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_rows(n), "rep long, n long, toks array<long>"), "whole")
+    distinct = texts.select("h1", "h2", "text").where("text is not null").dropDuplicates(["h1", "h2"])
+    chosen = distinct.join(through, ["h1", "h2"], "left_semi").select("text")
+    sets = chosen.mapInArrow(_set_rows(n), "n long, k1 long, k2 long, toks array<long>")
+    whole = written(sets.withColumn("rep", F.monotonically_increasing_id()), "whole")  # written, so the numbers stay
+    dropped(through)
+    names = written(whole.select("rep", "k1", "k2"), "names")
+    links = _links(whole, percent, fragments)
+    found = components(links[0].union(links[1]))
+    for table in links:
+        dropped(table)
+    return names, found
+
+
+def _links(whole: DataFrame, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """Of sets (rep, n, toks), which are dropped: two tables of links (u, v) that together give the same components as all links."""
     tokens = whole.select("rep", F.explode("toks").alias("tok"))
     df = written(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
     # In the global order rarer shingles come first, then lower hashes.
@@ -176,11 +211,12 @@ def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent:
 
     # Leaders: for each prefix shingle and band of sizes, the set with the fewest shingles of its own.
     band = lambda shift: F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) + F.lit(shift))
-    lead = None
+    lead, leaders = None, []
     for shift in (0.0, 0.5):
         banded = posted.withColumn("band", band(shift))
         best = banded.groupBy("tok", "band").agg(F.min(F.struct("alone", "rep", "n")).alias("l"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("tok", "band", F.col("l.rep").alias("b"), F.col("l.n").alias("nb"))
         best = written(best, "leaders")  # again a table of its own, for the sake of hot shingles
+        leaders.append(best)
         pairs = banded.join(best, ["tok", "band"]).where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb")
         lead = pairs if lead is None else lead.union(pairs)
     lead = lead.where(_in_reach(percent)).distinct()
@@ -198,9 +234,9 @@ def _links(texts: DataFrame, sieve: DataFrame, rows: DataFrame, n: int, percent:
     o = _least_overlap(percent, F.col("na"), F.col("nb"))
     rest = small.join(every, "tok").where((F.col("ca") != F.col("cb")) & (F.col("_top") | (F.col("a") < F.col("b"))) & _in_reach(percent) & (F.col("pa") <= F.col("na") - o + 1) & (F.col("pb") <= F.col("nb") - o + 1))
     second = _verified(rest.select("a", "b", "na", "nb").distinct(), segments, percent)
-    for table in (posted, placed, sets, through):
+    for table in (posted, placed, sets, known, top, *leaders):
         dropped(table)
-    return first.union(second)
+    return first, second
 
 
 def _in_reach(percent: int) -> Column:

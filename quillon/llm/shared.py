@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
 
+#: Spark's setting that deletes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of text that one NumPy step handles, so that its 64-bit work arrays stay near 50 MB.
 SLICE_BYTES = 1 << 20
 
@@ -33,8 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends here, and a lost executor costs no more than a task."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what has just been written
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files behind the table are of no use once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out
@@ -50,13 +57,12 @@ def dropped(df: DataFrame) -> None:
 
 
 
-
 #: Rows of rank offsets (at most a row per range and one per key) up to which they are broadcast, some 40 bytes each.
 OFFSET_ROWS = 100_000
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Adds `out`: the gapless rank from 0 of a row within `keys` in the order of `order`, which must be unique within keys.
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, weight: str | None = None) -> DataFrame:
+    """Adds `out`: the gapless rank from 0 of a row within `keys` in the order of `order`, which must be unique within keys; with `weight`, the sum of that column over the rows before.
 
     One key may hold most rows, so no window spans a whole key. Rows are dealt by range and sorted, and so
     numbered within their range as they are written. What precedes a range's rows of a key is a sum over
@@ -66,7 +72,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     dealt = written(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
     dealt = dealt.withColumn("_part", F.shiftright("_id", 33))
     names = [f"_k{i}" for i in range(len(keys))]
-    counts = dealt.select("_id", F.col("_part").alias("_p"), *[F.col(k).alias(x) for k, x in zip(keys, names)]).groupBy("_p", *names).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    each = F.lit(1) if weight is None else F.col(weight)
+    counts = dealt.select("_id", each.cast("long").alias("_w"), F.col("_part").alias("_p"), *[F.col(k).alias(x) for k, x in zip(keys, names)]).groupBy("_p", *names).agg(F.sum("_w").alias("_n"), F.min("_id").alias("_first"))
     counts = written(counts, "counts")
     before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -75,7 +82,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     cond = F.col("_part") == F.col("_p")
     for k, x in zip(keys, names):
         cond = cond & F.col(k).eqNullSafe(F.col(x))
-    return dealt.join(offsets, cond).withColumn(out, F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_part", "_p", "_first", "_before", *names)
+    inside = F.col("_id") - F.col("_first")
+    if weight is not None:  # a range and key at a time, so a key that fills many ranges is no single group
+        dealt = dealt.withColumn("_inside", F.coalesce(F.sum(weight).over(Window.partitionBy("_part", *keys).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        inside = F.col("_inside")
+    return dealt.join(offsets, cond).withColumn(out, inside + F.col("_before")).drop("_inside", "_id", "_part", "_p", "_first", "_before", *names)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that columns added beside it clash with none."""
+    return F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -133,13 +149,23 @@ class Words:
         finish = inside.copy()
         finish[:-1] &= ~inside[1:] | edge[1:-1]
         self.end = np.flatnonzero(finish) + 1
-        power = _powers(_BASE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * power[:-1], out=sums[1:])
-        back = _powers(_BASE_INV, len(data) + 1)
-        self.hash = mix((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = np.empty(len(self.start), dtype=np.uint64)
+        i = 0
+        while i < len(self.start):  # in steps of SLICE_BYTES, as a long text would need 32 bytes of work arrays for each of its own
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + SLICE_BYTES)))
+            self._hash_words(i, j)
+            i = j
         self.first = np.searchsorted(self.start, bounds)
 
+    def _hash_words(self, i: int, j: int) -> None:
+        """Sets the hashes of words i to j: running sums of byte values times powers, so that a word's hash is one subtraction."""
+        at = self.start[i]
+        part = self.data[at : self.end[j - 1]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * _powers(_BASE, len(part) + 1)[:-1], out=sums[1:])
+        start, end = self.start[i:j] - at, self.end[i:j] - at
+        self.hash[i:j] = mix((sums[end] - sums[start]) * _powers(_BASE_INV, len(part) + 1)[start] + (end - start).astype(np.uint64))
+
     def grams(self, n: int, salt: int = 1) -> np.ndarray:
         """Hash of the n words from each word on. The last n - 1 of a document run into the next one; see `whole`."""
         h = mix(self.hash + np.uint64((salt * 0xD1342543DE82EF95) & (2**64 - 1)))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import embeddings, graph, jaccard, licenses, shared, sharding, substrings
 from quillon.llm.shared import ranked
@@ -94,10 +95,47 @@ def test_jaccard_odd_rows(spark, documents, odd):
     assert jaccard.join(documents([]), 3, 90).count() == 0
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_jaccard_all_sizes_at_the_edge(spark, documents, n, percent):
+    """For each set size from 1 to 60, a partner that links by just enough and one that just doesn't."""
+    pairs = []
+    for size in range(1, 61):
+        w = [f"s{size}w{j}" for j in range(size + n - 1)]
+        least = -(-percent * size // 100)  # a subset of so many shingles still links
+        pairs += [(10 * size, " ".join(w)), (10 * size + 1, " ".join(w[: least + n - 1])), (10 * size + 2, " ".join(["x"] + w[: max(least - 1, 1) + n - 1]))]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.join(documents(pairs), n, percent).collect()}
+    assert got == brute_join(pairs, n, percent)
+
+
+def test_jaccard_repeated_and_null_ids(spark, documents):
+    words = [f"c{i}" for i in range(118)]
+    chain = [" ".join(words[:k]) for k in (102, 110, 118)]  # 100, 108 and 116 shingles: neighbours link, the ends don't
+    rows = [(10, chain[0]), (None, chain[1]), (11, chain[2]), (2, "a b c d e f g h"), (2, "p q r s t u v w"), (3, "a b c d e f g h"), (4, "p q r s t u v w"), (None, "lone words stand here alone")]
+    got = Counter((r[0], r[1], r[2]) for r in jaccard.join(documents(rows), 3, 90).collect())
+    assert got == Counter([(10, 100, 10), (None, 108, 10), (11, 116, 10), (2, 6, 2), (2, 6, 2), (3, 6, 2), (4, 6, 2), (None, 3, None)])
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(documents(rows), 3, 90).collect()]
+    assert Counter(kept) == Counter([(10, chain[0]), (2, "a b c d e f g h"), (2, "p q r s t u v w"), (None, "lone words stand here alone")])
+
+
 def test_one_of_each(spark, documents, odd):
-    kept = jaccard.one_of_each(documents(odd, extra=True), 5, 80)
-    assert kept.columns == documents(odd, extra=True).columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 7, 8, 10, 11, None])
+    docs = documents(odd, extra=True).withColumn("row", F.lit("r"))
+    kept = jaccard.one_of_each(docs, 5, 80)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter([1, 2, 3, 4, 5, 7, 8, 10, 11, None])
+    assert all(r["_d"] == (None if r.doc_id is None else str(r.doc_id)) for r in rows)
+
+
+def test_a_text_much_longer_than_a_step(spark, documents, monkeypatch):
+    monkeypatch.setattr(shared, "SLICE_BYTES", 1000)
+    long = " ".join(f"w{i}" for i in range(20_000)) + " " + "x" * 5000
+    got = {r[0]: r[2] for r in jaccard.join(documents([(1, long), (2, long.replace("w7 ", "v ")), (3, "x " + long[:300])]), 3, 90).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    data = np.frombuffer(long.encode(), dtype=np.uint8)
+    step = shared.Words(data, np.array([0, len(data)]))
+    monkeypatch.undo()
+    whole = shared.Words(data, np.array([0, len(data)]))
+    assert (step.hash == whole.hash).all() and len(whole.hash) == 20_001
 
 
 def test_components(spark):
