@@ -1,20 +1,24 @@
 """Sharding by balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Documents of equal text are linked. A clique of links is kept as a star: a group counts its members by
-shard, so an iteration costs rows of documents, never pairs. Shards hold equal numbers of rows: with N rows
-and S shards every shard has a quota of N // S, and the first N % S one more (law `rows`).
+Documents of equal text are linked. A clique of links is kept as a star, a group with the number of its
+members in each shard, so an iteration costs rows of groups, never pairs. Shards hold equal numbers of rows: with
+N rows and S shards every shard has a quota of N // S, and the first N % S one more (law `rows`).
 
 1. Every row starts in the shard that its rank in hash order gives, so the counts are right from the start.
-2. In each iteration a linked row votes for the shard with room that most of its group is in (of equal counts
-   the one of the lowest hash of group and shard). The rows that voted for where they are stay; others move
-   there in the order of their groups' size, as far as the quota goes once all rows that stay are counted.
-   Rows without links give way. A group larger than a shard fills it; its rest gathers in another.
-3. At the end unlinked rows fill the quotas exactly, most of them where they were.
+2. Groups as large as a shard, fewer than S of them, fill whole shards; what is left of one is a group like others.
+3. In each iteration an open group votes for the shard that most of its members are in, of those with room for
+   all of it (of equal counts by a hash that changes with the iteration; of all shards if none of its own has room).
+   The groups that want a shard enter it whole in the order of their size, as far as the room goes. The first in
+   each order always fits, so it ends, when nothing is open or no room holds any group that is.
+4. Groups that no room holds whole are laid one after another into the rooms left, which splits few of them.
+5. Unlinked rows fill the quotas exactly, most of them where they were.
 
-Every cut is by a gapless rank over all rows of a shard, dealt by range. Only DataFrame operations are used.
+The driver knows S loads and the sizes of fewer than S large groups. Every cut is by a gapless rank or a running
+sum over rows dealt by range. Only DataFrame operations are used.
 
 Defined results: a null text has size 8, crc32 0 and no links; empty texts are equal texts; repeated rows are
-linked like other copies; a null doc_id is dealt like any other; other columns are ignored.
+linked like other copies; a null doc_id is dealt like any other; ties go by hash, then row number; texts of any
+length count as one row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import ranked, written
+from quillon.llm.shared import dropped, ranked, written
 
+#: Iterations after which open groups are laid into the rooms left. Each places the largest group of every shard asked, most place nearly all.
+MOST_ITERATIONS = 60
 
-def shard(docs: DataFrame, shards: int = 24, iterations: int = 3) -> DataFrame:
+
+def shard(docs: DataFrame, shards: int = 24, iterations: int = MOST_ITERATIONS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, size, text_crc32, law (`rows`), shard, slot (gapless from 0 within the shard), grown_shard (null under this law), n_copies (rows of this text) and n_with (those of them in this shard)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("g1"), F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(1), "text")).alias("g2"))
@@ -37,49 +44,88 @@ def shard(docs: DataFrame, shards: int = 24, iterations: int = 3) -> DataFrame:
     state = written(dealt.join(groups, ["g1", "g2"], "left").withColumn("members", F.coalesce("members", F.lit(1))), "shards")
     total = state.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
+    linked = state.where("members > 1")
 
-    linked = state.where("members > 1").select("id", "g1", "g2", "members", "shard")
-    largest = linked.agg(F.max("members")).first()[0] or 0
+    least = max(1, quotas[-1])
+    large = groups.where(F.col("members") >= least).orderBy(F.desc("members"), "g1", "g2").collect()  # fewer than two for each shard
+    room, laid = _large_groups([r["members"] for r in large], quotas)
+    votes = linked.where(F.col("members") < least).groupBy("g1", "g2", "members", "shard").agg(F.count(F.lit(1)).alias("n"))
+    open_ = written(votes.groupBy("g1", "g2", "members").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes")), "votes")
+    homes = []
     for i in range(iterations):
-        after = _moved(linked, i, quotas, i == 0 and largest > quotas[-1])
-        settled = after.where("moved").isEmpty()
-        linked = after.drop("moved")
-        if settled:
+        entered = _entered(open_, room, i)
+        loads = {r["shard"]: r["load"] for r in entered.groupBy("shard").agg(F.sum("members").alias("load")).collect()}
+        if not loads:
             break
+        room = [x - loads.get(s, 0) for s, x in enumerate(room)]
+        homes.append(entered)
+        rest = written(open_.join(entered.select("g1", "g2"), ["g1", "g2"], "left_anti"), "votes")
+        dropped(open_)
+        open_ = rest
+    at_home = open_.select("g1", "g2", F.lit(None).cast("int").alias("home"))
+    for entered in homes:
+        at_home = at_home.union(entered.select("g1", "g2", F.col("shard").alias("home")))
+    at_home = written(at_home, "homes")
+    for table in (open_, *homes):
+        dropped(table)
+
+    # Rows of a large group, and of groups that no room held, are laid in order into stretches of given length.
+    whole = linked.join(at_home, ["g1", "g2"], "left").select("id", "g1", "g2", "members", "home")
+    placed = whole.where("home is not null").select("id", F.col("home").alias("shard"))
+    rest = whole.where("home is null").withColumn("order", -F.col("members"))
+    lengths = laid + [(s, room[s]) for s in sorted(range(shards), key=lambda s: -room[s])]
+    in_order = ranked(rest.select("id", "g1", "g2", "order"), [], ["order", "g1", "g2", "id"], "turn")
+    placed = placed.union(in_order.select("id", _stretch(F.col("turn"), lengths).alias("shard")))
+
     # In each shard linked rows come first, then the others; what is over the quota takes the places left elsewhere.
-    both = linked.select("id", "shard", (-F.col("members")).alias("order")).union(state.where("members = 1").select("id", "shard", F.lit(0).cast("long")))
+    both = placed.withColumn("order", F.lit(0)).union(state.where("members = 1").select("id", "shard", F.lit(1)))
     settled = written(ranked(both, ["shard"], ["order", "id"], "slot").withColumn("over", F.col("slot") >= _at(quotas, F.col("shard"))).drop("order"), "settled")
     taken = {r["shard"]: r["n"] for r in settled.where("not over").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts = [0]
-    for s, q in enumerate(quotas):
-        starts.append(starts[-1] + q - taken.get(s, 0))
-    homeless = ranked(settled.where("over").select("id"), [], ["id"], "n")
-    new = sum((F.when(F.col("n") >= e, 1).otherwise(0) for e in starts[1:]), F.lit(0)).cast("int")
-    moved = homeless.withColumn("shard", new).select("id", "shard", (F.col("n") - _at(starts, F.col("shard")) + _at([taken.get(s, 0) for s in range(shards)], F.col("shard"))).alias("slot"))
-    placed = settled.where("not over").select("id", "shard", "slot").union(moved)
-    out = written(state.drop("shard").join(placed, "id"), "placed")
+    free = [(s, q - taken.get(s, 0)) for s, q in enumerate(quotas)]
+    starts = [sum(n for _, n in free[:s]) for s in range(shards)]
+    homeless = ranked(settled.where("over").select("id"), [], ["id"], "turn").withColumn("shard", _stretch(F.col("turn"), free))
+    moved = homeless.select("id", "shard", (F.col("turn") - _at(starts, F.col("shard")) + _at([taken.get(s, 0) for s in range(shards)], F.col("shard"))).alias("slot"))
+    seats = settled.where("not over").select("id", "shard", "slot").union(moved)
+    out = written(state.drop("shard").join(seats, "id"), "placed")
+    for table in (state, settled, at_home):
+        dropped(table)
     with_ = out.where("members > 1").groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n_with"))
     return out.join(with_, ["g1", "g2", "shard"], "left").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("members").alias("n_copies"), F.coalesce("n_with", F.lit(1)).alias("n_with"))
 
 
-def _at(values: list[int], place: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), place + 1)
+def _large_groups(sizes: list[int], quotas: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """For groups as large as a shard, largest first: the room left in each shard, and stretches (shard, rows) in which their rows lie one after another."""
+    room, laid = list(quotas), []
+    for left in sizes:
+        while left:
+            fits = [s for s, x in enumerate(room) if x >= left]
+            # The rest goes where it fits closest; before that the emptiest shard is filled.
+            s = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+            laid.append((s, min(left, room[s])))
+            left -= laid[-1][1]
+            room[s] -= laid[-1][1]
+    return room, laid
+
 
+def _entered(open_: DataFrame, room: list[int], iteration: int) -> DataFrame:
+    """Of open groups (g1, g2, members, votes) those that enter a shard now: g1, g2, members, shard."""
+    fits = [(F.lit(x) >= F.col("members")) for x in room]
+    of = lambda s, n: F.struct(n.alias("n"), F.xxhash64("g1", F.lit(s), F.lit(iteration)).alias("h"), F.lit(s).alias("shard"))
+    best = F.array_max(F.array_compact(F.array(*[F.when(fit, of(s, F.coalesce(F.col("votes")[s], F.lit(0)).cast("long"))) for s, fit in enumerate(fits)])))
+    wishes = open_.select("g1", "g2", "members", best["shard"].alias("shard"), (-F.col("members")).alias("order")).where("shard is not null")
+    queue = ranked(wishes, ["shard"], ["order", "g1", "g2"], "before", weight="members")
+    return written(queue.where(F.col("before") + F.col("members") <= _at(room, F.col("shard"))).select("g1", "g2", "members", "shard"), "entered")
 
-def _moved(linked: DataFrame, iteration: int, quotas: list[int], some_overflow: bool) -> DataFrame:
-    """One iteration over the linked rows: id, g1, g2, members, shard and whether the row moved."""
-    counts = linked.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
-    # Where most of a group is. Groups that found no room there are tied again and again, and try another shard each time.
-    best = counts.groupBy("g1", "g2").agg(F.max(F.struct("n", F.xxhash64("g1", "shard", F.lit(iteration)).alias("h"), "shard"))["shard"].alias("home"))
-    best = written(best, "homes")
-    wishes = linked.join(best, ["g1", "g2"]).withColumn("want", F.col("home"))
-    wishes = wishes if some_overflow else wishes.withColumn("want", F.when(F.col("members") > quotas[-1], F.col("shard")).otherwise(F.col("home")))
-    if some_overflow:  # once, a group larger than its home wants the shards after it in a circle, quota by quota
-        quota = F.greatest(F.lit(1), _at(quotas, F.col("home")))
-        big = wishes.where(F.col("members") > quota).withColumn("away", (F.col("shard") != F.col("home")).cast("int"))
-        turned = ranked(big, ["g1", "g2"], ["away", "id"], "turn").withColumn("want", ((F.col("home") + F.floor(F.col("turn") / quota)) % len(quotas)).cast("int"))
-        wishes = wishes.where(F.col("members") <= quota).union(turned.select(wishes.columns))
-    ordered = wishes.withColumn("order", -F.col("members")).withColumn("away", (F.col("shard") != F.col("want")).cast("int"))
-    queue = ranked(ordered, ["want"], ["order", "g1", "g2", "away", "id"], "turn")
-    fits = F.col("turn") < _at(quotas, F.col("want"))
-    return written(queue.select("id", "g1", "g2", "members", F.when(fits, F.col("want")).otherwise(F.col("shard")).alias("shard"), (fits & (F.col("shard") != F.col("want"))).alias("moved")), "moved")
+
+def _stretch(turn: Column, lengths: list[tuple[int, int]]) -> Column:
+    """The shard of the stretch (shard, rows) that a place in their order falls in."""
+    out, end = F.lit(None).cast("int"), sum(n for _, n in lengths)
+    for s, n in reversed(lengths):
+        if n:
+            out = F.when(turn < end, s).otherwise(out)
+        end -= n
+    return out
+
+
+def _at(values: list[int], place: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), place + 1)
