@@ -1,44 +1,62 @@
 """Licence scans: normalised lines and whole texts against licence templates by the Dice coefficient over word bigrams.
 
-A text's segments are its lines and the text as a whole. Segments and templates are normalised alike:
-lower case, everything but ASCII letters and digits a space. With |A| and |B| bigrams a Dice coefficient of t
-or more needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, so a segment meets only the templates within these
-bounds; shared bigrams are then found by a join with the templates' bigrams, a table of fixed size. Such a
-segment also shares t / (2 - t) of the template's bigrams at least. `telling_words` picks words that occur in
-more than the rest of every template's bigrams: a text or line without any of them can't match and is passed
-over early.
+A text's segments are its lines, the text as a whole, and, as a notice may be wrapped over lines or stand in a line of
+prose, runs of as many words as a template has, from every eighth of that length on. Segments and templates
+are normalised alike: lower case, everything but ASCII letters and digits a space. With |A| and |B| bigrams a
+Dice coefficient of t or more needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, so a segment meets only the templates
+within these bounds. For lines and whole texts shared bigrams are found by a join with the templates' bigrams, a
+table of fixed size. Such a segment also shares t / (2 - t) of the template's bigrams at least. `telling_words`
+picks words that occur in more than the rest of every template's bigrams: a text, line or run without any of
+them can't match, so only runs about such words are looked at.
 
 Defined results: a null or empty text, and one that matches nothing, has null license and dice and no
-matching segments; equal scores go to the licence first by name; repeated rows each give a row; other
+matching segments; equal scores go to the licence first by name; repeated rows each give a row, also with a null
+doc_id; texts of any length are scanned whole, in a task each; an empty table gives an empty result; other
 columns are ignored. A segment of one word has no bigrams and matches nothing.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from functools import reduce
-from operator import or_
+from collections import Counter
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.shared import written
+
 THRESHOLD = 0.8
 
 # Public licence notices and short licence texts.
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
     ("MIT", "Released under the MIT License."),
     (
         "MIT",
@@ -75,6 +93,7 @@ def templates(spark: SparkSession, texts=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, schema).select("license", "template", grams.alias("grams"), F.size(grams).alias("n_template"))
 
 
+@cache
 def telling_words(texts=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
     """Words of which every segment that matches a template holds one: greedily, those in many bigrams and long, common words last."""
     grams, need = [], []
@@ -84,8 +103,11 @@ def telling_words(texts=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
         need.append(int(len(grams[-1]) * (1 - threshold / (2 - threshold)) + 1e-9) + 1)
     chosen: list[str] = []
     while any(n > 0 for n in need):
-        gain = lambda word: sum(min(n, sum(word in g for g in part)) for part, n in zip(grams, need) if n > 0) * (0.01 if word in COMMON_WORDS else len(word))  # noqa: B023, E731
-        word = max(sorted({w for part in grams for g in part for w in g}), key=gain)
+        gain: Counter = Counter()
+        for part, n in zip(grams, need):
+            for word, in_grams in Counter(w for g in part for w in set(g)).items():
+                gain[word] += min(max(n, 0), in_grams) * (0.01 if word in COMMON_WORDS else len(word))
+        word = max(sorted(gain), key=gain.__getitem__)
         chosen.append(word)
         need = [n - sum(word in g for g in part) for part, n in zip(grams, need)]
         grams = [{g for g in part if word not in g} for part in grams]
@@ -93,12 +115,43 @@ def telling_words(texts=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
 
 
 def _holds_any(c: Column, words: list[str]) -> Column:
-    """Whether the lower-case text holds one of the words, be it (if it is long) within another; a superset, and cheap."""
-    held = lambda t, w: F.contains(t, F.lit(w)) if len(w) > 3 else t.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])")
-    return F.exists(F.array(F.lower(c)), lambda t: reduce(or_, (held(t, w) for w in words)))
+    """Whether a word of the text, as normalised() would leave it, is one of these."""
+    return F.arrays_overlap(F.transform(F.split(c, "[^A-Za-z0-9]+"), F.lower), F.array(*map(F.lit, words)))
 
 
-def matches(docs: DataFrame, texts=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _runs(texts, threshold: float, telling: list[str]) -> list[dict]:
+    """For each template: its number, licence, words in a run, step between runs, bigrams and telling words."""
+    out = []
+    for i, (name, text) in enumerate(texts):
+        w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        out.append({"template": i, "license": name, "words": len(w), "step": max(1, len(w) // 8), "grams": [" ".join(p) for p in dict.fromkeys(zip(w, w[1:]))], "telling": sorted(set(w) & set(telling))})
+    return out
+
+
+def run_matches(docs: DataFrame, texts: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The matching runs of words of docs(_row, text): _row, start (word number from 0), license, template, dice. Each run is a slice of its text's words and gives a row only if it matches."""
+    telling = telling_words(texts, threshold)
+    split = docs.where(_holds_any(F.col("text"), telling)).select("_row", _words(normalised(F.col("text"))).alias("_w"))
+    hits = F.filter(F.transform("_w", lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda x: x["w"].isin(telling))
+    split = split.withColumn("_hits", hits).where(F.size("_hits") > 0)
+    known = F.from_json(F.lit(json.dumps(_runs(texts, threshold, telling))), "array<struct<template:int,license:string,words:int,step:int,grams:array<string>,telling:array<string>>>")
+    return split.select("_row", F.inline(F.flatten(F.transform(known, lambda t: _near(t, threshold)))))
+
+
+def _near(t: Column, threshold: float) -> Column:
+    """The matches of template t among runs that begin at a multiple of its step and hold one of its telling words."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    first = lambda i: F.ceil(F.greatest(F.lit(0), i - t["words"] + 1) / t["step"])
+    last = lambda i: F.floor(i / t["step"])
+    about = lambda x: F.when(first(x["i"]) <= last(x["i"]), F.sequence(first(x["i"]), last(x["i"]))).otherwise(F.array().cast("array<bigint>"))
+    starts = F.array_distinct(F.flatten(F.transform(F.filter("_hits", lambda x: F.array_contains(t["telling"], x["w"])), about)))
+    runs = F.transform(starts, lambda p: F.struct((p * t["step"]).cast("int").alias("start"), _bigrams(F.slice("_w", (p * t["step"]).cast("int") + 1, t["words"])).alias("run")))
+    in_bounds = lambda x: F.size(x["run"]).between(F.size(t["grams"]) * F.lit(low), F.size(t["grams"]) * F.lit(high))
+    rated = F.transform(F.filter(runs, in_bounds), lambda x: F.struct(x["start"].alias("start"), t["license"].alias("license"), t["template"].alias("template"), (2.0 * F.size(F.array_intersect(x["run"], t["grams"])) / (F.size(x["run"]) + F.size(t["grams"]))).alias("dice")))
+    return F.filter(rated, lambda x: x["dice"] >= threshold)
+
+
+def matches(docs: DataFrame, texts: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The matching segments of docs(_row, text): _row, segment (line number from 0; the number of lines for the whole text), license, template, dice."""
     known = templates(docs.sparkSession, texts)
     sizes = [r[0] for r in known.select("n_template").collect()]
@@ -118,13 +171,16 @@ def matches(docs: DataFrame, texts=TEMPLATES, threshold: float = THRESHOLD) -> D
 
 
 def scan(docs: DataFrame, texts=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of docs: doc_id, license and dice (the best match), n_segments (those that match a template), licenses (all, sorted)."""
+    """Per row of docs: doc_id, license and dice (the best match), n_segments (those that match a template), licenses (all, sorted), n_runs (runs of words that match one)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    found = matches(rows.select("_row", "text"), texts, threshold)
+    few = written(rows.select("_row", "text").where(_holds_any(F.col("text"), telling_words(texts, threshold))), "telling")
+    found = matches(few, texts, threshold).drop("template").withColumn("start", F.lit(None).cast("int"))
+    runs = run_matches(few, texts, threshold).select("_row", F.lit(None).cast("int").alias("segment"), "license", "dice", "start", "template")
+    found = found.withColumn("template", F.lit(None).cast("int")).unionByName(runs)
     # Repeated rows share a key, so their segments are counted once; each still gets its row in the join below.
-    per_doc = found.groupBy("_row").agg(F.min(F.struct((-F.col("dice")).alias("worst"), "license")).alias("_b"), F.count_distinct("segment").alias("n_segments"), F.array_sort(F.collect_set("license")).alias("_a"))
+    per_doc = found.groupBy("_row").agg(F.min(F.struct((-F.col("dice")).alias("worst"), "license")).alias("_b"), F.count_distinct("segment").alias("n_segments"), F.count_distinct("start", "template").alias("n_runs"), F.array_sort(F.collect_set("license")).alias("_a"))
     out = rows.select("_row").join(per_doc, "_row", "left")
-    return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_b.license").alias("license"), F.round(-F.col("_b.worst"), 6).alias("dice"), F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"), F.coalesce(F.array_join("_a", ","), F.lit("")).alias("licenses"))
+    return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_b.license").alias("license"), F.round(-F.col("_b.worst"), 6).alias("dice"), F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"), F.coalesce(F.array_join("_a", ","), F.lit("")).alias("licenses"), F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"))
 
 
 def sql(texts=TEMPLATES, threshold: float = THRESHOLD) -> str:
@@ -144,8 +200,17 @@ sw as (select r, segment, {words('line')} w from seg),
 sg as (select r, segment, {grams('w')} g from sw where len(w) > 1),
 m as (select r, segment, license, template, 2.0::double * len(list_intersect(sg.g, tg.g)) / (len(sg.g) + len(tg.g)) dice from sg, tg
       where len(sg.g) between len(tg.g) * {threshold / (2 - threshold)!r}::double and len(tg.g) * {(2 - threshold) / threshold!r}::double),
-k as (select * from m where dice >= {threshold}),
+dw as materialized (select r, {words('x')} w from d where x is not null),
+pos as (select r, w, unnest(range(1, len(w))) i from dw),
+tw as (select license, template, len(w) nw, greatest(1, len(w) // 8) step, {grams('w')} g from t),
+tp as (select template, nw, step, unnest(g) gram from tw),
+hit as (select distinct r, i, gram from (select r, i, w[i] || ' ' || w[i + 1] gram from pos)  where gram in (select gram from tp)),
+start as (select distinct r, template, s * step s from (select r, template, step, unnest(generate_series(cast(greatest(0, ceil((i - nw) / step)) as bigint), (i - 1) // step)) s from hit join tp using (gram))),
+run as (select r, template, s, list_slice(dw.w, s + 1, s + nw) rw from start join tw using (template) join dw using (r)),
+rm as (select r, tw.license, template, s, 2.0::double * len(list_intersect(rg, tw.g)) / (len(rg) + len(tw.g)) dice from (select r, template, s, {grams('rw')} rg from run where len(rw) > 1) join tw using (template)
+       where len(rg) between len(tw.g) * {threshold / (2 - threshold)!r}::double and len(tw.g) * {(2 - threshold) / threshold!r}::double),
+k as (select r, segment, license, dice, null s, null template from m where dice >= {threshold} union all select r, null, license, dice, s, template from rm where dice >= {threshold}),
 b as (select *, row_number() over (partition by r order by dice desc, license) n from k),
-a as (select r, count(distinct segment) n_segments, string_agg(distinct license, ',' order by license) licenses from k group by r)
-select doc_id, b.license, round(b.dice, 6) dice, coalesce(n_segments, 0) n_segments, coalesce(licenses, '') licenses
+a as (select r, count(distinct segment) n_segments, count(distinct (s, template)) filter (s is not null) n_runs, string_agg(distinct license, ',' order by license) licenses from k group by r)
+select doc_id, b.license, round(b.dice, 6) dice, coalesce(n_segments, 0) n_segments, coalesce(licenses, '') licenses, coalesce(n_runs, 0) n_runs
 from d left join b on b.r = d.r and b.n = 1 left join a on a.r = d.r"""

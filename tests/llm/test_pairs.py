@@ -274,6 +274,14 @@ def test_licences(spark, documents, odd):
     got = {x.doc_id: x for x in licenses.scan(documents(rows, extra=True)).where("doc_id > 10").collect()}
     assert [got[i].license for i in (20, 21, 22, 23, 24, 11)] == ["MIT", "Apache-2.0", "MIT", "MIT", None, None]
     assert got[20].dice == 1.0 and got[22].dice < 1
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("aeiou") + r.choice("bdgk") for _ in range(3)) for _ in range(n))
+    wrapped = lambda text: "\n".join(" ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    bodies = {30 + i: (n, t) for i, (n, t) in enumerate(licenses.TEMPLATES) if len(t.split()) > 20}
+    between = [(i, f"{prose(200)}\n{prose(9)} {wrapped(t)}\n{prose(300)}") for i, (_, t) in bodies.items()] + [(80, f"{prose(60)} released under the MIT license, {prose(60)}"), (81, prose(400))]
+    found = {x.doc_id: x for x in licenses.scan(documents(between)).collect()}
+    assert all(name in found[i].licenses.split(",") and found[i].dice > 0.9 for i, (name, _) in bodies.items())
+    assert all(found[i].license == name for i, (name, _) in bodies.items() if not name.startswith("GPL")) and found[80].license == "MIT" and found[80].n_segments == 0 < found[80].n_runs and found[81].license is None
     assert licenses.scan(documents(rows)).count() == len(rows) and licenses.scan(documents([])).count() == 0
 
 
