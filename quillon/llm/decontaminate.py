@@ -9,9 +9,11 @@ may lie in any order, so passages whose parts were moved about are caught too.
 Seeds of the test set are looked up in each task while the test set is small (`broadcast_bytes`); larger ones
 are joined by seed hash with a shuffle. Both give the same rows.
 
-Defined results: null and empty texts have no coverage; items with fewer words than a seed are passed over;
-of equal coverages the smallest item_id is named; repeated rows each give a row; an empty test set
-contaminates nothing; other columns are ignored.
+Defined results: null and empty texts have no coverage; items without an id or with fewer words than a seed are
+passed over, repeated ones count once, and two texts of one item_id are two items; of equal coverages the
+smallest item_id is named; repeated rows each give a row, also with a null doc_id; texts of any length are tiled
+whole, in a task each, in time near proportional to them even if they repeat one word; an empty test set
+contaminates nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import _BASE, _BASE_INV, Words, _powers, dropped, mix, signed, slices, written
+from quillon.llm.shared import _BASE, _BASE_INV, Words, _powers, dropped, mix, signed, slices, whole_row, written
 
 LEAST, COVERAGE = 4, 0.5
 #: Bytes of test items up to which their seeds go to every task.
@@ -31,68 +33,101 @@ START = 16
 
 
 class _Sequence:
-    """Word hashes with running sums, so that the hash of any run is one subtraction."""
+    """Word hashes with running sums, so that the hash of any run is one subtraction, and marks."""
 
     def __init__(self, words: np.ndarray):
         self.words, self.marked = words, np.zeros(len(words), dtype=bool)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * _powers(_BASE, len(words) + 1)[:-1])])
         self.back = _powers(_BASE_INV, len(words) + 1)
 
-    def runs(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the runs of s words without a mark."""
+    def hash(self, at: np.ndarray, length) -> np.ndarray:
+        return (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+    def runs(self, s: int) -> np.ndarray:
+        """Starts of the runs of s words without a mark."""
         if len(self.words) < s:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64)
         marks = np.concatenate([[0], np.cumsum(self.marked)])
-        at = np.flatnonzero(marks[s:] == marks[:-s])
-        return at, (self.sums[at + s] - self.sums[at]) * self.back[at]
+        return np.flatnonzero(marks[s:] == marks[:-s])
+
+    def before(self, at: np.ndarray, none: int) -> np.ndarray:
+        """The unmarked word before each place, or `none`."""
+        free = (at > 0) & ~self.marked[at - 1]
+        return np.where(free, self.words[at - 1], np.uint64(none))
+
+    def room(self, at: np.ndarray) -> np.ndarray:
+        """Words from each place on without a mark."""
+        stop = np.where(self.marked, np.arange(len(self.words)), len(self.words))
+        return np.minimum.accumulate(stop[::-1])[::-1][at] - at
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two sequences of word hashes: (start in item, start in text, length), each `least` or longer, longest first."""
-    a, b, out = _Sequence(item), _Sequence(text), []
+    """Greedy string tiling of two sequences of word hashes: (start in item, start in text, length), each `least` or longer, longest first, of equal ones the first in the item, then in the text."""
+    ranks = np.unique(np.concatenate([item, text]), return_inverse=True)[1].astype(np.uint64) + np.uint64(3)  # so that 1 and 2 are no words
+    a, b, out = _Sequence(ranks[: len(item)]), _Sequence(ranks[len(item) :]), []
     s = max(least, min(START, len(item)))
     while True:
-        matches, longest = _matches(a, b, s)
-        if longest > 2 * s:
-            s = longest
-            continue
-        while matches:
-            matches.sort(reverse=True)
-            n, i, j = matches.pop(0)
-            i, j = -i, -j
-            taken = a.marked[i : i + n] | b.marked[j : j + n]
-            if not taken.any():
-                a.marked[i : i + n] = b.marked[j : j + n] = True
-                out.append((i, j, n))
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
-            matches += [(int(y - x), -(i + int(x)), -(j + int(x))) for x, y in zip(edges[::2], edges[1::2]) if y - x >= s]
+        i, j, n = _matches(a, b, s)
+        while len(n):  # each turn uses up `s` words of the item, so turns are few, and all matches are held against the new tile at once
+            top = np.flatnonzero(n == n.max())
+            k = top[np.lexsort((j[top], i[top]))[0]]
+            x, y, size = int(i[k]), int(j[k]), int(n[k])
+            a.marked[x : x + size] = b.marked[y : y + size] = True
+            out.append((x, y, size))
+            i, j, n = _cut(i, j, n, x, y, size, s)
         if s == least:
             return out
         s = max(least, s // 2)
 
 
-def _matches(a: _Sequence, b: _Sequence, s: int) -> tuple[list[tuple[int, int, int]], int]:
-    """The unmarked matches of s words or more that can't be prolonged to the left, as (length, -start, -start), and the longest length."""
-    at_a, hash_a = a.runs(s)
-    at_b, hash_b = b.runs(s)
-    out, longest = [], 0
+def _cut(i, j, n, x: int, y: int, size: int, s: int):
+    """What a new tile leaves of matches (i, j, n): the parts of s words or more outside it, at most three of each."""
+    ends = []
+    for start, tile in ((i, x), (j, y)):
+        lo, hi = np.clip(tile - start, 0, n), np.clip(tile + size - start, 0, n)
+        ends.append((np.where(lo < hi, lo, n), np.where(lo < hi, hi, n)))
+    (lo1, hi1), (lo2, hi2) = ends
+    first, second = np.minimum(lo1, lo2), np.maximum(lo1, lo2)
+    parts = [(np.zeros_like(n), first), (np.where(lo1 <= lo2, hi1, hi2), second), (np.maximum(hi1, hi2), n)]
+    # Where one lies within the other the middle part is empty or lies within what is taken; the last part starts after both.
+    kept = [(i + lo, j + lo, hi - lo) for lo, hi in parts]
+    i, j, n = (np.concatenate(c) for c in zip(*kept))
+    long = n >= s
+    return i[long], j[long], n[long]
+
+
+def _matches(a: _Sequence, b: _Sequence, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unmarked matches of s words or more that can be prolonged to neither side: starts in a and b, and lengths.
+
+    The runs of b lie in the order of their hash and the word before. A run of a meets those of its hash with
+    another word before; the others are prolongations of matches further left. So a text that repeats one
+    passage costs as many pairs as it has words, not that number squared.
+    """
+    at_a, at_b = a.runs(s), b.runs(s)
     if not len(at_a) or not len(at_b):
-        return out, longest
-    order = np.argsort(hash_a, kind="stable")
-    lo, hi = np.searchsorted(hash_a[order], hash_b, "left"), np.searchsorted(hash_a[order], hash_b, "right")
-    for k in np.flatnonzero(hi > lo):
-        j = int(at_b[k])
-        for i in at_a[order[lo[k] : hi[k]]].tolist():
-            if i and j and not a.marked[i - 1] and not b.marked[j - 1] and a.words[i - 1] == b.words[j - 1]:
-                continue
-            n = 0
-            while i + n < len(a.words) and j + n < len(b.words) and not a.marked[i + n] and not b.marked[j + n] and a.words[i + n] == b.words[j + n]:
-                n += 1
-            if n >= s:
-                out.append((n, -i, -j))
-                longest = max(longest, n)
-    return out, longest
+        return (np.zeros(0, np.int64),) * 3
+    hash_a, hash_b = a.hash(at_a, s), b.hash(at_b, s)
+    both = np.isin(hash_b, hash_a)
+    at_b, hash_b = at_b[both], hash_b[both]
+    prev_a, prev_b = a.before(at_a, 1), b.before(at_b, 2)
+    order = np.lexsort((prev_b, hash_b))
+    at_b, hash_b, prev_b = at_b[order], hash_b[order], prev_b[order]
+    lo, hi = np.searchsorted(hash_b, hash_a, "left"), np.searchsorted(hash_b, hash_a, "right")
+    keep = hi > lo
+    at_a, prev_a, lo, hi = at_a[keep], prev_a[keep], lo[keep], hi[keep]
+    same = [[x + int(np.searchsorted(prev_b[x:y], p, side)) for x, y, p in zip(lo.tolist(), hi.tolist(), prev_a)] for side in ("left", "right")]
+    begin, end = np.concatenate([lo, np.array(same[1], dtype=np.int64)]), np.concatenate([np.array(same[0], dtype=np.int64), hi])
+    count = end - begin
+    i = np.repeat(np.tile(at_a, 2), count)
+    j = at_b[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    low, high = np.full(len(i), s, dtype=np.int64), np.minimum(a.room(i), b.room(j))
+    low = np.minimum(low, high)
+    while (todo := np.flatnonzero(low < high)).size:
+        middle = (low[todo] + high[todo] + 1) // 2
+        equal = a.hash(i[todo], middle) == b.hash(j[todo], middle)
+        low[todo] = np.where(equal, middle, low[todo])
+        high[todo] = np.where(equal, high[todo], middle - 1)
+    return i, j, low
 
 
 def coverage(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> float:
@@ -132,6 +167,7 @@ class Items:
 
     def candidates(self, grams: np.ndarray, least: int, share: float) -> list[int]:
         """Items of which the seeds among grams cover the share."""
+        grams = np.unique(grams)
         lo, hi = np.searchsorted(self.seeds, grams, "left"), np.searchsorted(self.seeds, grams, "right")
         flat = np.unique(np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])) if len(grams) else np.zeros(0, np.int64)
         out = []
@@ -197,7 +233,7 @@ def _tiled(least: int):
 
 def _items(benchmark: DataFrame, least: int, broadcast_bytes: int) -> tuple[DataFrame, Items | None]:
     """The test items, and their index if they are small."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).distinct()
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
         return items, None
     held = items.collect()
@@ -229,21 +265,22 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: floa
 
         return docs.where(~contaminated(F.lower("text")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h"))
-    bad = _pairs(rows.withColumn("k", key), items, least, share).select(F.col("k").alias("_k")).distinct()
-    keyed = docs.withColumn("_k", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.lower("text")).alias("h")))
-    return keyed.join(bad, "_k", "left_anti").select(*docs.columns)
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.lower("text")).alias("h"))
+    bad = _pairs(rows.withColumn("k", key), items, least, share).select("k").distinct()
+    return docs.select(whole_row(docs).alias("row"), key.alias("k")).join(bad, "k", "left_anti").select("row.*")
 
 
 def _pairs(keyed: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
     """For large test sets: seeds meet in a shuffle join, then each candidate pair is tiled. Gives k, item_id, coverage."""
-    columns = "place int, seed long, n int"
-    theirs = items.mapInArrow(_seed_rows(least), f"k long, {columns}").select(F.col("k").alias("item_id"), "place", "seed", "n")
+    columns, items = "place int, seed long, n int", items.withColumn("item", F.struct("item_id", F.xxhash64("text").alias("h")))
+    theirs = items.select("item", "text").mapInArrow(_seed_rows(least), f"k struct<item_id:long,h:long>, {columns}").select(F.col("k").alias("item"), "place", "seed", "n")
+    theirs = written(theirs, "seeds")  # a table of its own, so that a hot seed is split in the join
     ours = keyed.select("k", "text").mapInArrow(_seed_rows(least), f"k struct<d:long,h:long>, {columns}").select("k", "seed").distinct()
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("place", F.col("place") + (least - 1))))))
-    pairs = written(ours.join(theirs, "seed").groupBy("k", "item_id", "n").agg(covered.alias("c")).where(F.col("c") >= share * F.col("n")).select("k", "item_id"), "pairs")
+    pairs = written(ours.join(theirs, "seed").groupBy("k", "item", "n").agg(covered.alias("c")).where(F.col("c") >= share * F.col("n")).select("k", "item"), "pairs")
+    dropped(theirs)
     texts = keyed.select("k", "text").dropDuplicates(["k"])
-    ready = pairs.join(texts, "k").join(items.withColumnRenamed("text", "item"), "item_id").select("k", "item_id", "item", "text")
+    ready = pairs.join(texts, "k").join(items.withColumnRenamed("text", "theirs"), "item").select("k", "item_id", "theirs", "text")
     tiled = written(ready.mapInArrow(_tiled(least), "k struct<d:long,h:long>, item_id long, coverage double").where(F.col("coverage") >= share), "tiled")
     dropped(pairs)
     return tiled
