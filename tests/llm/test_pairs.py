@@ -264,6 +264,12 @@ def test_embeddings(spark):
     n = Counter(x for e in edges for x in e)
     want = {i: (n[i], c, i == c) for i, c in least_of_components([x[0] for x in rows], edges).items()}
     assert got == want and sum(n.values()) > 50
+    for keys in (2, 3):
+        assert {x[0]: tuple(x)[1:] for x in embeddings.near_duplicates(df, keys=keys).collect()} == want
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    odd_ids = [(2, a, 1), (2, b, 1), (3, a, 1), (4, b, 1), (None, [0.0, 0.0, 1.0], 1), (None, [0.0, 0.05, 1.0], 1), (9, [0.0, 0.2, 1.0], 1), (None, [1.0, 1.0, 1.0], 1)]
+    few = Counter(tuple(x) for x in embeddings.near_duplicates(spark.createDataFrame(odd_ids, "vec_id long, embedding array<double>, label int")).collect())
+    assert few == Counter([(2, 1, 2, True), (2, 1, 2, True), (3, 1, 2, False), (4, 1, 2, False), (None, 2, 9, False), (None, 2, 9, False), (9, 2, 9, True), (None, 0, None, False)])
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert embeddings.near_duplicates(empty).count() == 0
 
