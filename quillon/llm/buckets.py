@@ -7,8 +7,9 @@ padded to length j. The best i never falls as j grows, so each layer is solved b
 a bucket rows are ranked without gaps (ranges, not one task) and cut into batches of budget // bound rows.
 
 Defined results: a null or empty text has length 0 and goes with the shortest bucket; a text longer than
-the budget makes a batch of its own row, uncut; equal lengths are ordered by a hash, then doc_id; repeated
-rows each take a place; an empty table gives an empty result; other columns are ignored.
+the budget makes a batch of its own row, uncut; equal lengths are ordered by a hash, then doc_id (null first); repeated
+rows each take a place; an empty table gives an empty result; other columns are ignored. The driver holds a row for
+each distinct length: with D of them some 32 * D bytes and D * log D steps a bucket.
 """
 
 from __future__ import annotations

@@ -3,11 +3,14 @@
 The dictionaries are raw content taken from labelled texts. A document is cut into chunks, each chunk is
 compressed with either dictionary, and the summed sizes give the normalised difference
 (bad - good) / (bad + good), in -1..1. This is done on two channels, the bytes themselves and their
-shapes (which no language decides). A logistic curve fitted on labelled texts that aren't in the
-dictionaries turns the two differences, and the logarithm of the share that either leaves, into a score.
-
-Defined results: null and empty texts have features of 0, so the score is the curve's value there; texts are
-scored whole; each row of the input gives a row; without labels of both kinds the score is 0.5.
+shapes (which no language decides). A logistic curve fitted on labelled texts that aren't in the dictionaries, weighted
+to the labels' rate, turns the two differences, and the logarithm of the compressed share, into a score.
+
+Defined results: null and empty texts have features of 0, so the score is the curve's value there; texts of any
+length are scored whole, chunk by chunk; each row of the input gives a row, repeated ones the same score, also with a
+null doc_id (which is never held out); ties between labelled rows for the sample go by hash, then doc_id; doc_ids
+with both labels teach nothing; without labels of both kinds the score is 0.5; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,9 +75,9 @@ def _content(texts: list[bytes]) -> bytes:
     return b"\n".join(parts)[:DICT_BYTES]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> list[float]:
-    """Newton's method with a slight penalty on the slopes; both labels weigh alike. The offset comes last."""
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+def _logistic(x: np.ndarray, y: np.ndarray, rate: float, steps: int = 50) -> list[float]:
+    """Newton's method with a slight penalty on the slopes; rows weigh so that label 1 has the share `rate`. The offset comes last."""
+    weight = np.where(y == 1, rate / max(1, (y == 1).sum()), (1 - rate) / max(1, (y == 0).sum())) * len(y)
     scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z = np.column_stack([x / scale, np.ones(len(x))])
     penalty = np.array([1e-1] * x.shape[1] + [1e-6])
@@ -88,8 +91,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> list[float]:
     return [*(w[:-1] / scale).tolist(), float(w[-1])]
 
 
-def fit(good: list[str], bad: list[str]) -> Model:
-    """good, bad: texts; half of each makes the dictionaries, the other half fits the curve."""
+def fit(good: list[str], bad: list[str], rate: float = 0.5) -> Model:
+    """good, bad: texts; half of each makes the dictionaries, the other half fits the curve. rate: the share of good ones among all, to which the score is calibrated."""
     if len(good) < 2 or len(bad) < 2:
         return Model([], [0.0, 0.0])
     halves = [[t.encode() for t in texts[::2]] for texts in (good, bad)]
@@ -97,7 +100,7 @@ def fit(good: list[str], bad: list[str]) -> Model:
     model = Model(pairs, [])
     x = np.array([model.features(t) for t in [*good[1::2], *bad[1::2]]])
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
-    model.weights = _logistic(x, y)
+    model.weights = _logistic(x, y, rate)
     return model
 
 
@@ -105,11 +108,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     """Fits on at most `rows` labelled texts of each label (of at most `most_bytes`), lowest hash of doc_id first; never on rows whose crc32(doc_id) mod 4 is 2."""
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("_other")).where("quality = _other and crc32(cast(doc_id as string)) % 4 != 2").drop("_other")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text").between(1, most_bytes))
+    counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
     for label in (1, 0):
         lot = marked.where(F.col("quality") == label).select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(rows)
         picked.append([r["text"] for r in texts.join(F.broadcast(lot), "doc_id").orderBy("_h", "doc_id", "text").limit(rows).collect()])
-    return fit(*picked)
+    return fit(*picked, rate=(counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
 
 
 def _scored(docs: DataFrame, model: Model) -> Column:

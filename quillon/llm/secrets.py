@@ -10,7 +10,9 @@ for text with the byte frequencies of the whole corpus. That p-value falls with
 Benjamini-Hochberg rule is applied to it within each band of lengths over all candidates of the corpus.
 
 Defined results: a null text counts as empty; a row without spans has empty `spans` and the hash of the
-empty string; repeated rows each give a row; other columns of the input are ignored.
+empty string; repeated rows each give a row, also with a null doc_id; texts of any length are scanned whole, in a
+task each; spans that start together stand in the order of their kinds; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import dropped, written
+from quillon.llm.shared import dropped, whole_row, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -41,7 +43,6 @@ _SETS = [frozenset(a) for _, a in ENCODINGS]
 _INDEX = [{c: i for i, c in enumerate(a)} for _, a in ENCODINGS]
 
 
-
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the fixed patterns, leftmost and not overlapping within a kind, by start and then kind."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
@@ -213,7 +214,7 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.0
 
 
 def redacted(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.001) -> DataFrame:
-    """docs with a mark in place of every span in `text`. One pass finds the rule, another applies it; rows aren't joined, so any rows will do."""
+    """docs with a mark in place of every span in `text`; `n_chars`, where there is one, follows a text that changed. One pass finds the rule, another applies it; rows aren't joined, so any rows will do."""
     scanned, rule = _scanned(docs, alpha, least_random)
     dropped(scanned)
 
@@ -221,7 +222,11 @@ def redacted(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.001)
     def clean(text):
         return text.map(rule.redact, na_action="ignore")
 
-    return docs.withColumn("text", clean("text"))
+    row = docs.select(whole_row(docs).alias("row"), clean("text").alias("clean"))
+    changed = ~F.col("row.text").eqNullSafe(F.col("clean"))
+    kind = dict(docs.dtypes)
+    new = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean")).otherwise(F.col("row.n_chars")).cast(kind["n_chars"]) if "n_chars" in kind else None}
+    return row.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

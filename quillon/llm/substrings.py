@@ -8,13 +8,16 @@
 3. The survivors' windows, those that hold a surviving extension, are counted at full length (96-bit hashes).
    Texts that occur twice or more repeat in all their windows. One of them stands for all in the counts, and
    none needs its windows looked up again.
-   Further doublings (`longest`) go on from windows that repeat until no candidate survives.
+   Further doublings (`longest`) go on from these: a window of twice the length repeats only if both of its halves
+   do, so only such starts are counted again, until no candidate survives.
 4. Windows that occur twice or more are marked and the words they cover removed, judged on the input throughout.
 
 Each level deals rows by hash, with sums taken before the shuffle; copies are counted, never paired.
 
 Defined results: a null text has no words; repeated rows are copies of each other, so all their windows
-repeat; texts shorter than a window lose nothing; each row gives a row; other columns are ignored.
+repeat; texts shorter than a window lose nothing; each row gives a row, texts that share a doc_id or have none each
+for itself; there are no ties, as every copy of a window goes; texts of any length are taken whole, in one task each
+with some 20 bytes of memory a byte of text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,9 +172,9 @@ def _clean_rows(keep_text: bool, window: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with the key (doc_id, h), h being 32 bits that only tell texts of one doc_id apart; a null doc_id has the key (0, h), and `own` keeps what it had."""
+    """Rows with the key (doc_id, h), h being 32 bits that only tell texts of one doc_id apart; for a null doc_id another hash of the text stands in, and `own` keeps what it had."""
     own = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), F.hash("text").alias("h"), "text", own.alias("own"))
+    return docs.select(F.coalesce(own, F.xxhash64("text")).alias("doc_id"), F.hash("text").alias("h"), "text", own.alias("own"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
@@ -184,14 +187,46 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -
     return joined.mapInArrow(_clean_rows(keep_text, window), "doc_id long, n_words long, n_removed long, kept string")
 
 
+def _long_rows(length: int):
+    """From (doc_id, h, text, starts): two hashes of the window of `length` words at each of the starts."""
+
+    def scan(batches):
+        for batch in batches:
+            for a, b, data, bounds in slices(batch.column(2)):
+                w = Words(data, bounds)
+                inside, one, two = w.whole(length), w.grams(length), w.grams(length, salt=2)
+                held = [np.array(batch.column(3)[i].as_py(), dtype=np.int64) for i in range(a, b)]
+                row = np.repeat(np.arange(b - a), [len(x) for x in held])
+                start = np.concatenate(held) if held else np.zeros(0, np.int64)
+                at = start + w.first[row]
+                ok = at < len(inside)
+                ok[ok] = inside[at[ok]]
+                row, start, at = row[ok], start[ok], at[ok]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b].take(pa.array(row)) for c in (0, 1)), pa.array(start.astype(np.int32)), pa.array(signed(one[at])), pa.array(signed(two[at]))], names=["doc_id", "h", "start", "w1", "w2"])
+
+    return scan
+
+
+def doubled(docs: DataFrame, starts: DataFrame, length: int) -> DataFrame:
+    """Of docs(doc_id, h, text) and the starts of windows of `length` words that repeat: those of windows of twice that length that do."""
+    second = starts.select("doc_id", "h", (F.col("start") - length).alias("start"))
+    both = starts.join(second, ["doc_id", "h", "start"]).groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts"))
+    texts = docs.join(both, ["doc_id", "h"]).select("doc_id", "h", "text", "starts")
+    windows = written(texts.mapInArrow(_long_rows(2 * length), "doc_id long, h int, start int, w1 long, w2 long"), "windows")
+    many = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"), "repeats")
+    out = written(windows.join(many, ["w1", "w2"]).select("doc_id", "h", "start"), "starts")
+    for table in (windows, many):
+        dropped(table)
+    return out
+
+
 def longest(docs: DataFrame, window: int = WINDOW) -> list[tuple[int, int]]:
-    """The doublings from `window` on: (length, windows of different texts that repeat at it), until none does."""
+    """The doublings from `window` on: (length, windows of different texts that repeat at it), until none does. Each goes on from the survivors of the one before."""
     rows = _keyed(docs.dropDuplicates(["text"]))
-    same = copies(rows)
-    out, length = [], window
-    while n := repeated_windows(rows, same, length).count():
+    starts, out, length = repeated_windows(rows, copies(rows), window), [], window
+    while n := starts.count():
         out.append((length, n))
-        length *= 2
+        starts, length = doubled(rows, starts, length), 2 * length
     return out
 
 

@@ -9,8 +9,9 @@
 3. Each piece is ranked among those of its length and finds its move, bin and offset. Bins are dealt to tasks
    and written as rows of ids.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives
-no rows; other columns are ignored. Ids are little-endian, two bytes each up to 65,536 ids, else four.
+Defined results: a null or empty text is the end id alone; repeated rows are packed each, as are texts that share
+a doc_id or have none; a text longer than a row is cut into pieces, each whole in one row, and encoded in one task;
+ties go by task and place; an empty table gives no rows; other columns are ignored. Ids are little-endian, two bytes each up to 65,536 ids, else four.
 """
 
 from __future__ import annotations
@@ -38,17 +39,24 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @functools.cache
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+def encoding_of(content: bytes) -> tiktoken.Encoding:
+    """The encoding of a vocabulary file's content; a worker builds it once."""
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _encode(path: str, row: int, end: int, kind: str):
+def encoding(path: str) -> tiktoken.Encoding:
+    with open(path, "rb") as file:
+        return encoding_of(file.read())
+
+
+def _encode(vocabulary, row: int, end: int, kind: str):
+    """vocabulary: a broadcast of the file's content, as executors need not have the file."""
+
     def scan(batches):
         from pyspark import TaskContext
 
-        part, encode, seen = TaskContext.get().partitionId(), encoding(path).encode_ordinary, defaultdict(int)
+        part, encode, seen = TaskContext.get().partitionId(), encoding_of(vocabulary.value).encode_ordinary, defaultdict(int)
         for batch in batches:
             columns = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -174,7 +182,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, end: int
     """One row per packed row: bin, n_tokens, doc_ids and pieces of its segments, cu_lengths (cumulative segment lengths from 0), resets (where positions start again at 0), ids (row ids, padded)."""
     kind = "<u2" if max(end, pad, encoding(vocabulary).n_vocab) < 65_536 else "<u4"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = written(texts.mapInArrow(_encode(vocabulary, row, end, kind), "doc_id long, piece int, start long, n int, part int, seq long, ids binary"), "pieces")
+    with open(vocabulary, "rb") as file:
+        content = docs.sparkSession.sparkContext.broadcast(file.read())  # a file of fixed size, read by the driver alone
+    pieces = written(texts.mapInArrow(_encode(content, row, end, kind), "doc_id long, piece int, start long, n int, part int, seq long, ids binary"), "pieces")
     counts = written(pieces.groupBy("part", "n").agg(F.count(F.lit(1)).alias("c")), "counts")
     moves, _ = plan({r["n"]: r["c"] for r in counts.groupBy("n").agg(F.sum("c").alias("c")).collect()}, row)
     before = Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

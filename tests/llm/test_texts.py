@@ -86,6 +86,13 @@ def test_redaction(spark, documents):
     assert "deadbeef" not in got[7] and got[4].startswith("😀 é [SECRET] ")
 
 
+def test_redaction_keeps_other_columns(spark, documents):
+    docs = documents([(0, SECRETS[0]), (1, "clean text")], extra=True).selectExpr("* except (n_chars)", "cast(7 as bigint) n_chars", "'c' clean", "'r' row")
+    got = {x.doc_id: x for x in secrets.redacted(docs).collect()}
+    assert secrets.redacted(docs).schema.names == docs.columns
+    assert (got[0].n_chars, got[1].n_chars, got[0].clean, got[0].row) == (9, 7, "c", "r")
+
+
 def test_benjamini_hochberg():
     import pandas as pd
 
@@ -288,7 +295,7 @@ def test_pipeline_against_its_parts(spark):
 
 
 def test_stages_on_odd_rows(spark, documents, odd, tmp_path):
-    docs = documents(odd)
+    docs = documents(odd, extra=True)
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
