@@ -23,11 +23,24 @@ def name_tokens(name: Column) -> Column:
     return F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(name), ",", " "), r"\s+"), lambda t: t != ""))
 
 
+def identity_keys(email: Column, name: Column) -> Column:
+    """What identity_points compares, worked out once a row and not once a pair: e-mail, name, and sorted words of names of two or more."""
+    e, n = (F.lower(blank_to_null(c)) for c in (email, name))
+    return F.struct(e.alias("email"), n.alias("name"), F.when(F.size(name_tokens(n)) >= 2, F.array_join(name_tokens(n), " ")).alias("words"))
+
+
+def points_of(a: Column, b: Column) -> Column:
+    """25 for equal e-mail, name or name words in any order (two or more); 12 if one name holds the other. From identity_keys of both sides."""
+    return F.when(a["email"] == b["email"], 25).when(a["name"] == b["name"], 25).when(a["words"] == b["words"], 25).when(F.contains(a["name"], b["name"]) | F.contains(b["name"], a["name"]), 12).otherwise(0)
+
+
 def identity_points(email_a: Column, email_b: Column, name_a: Column, name_b: Column) -> Column:
-    """25 for equal e-mail, name or name words in any order (two or more); 12 if one name holds the other."""
-    ea, eb, na, nb = (F.lower(blank_to_null(c)) for c in (email_a, email_b, name_a, name_b))
-    words_a, words_b = name_tokens(na), name_tokens(nb)
-    return F.when(ea == eb, 25).when(na == nb, 25).when((F.size(words_a) >= 2) & (words_a == words_b), 25).when(F.contains(na, nb) | F.contains(nb, na), 12).otherwise(0)
+    return points_of(identity_keys(email_a, name_a), identity_keys(email_b, name_b))
+
+
+def inside(days: Column, width: int) -> Column:
+    """Whether a difference of days is within the width; an unknown one counts as inside."""
+    return F.coalesce(F.abs(days) <= width, F.lit(True))
 
 
 def email_points(email_a: Column, email_b: Column, points: int) -> Column:

@@ -1,4 +1,4 @@
-"""Matching processor facts to accounting facts: exact references, candidates of equal amount, scores, ranks, greedy runs."""
+"""Matching processor facts to accounting facts: exact references, candidates of equal amount, scores, ranks, the match run."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
+from quillon.sources.scratch import kept
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,48 +22,51 @@ def by_reference(proc: DataFrame, acct: DataFrame) -> DataFrame:
     return proc.join(a, ["workspace_id", "processor_payment_id"])
 
 
-def candidates(proc: DataFrame, acct: DataFrame) -> DataFrame:
-    """Level B: pairs of equal amount in a workspace, with the number of them for each processor fact. References may conflict; see conflict."""
-    a = acct.select("workspace_id", F.col("k").alias("ak"), "accounting_id", "ref_no", "acct_date", F.col("customer_email").alias("acct_email"), F.col("customer_name").alias("acct_name"), F.abs("amount_gross").alias("amount"))
-    p = proc.withColumn("amount", F.abs("amount_gross"))
-    pairs = p.join(a, ["workspace_id", "amount"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("processor_payment_id"))
-    return pairs.withColumn("n_amount", n).withColumn("days", F.datediff("acct_date", "proc_date")).withColumn("conflict", S.refs_conflict(F.col("processor_payment_id"), F.col("ref_no")))
+#: Keys of a block of candidates. Pairs leave their join dealt by the first two, so no aggregate or window over a fact needs a further shuffle.
+FACT = ["workspace_id", "amount", "processor_payment_id"]
+
+
+def candidates(proc: DataFrame, acct: DataFrame, signed: bool = False) -> DataFrame:
+    """Level B: pairs of equal amount (signed, or regardless of sign) in a workspace, with the number of them for each processor fact. References may conflict; see conflict."""
+    amount = (lambda c: F.col(c)) if signed else (lambda c: F.abs(c))
+    a = acct.select("workspace_id", F.col("k").alias("ak"), "accounting_id", "ref_no", "acct_date", F.col("customer_email").alias("acct_email"), F.col("customer_name").alias("acct_name"), amount("amount_gross").alias("amount"), S.identity_keys(F.col("customer_email"), F.col("customer_name")).alias("_b"))
+    n = a.groupBy("workspace_id", "amount").agg(F.count(F.lit(1)).alias("n_amount"))  # counted once a block, before there are pairs
+    p = proc.withColumn("amount", amount("amount_gross")).withColumn("_a", S.identity_keys(F.col("customer_email"), F.col("customer_name")))
+    pairs = p.join(n, ["workspace_id", "amount"]).join(a, ["workspace_id", "amount"])
+    return pairs.withColumn("days", F.datediff("acct_date", "proc_date")).withColumn("conflict", S.refs_conflict(F.col("processor_payment_id"), F.col("ref_no")))
 
 
 def scored(pairs: DataFrame, strategy: str) -> DataFrame:
-    """score, identity (whether e-mail or name agree) and level for strategy a, b or c."""
-    email = F.col("customer_email"), F.col("acct_email")
+    """score, identity (whether e-mail or name agree) and level for strategy a, b or c; a and b take pairs of equal signed amounts."""
+    same_email = F.coalesce(F.col("_a.email") == F.col("_b.email"), F.lit(False))
     if strategy == "a":
-        score = F.lit(40) + S.date_points_symmetric(F.col("days")) + S.email_points(*email, 20) + F.when(F.col("n_amount") == 1, 25).otherwise(0)
+        score = F.lit(40) + S.date_points_symmetric(F.col("days")) + F.when(same_email, 20).otherwise(0) + F.when(F.col("n_amount") == 1, 25).otherwise(0)
         return pairs.withColumn("score", F.least(F.lit(100), score)).withColumn("level", S.level(F.col("score"), 85))
     if strategy == "b":
-        identity = S.email_points(*email, 10)
-        near = F.sum(F.when(F.abs("days") <= 7, 1).otherwise(0)).over(Window.partitionBy("processor_payment_id"))
-        out = pairs.withColumn("identity", identity > 0).withColumn("n_near", near)
-        score = F.lit(40) + S.date_points(F.col("days")) + identity + F.when(F.col("identity") & (F.col("n_near") == 1), 10).otherwise(0)
+        near = F.count_if(S.inside(F.col("days"), 7)).over(Window.partitionBy(*FACT))
+        out = pairs.withColumn("identity", same_email).withColumn("n_near", near)
+        score = F.lit(40) + S.date_points(F.col("days")) + F.when(F.col("identity"), 10).otherwise(0) + F.when(F.col("identity") & (F.col("n_near") == 1), 10).otherwise(0)
         return out.withColumn("score", F.least(F.lit(100), score)).withColumn("level", F.when((F.col("score") >= 80) & F.col("identity"), "high").when(F.col("score") >= 50, "medium").otherwise("low"))
-    points = S.identity_points(*email, F.col("customer_name"), F.col("acct_name"))
-    out = pairs.where("not conflict").withColumn("points", points).withColumn("identity", F.col("points") > 0)
+    out = pairs.where("not conflict").withColumn("points", S.points_of(F.col("_a"), F.col("_b"))).withColumn("identity", F.col("points") > 0)
     score = F.lit(40) + S.date_points(F.col("days")) + F.col("points") + F.when(F.col("identity") & (F.col("n_amount") == 1), 10).otherwise(0)
     return out.withColumn("score", F.least(F.lit(100), score)).withColumn("level", F.when((F.col("score") >= 80) & F.col("identity"), "high").otherwise("review"))
 
 
-def _best_first() -> list[Column]:
-    return [F.col("score").desc(), F.col("acct_date").desc(), F.col("accounting_id")]
+def _rank() -> Column:
+    """Smaller is better: higher score, later date (none last), smaller id."""
+    return F.struct((-F.col("score")).alias("score"), F.coalesce(-F.unix_date("acct_date"), F.lit(1 << 30)).alias("day"), F.col("accounting_id").alias("id"))
 
 
 def best(pairs: DataFrame) -> DataFrame:
-    """The best candidate of each processor fact, and whether others have the same score."""
-    w = Window.partitionBy("processor_payment_id")
-    tied = F.sum(F.when(F.col("score") == F.col("_top"), 1).otherwise(0)).over(w) > 1
-    ranked = pairs.withColumn("_top", F.max("score").over(w)).withColumn("has_tie", tied).withColumn("_n", F.row_number().over(w.orderBy(*_best_first())))
-    return ranked.where("_n = 1").drop("_n", "_top")
+    """The best candidate of each processor fact, and whether others have the same score: two aggregates, the first by score."""
+    by_score = pairs.groupBy(*FACT, "score").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(_rank().alias("rank"), "level", "acct_date")).alias("_c"))
+    top = by_score.groupBy(*FACT).agg(F.min(F.struct("_c", "_n")).alias("_t"))
+    return top.select(*FACT, F.col("_t._c.rank.id").alias("accounting_id"), (-F.col("_t._c.rank.score")).alias("score"), F.col("_t._c.level").alias("level"), (F.col("_t._n") > 1).alias("has_tie"))
 
 
 def top(pairs: DataFrame, n: int = 5) -> DataFrame:
     """The n best candidates of each processor fact with their rank from 1."""
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("processor_payment_id").orderBy(*_best_first()))).where(F.col("rank") <= n)
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*FACT).orderBy(_rank()))).where(F.col("rank") <= n)
 
 
 def sections(proc: DataFrame, acct: DataFrame) -> DataFrame:
@@ -75,38 +79,84 @@ def sections(proc: DataFrame, acct: DataFrame) -> DataFrame:
     return both.withColumn("section", section).withColumn("score", F.when(F.col("exact"), 100).otherwise(F.coalesce("score", F.lit(0))))
 
 
-def _greedy_block(block: pd.DataFrame) -> pd.DataFrame:
-    """One amount block: facts in order take the best free candidate; only a ready one is used up."""
-    used, out = set(), []
-    for txn, rows in block.groupby("processor_payment_id", sort=False):
-        exact = rows[rows["exact_id"].notna()]
-        if len(exact):
-            used.add(exact["exact_id"].iloc[0])
-            out.append((txn, exact["exact_id"].iloc[0], 100, "deterministic"))
-            continue
-        free = rows[rows["accounting_id"].notna() & ~rows["accounting_id"].isin(used)]
-        open_ = free[~free["conflict"].astype(bool)]
-        if not len(open_):
-            out.append((txn, None, 0, "no_amount" if not len(free) else "no_match"))
+# --- the match run -------------------------------------------------------------------------------
+
+BLOCK = ["workspace_id", "pass", "amount"]
+
+
+def _decide(block: pd.DataFrame) -> pd.DataFrame:
+    """One block's facts that have a candidate which may be ready, newest first, and the exact matches that take rows from the pool: which facts are ready, and with what."""
+    gone, taken, out = 0, set(), []
+    for (_, txn), rows in block.groupby(["day", "txn"], sort=True):  # day is negative, so newest first, then by id
+        first = rows.iloc[0]
+        if first["points"] != first["points"]:  # an exact match: it takes its row and nothing more
+            gone += 1
             continue
-        score = (40 + open_["date_points"] + open_["points"] + ((open_["points"] > 0) & (len(free) == 1)) * 10).clip(upper=100)
-        first = open_.assign(score=score).sort_values(["score", "acct_date", "accounting_id"], ascending=[False, False, True]).iloc[0]
-        ready = first["score"] >= 80 and first["points"] > 0
-        if ready:
-            used.add(first["accounting_id"])
-        out.append((txn, first["accounting_id"], int(first["score"]), "ready" if ready else "needs_review"))
-    return pd.DataFrame(out, columns=["processor_payment_id", "accounting_id", "score", "outcome"])
-
-
-def greedy(proc: DataFrame, acct: DataFrame) -> DataFrame:
-    """The run that uses each ready accounting fact once: newest first, block by block of workspace and amount. Points are columns; only the choice runs in Python."""
-    exact = by_reference(proc, acct).select("processor_payment_id", F.col("accounting_id").alias("exact_id"))
-    pairs = candidates(proc, acct).withColumn("points", S.identity_points(F.col("customer_email"), F.col("acct_email"), F.col("customer_name"), F.col("acct_name"))).withColumn("date_points", S.date_points(F.col("days")))
-    slim = pairs.select("processor_payment_id", "accounting_id", "conflict", "points", "date_points", "acct_date")
-    rows = proc.withColumn("amount", F.abs("amount_gross")).select("workspace_id", "amount", "processor_payment_id", "proc_date").join(exact, "processor_payment_id", "left").join(slim, "processor_payment_id", "left")
-
-    def block(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["proc_date", "processor_payment_id"], ascending=[False, True], kind="stable")
-        return _greedy_block(part)
-
-    return rows.groupBy("workspace_id", "amount").applyInPandas(block, "processor_payment_id string, accounting_id string, score int, outcome string")
+        single = first["pool"] - gone == 1
+        best = None
+        for points, date, day, ref in zip(rows["points"], rows["date_points"], rows["acct_day"], rows["accounting_id"]):
+            score = 40 + date + points + 10 * single
+            if ref not in taken and score >= 80 and (best is None or (-score, -day, ref) < best):
+                best = (-score, -day, ref)
+        if best:
+            gone += 1
+            taken.add(best[2])
+            out.append((first["workspace_id"], first["pass"], first["amount"], txn, first["day"], best[2], min(100, int(-best[0]))))
+    return pd.DataFrame(out, columns=[*BLOCK, "txn", "day", "accounting_id", "score"])
+
+
+def run(proc: DataFrame, acct: DataFrame, deposited: DataFrame | None = None, classified: DataFrame | None = None) -> DataFrame:
+    """The run that uses each ready accounting fact once: processor_payment_id, pass (card, ach or refund), accounting_id, score, outcome.
+
+    proc: payments and refunds; acct: payment_observed and refund_observed; deposited(txn_id): accounting ids in a
+    deposit, which leave the pool; classified(processor_payment_id): facts that deposits explain, which are left out.
+    The passes have pools of their own. Facts go newest first, then by id. One with an exact reference takes that
+    row out of the pool of its amount, wherever that is, or gives no row if it is in a deposit. Of the others only
+    a pair within a week, with an identity, can be ready, so only these few pairs and the exact matches of a block
+    go through the sequential choice; counts of what is left and the best of what is free follow as aggregates.
+    A block is a workspace, pass and amount: the order within it is what is computed, so it isn't split.
+    """
+    if classified is not None:
+        proc = proc.join(classified.select("processor_payment_id").distinct(), "processor_payment_id", "left_anti")
+    refund = F.col("event_type") == "refund"
+    p = proc.withColumn("pass", F.when(refund, "refund").when(F.col("payment_method").eqNullSafe("bank_account"), "ach").otherwise("card"))
+    p = p.select("workspace_id", "pass", F.abs("amount_gross").alias("amount"), F.col("processor_payment_id").alias("txn"), F.coalesce(-F.unix_date("proc_date"), F.lit(1 << 30)).alias("day"), "proc_date", S.identity_keys(F.col("customer_email"), F.col("customer_name")).alias("_a"))
+    side = F.when(F.col("event_type") == "refund_observed", F.array(F.lit("refund"))).otherwise(F.array(F.lit("card"), F.lit("ach")))
+    a = acct.withColumn("pass", F.explode(side)).select("workspace_id", "pass", F.abs("amount_gross").alias("amount"), "accounting_id", S.blank_to_null(F.col("ref_no")).alias("ref"), "acct_date", S.identity_keys(F.col("customer_email"), F.col("customer_name")).alias("_b"))
+    if deposited is not None:
+        a = a.join(deposited.select(F.col("txn_id").alias("accounting_id"), F.lit(True).alias("gone")).distinct(), "accounting_id", "left")
+    else:
+        a = a.withColumn("gone", F.lit(None).cast("boolean"))
+    index = last_wins(a.where("ref is not null"), ["workspace_id", "pass", "ref"], [F.col("acct_date"), F.col("accounting_id")])
+    hits = index.select("workspace_id", "pass", F.col("ref").alias("txn"), "accounting_id", F.col("amount").alias("acct_amount"), "gone")
+    both = kept(p.join(hits, ["workspace_id", "pass", "txn"], "left"), "facts")
+    exact, open_ = both.where("accounting_id is not null and gone is null"), both.where("accounting_id is null").drop("accounting_id", "acct_amount", "gone")
+
+    pool = kept(a.where("gone is null").drop("gone"), "pool")
+    size = pool.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("pool"))
+    free = pool.where("ref is null").select(*BLOCK, "accounting_id", "acct_date", "_b")  # a row with another reference never wins
+    pairs = open_.join(size, BLOCK).join(free, BLOCK)
+    days = F.datediff("acct_date", "proc_date")
+    near = pairs.withColumn("date_points", S.date_points(days)).where("date_points > 0").withColumn("points", S.points_of(F.col("_a"), F.col("_b"))).where("date_points + points >= 30")
+    near = kept(near.select(*BLOCK, "txn", "day", "pool", F.col("points").cast("double").alias("points"), "date_points", F.unix_date("acct_date").alias("acct_day"), "accounting_id"), "near")
+    removals = exact.select("workspace_id", "pass", F.col("acct_amount").alias("amount"), "txn", "day")
+    none = lambda kind: F.lit(None).cast(kind)
+    takes = removals.join(near.select(*BLOCK).distinct(), BLOCK, "left_semi").select(*BLOCK, "txn", "day", none("long"), none("double"), none("int"), none("int"), none("string"))
+    ready = kept(near.union(takes).groupBy(*BLOCK).applyInPandas(_decide, "workspace_id string, pass string, amount decimal(18,2), txn string, day int, accounting_id string, score int"), "ready")
+
+    # What each fact finds: the pool less what went before it, and the best of the rows that are still there.
+    gone = removals.select(*BLOCK, "txn", "day", F.lit(1).alias("one")).union(ready.select(*BLOCK, "txn", "day", F.lit(1)))
+    before = F.sum("one").over(Window.partitionBy(*BLOCK).orderBy("day", "txn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    waiting = open_.join(ready.select(*BLOCK, "txn"), [*BLOCK, "txn"], "left_anti")
+    waiting = waiting.where("amount is not null")
+    counted = waiting.select(*BLOCK, "txn", "day", F.lit(0).alias("one")).union(gone).withColumn("before", before).where("one = 0").select(*BLOCK, "txn", "before")
+    left = waiting.join(counted, [*BLOCK, "txn"]).join(size, BLOCK, "left").withColumn("left", F.coalesce("pool", F.lit(0)) - F.col("before"))
+    left = kept(left, "left")
+    went = ready.select(*BLOCK, "accounting_id", F.struct("day", "txn").alias("went"))
+    still = left.where("left > 0").join(free.join(went, [*BLOCK, "accounting_id"], "left"), BLOCK).where("went is null or went > struct(day, txn)")
+    still = still.withColumn("points", S.points_of(F.col("_a"), F.col("_b"))).withColumn("score", F.least(F.lit(100), F.lit(40) + S.date_points(days) + F.col("points") + F.when((F.col("points") > 0) & (F.col("left") == 1), 10).otherwise(0)))
+    top_ = still.groupBy(*BLOCK, "txn").agg(F.min(_rank()).alias("_r"))
+    found = left.select(*BLOCK, "txn").join(top_, [*BLOCK, "txn"], "left").select("txn", "pass", F.col("_r.id").alias("accounting_id"), F.coalesce(-F.col("_r.score"), F.lit(0)).alias("score"), F.when(F.col("_r").isNotNull(), "needs_review").otherwise("no_match").alias("outcome"))
+    unknown = open_.where("amount is null").select("txn", "pass", none("string"), F.lit(0), F.lit("no_amount"))
+    out = exact.select("txn", "pass", "accounting_id", F.lit(100).alias("score"), F.lit("deterministic").alias("outcome")).union(ready.select("txn", "pass", "accounting_id", "score", F.lit("ready"))).union(found).union(unknown)
+    return out.select(F.col("txn").alias("processor_payment_id"), "pass", "accounting_id", F.col("score").cast("int").alias("score"), "outcome")

@@ -56,19 +56,19 @@ def date_scores(spark, d):
 @query(_CAND + " select processor_payment_id, accounting_id, ip points from ident")
 def name_identity_score(spark, d):
     c = M.candidates(*_sides(spark, d))
-    return c.select("processor_payment_id", "accounting_id", S.identity_points(*map(F.col, ("customer_email", "acct_email", "customer_name", "acct_name"))).alias("points"))
+    return c.select("processor_payment_id", "accounting_id", S.points_of(F.col("_a"), F.col("_b")).alias("points"))
 
 
 @query(_CAND + """, s as (select processor_payment_id, accounting_id, least(100, 40 + ds + case when same_email then 20 else 0 end + case when n_amount = 1 then 25 else 0 end) score from asym)
 select *, case when score >= 85 then 'high' when score >= 50 then 'medium' else 'low' end level from s""")
 def score_engine_a(spark, d):
-    return M.scored(M.candidates(*_sides(spark, d)), "a").select("processor_payment_id", "accounting_id", "score", "level")
+    return M.scored(M.candidates(*_sides(spark, d), signed=True), "a").select("processor_payment_id", "accounting_id", "score", "level")
 
 
 @query(_CAND + """, s as (select processor_payment_id, accounting_id, coalesce(same_email, false) identity, least(100, 40 + dp + case when same_email then 10 + case when n_near = 1 then 10 else 0 end else 0 end) score
 from (select *, count(*) filter (abs(days) <= 7) over (partition by processor_payment_id) n_near from asym)) select *, case when score >= 80 and identity then 'high' when score >= 50 then 'medium' else 'low' end level from s""")
 def score_engine_b(spark, d):
-    return M.scored(M.candidates(*_sides(spark, d)), "b").select("processor_payment_id", "accounting_id", "identity", "score", "level")
+    return M.scored(M.candidates(*_sides(spark, d), signed=True), "b").select("processor_payment_id", "accounting_id", "identity", "score", "level")
 
 
 @query(_CAND + " select processor_payment_id, accounting_id, score, case when score >= 80 and ip > 0 then 'high' else 'review' end level from sc")
@@ -86,9 +86,12 @@ def candidate_ties(spark, d):
     return M.best(M.scored(M.candidates(*_sides(spark, d)), "c")).groupBy("score", "has_tie").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_CAND + " select processor_payment_id, count(*) filter (abs(days) <= 7) = 1 unique_near from c group by 1")
+@query(_CAND + " select processor_payment_id, count(*) filter (k % 3 = 0 or abs(days) <= 7) = 1 unique_near from c group by 1")
 def unique_in_window(spark, d):
-    return M.candidates(*_sides(spark, d)).groupBy("processor_payment_id").agg((F.count_if(F.abs("days") <= 7) == 1).alias("unique_near"))
+    """Whether a fact has one candidate within a week; where its date is unknown, as for every third one here, all count."""
+    p, a = _sides(spark, d)
+    undated = p.withColumn("proc_date", F.when(F.col("k") % 3 != 0, F.col("proc_date")))
+    return M.candidates(undated, a, signed=True).groupBy(*M.FACT).agg((F.count_if(S.inside(F.col("days"), 7)) == 1).alias("unique_near")).select("processor_payment_id", "unique_near")
 
 
 @query(_CAND + " select processor_payment_id, rank, accounting_id, score from bc where rank <= 5")
@@ -105,14 +108,44 @@ def match_sections_nongreedy(spark, d):
     return M.sections(*_sides(spark, d)).groupBy("workspace_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total_score"))
 
 
+def _run(spark, d):
+    """The run in its order: deposits first, then card, bank and refund passes with pools of their own."""
+    p, a, dep = V.processor_facts(spark, d), V.accounting_facts(spark, d), V.deposits(spark, d)
+    explained = D.by_reference(dep, a, p).select("processor_payment_id").union(D.by_amount(dep, a, p).select("processor_payment_id"))
+    return M.run(p.where("event_type in ('payment', 'refund')"), a, D.deposited(dep), explained)
+
+
 @query()
 def match_run_greedy(spark, d):
-    return M.greedy(*_sides(spark, d))
+    return _run(spark, d)
 
 
 @query()
 def match_run_summary(spark, d):
-    return M.greedy(*_sides(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+    return _run(spark, d).groupBy("pass", "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+
+
+_LEFT = """, dep_ref as (select distinct p.processor_payment_id, p.processor_payout_id, c.deposit_id, c.txn_id from dep_lines c join acct a on a.accounting_id = c.txn_id join proc p on p.workspace_id = c.workspace_id and p.processor_payment_id = a.ref_no),
+dep_rest as (select c.deposit_id, c.txn_id, a.amount_gross, row_number() over (partition by c.deposit_id, a.amount_gross order by c.txn_id) n from (select distinct deposit_id, txn_id from dep_lines) c join acct a on a.accounting_id = c.txn_id where c.txn_id not in (select txn_id from dep_ref)),
+dep_free as (select b.deposit_id, p.processor_payment_id, p.amount_gross, row_number() over (partition by b.deposit_id, p.amount_gross order by p.processor_payment_id) n from (select distinct deposit_id, processor_payout_id from dep_ref) b join proc p using (processor_payout_id) where p.processor_payment_id not in (select processor_payment_id from dep_ref)),
+explained as (select processor_payment_id from dep_ref union select processor_payment_id from dep_rest join dep_free using (deposit_id, amount_gross, n))"""
+
+
+@query(_LEFT + _EXACT.replace("select * from acct where", "select *, case event_type when 'refund_observed' then 'refund' else 'payment' end kind from acct where").replace("workspace_id, ref_no", "workspace_id, ref_no, event_type") + """, gone as (select distinct txn_id from dep_lines where not typed or txn_type = 'Payment')
+select p.processor_payment_id, ix.accounting_id, case when p.event_type = 'refund' then 'refund' when p.payment_method = 'bank_account' then 'ach' else 'card' end "pass" from proc p join ix on p.workspace_id = ix.workspace_id and p.processor_payment_id = ix.ref_no and p.event_type = ix.kind
+where p.processor_payment_id not in (select processor_payment_id from explained) and ix.accounting_id not in (select txn_id from gone)""")
+def match_run_exact(spark, d):
+    """The run's exact matches, the part that SQL can say: no deposit explains the fact, and none holds its accounting fact."""
+    return _run(spark, d).where("outcome = 'deterministic'").select("processor_payment_id", "accounting_id", "pass")
+
+
+@query(_LEFT + """ select case when event_type = 'ach_return' then 'ach' when event_type = 'refund' then 'refund' when payment_method = 'bank_account' then 'ach' else 'card' end pass_name, count(*) n, count(*) filter (event_type = 'ach_return') n_returns from proc where processor_payment_id not in (select processor_payment_id from explained) group by 1""")
+def unclassified_facts(spark, d):
+    """Facts that no deposit explains, by the pass that they go to; a missing payment method counts as card, and returns go with bank transfers, unmatched."""
+    p, a, dep = V.processor_facts(spark, d), V.accounting_facts(spark, d), V.deposits(spark, d)
+    explained = D.by_reference(dep, a, p).select("processor_payment_id").union(D.by_amount(dep, a, p).select("processor_payment_id")).distinct()
+    kind = F.when(F.col("event_type") == "ach_return", "ach").when(F.col("event_type") == "refund", "refund").when(F.col("payment_method").eqNullSafe("bank_account"), "ach").otherwise("card")
+    return p.join(explained, "processor_payment_id", "left_anti").groupBy(kind.alias("pass_name")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "ach_return").alias("n_returns"))
 
 
 @query("""select k, match_confidence, case when match_confidence >= 85 then 'high' when match_confidence >= 50 then 'medium' else 'low' end level, case when match_confidence >= 85 then 'auto' when match_confidence >= 50 then 'pending' else 'unmatched' end permitted,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans.catalogue import query
 from quillon.sources import views as V
+from quillon.sources.scratch import folder_of
 from quillon.streaming import ingest as I
 
 
@@ -17,15 +18,14 @@ def _events(spark, d):
 @query("select event_id, user_id, event_type from events", head=False)
 def stream_ingest_dedup(spark, d):
     """Events twice over, once each in the table."""
-    e, folder = _events(spark, d), I.folder_of(spark)
-    twice = e.union(e)
-    I.drained(I.deduplicated(twice, ["event_id"], "ts", "1 day").select("event_id", "user_id", "event_type"), I.merge_into(f"{folder}/table", ["event_id"]), folder)
-    return spark.read.parquet(f"{folder}/table")
+    e, folder = _events(spark, d), folder_of(spark)
+    I.drained(e.union(e).select("event_id", "user_id", "event_type", "ts"), I.merge_into(f"{folder}/table", ["event_id"], "ts"), folder)
+    return spark.read.parquet(f"{folder}/table").select("event_id", "user_id", "event_type")
 
 
 @query("select event_type, max(ts) as cursor, count(*) n from events group by 1", head=False)
 def stream_cursor(spark, d):
-    folder = I.folder_of(spark)
+    folder = folder_of(spark)
     I.drained(_events(spark, d).select("event_id", "event_type", "ts"), I.merge_into(f"{folder}/table", ["event_id"]), folder)
     return I.cursor(spark.read.parquet(f"{folder}/table"), ["event_type"], "ts")
 
@@ -33,7 +33,7 @@ def stream_cursor(spark, d):
 @query("select event_id, event_type = 'error' late from events", head=False)
 def stream_late_backfill(spark, d):
     """Rows that the first pass didn't see are found by an anti-join and merged by a second."""
-    folder = I.folder_of(spark)
+    folder = folder_of(spark)
     rows = _events(spark, d).select("event_id", (F.col("event_type") == "error").alias("late"))
     I.drained(rows.where("not late"), I.merge_into(f"{folder}/table", ["event_id"]), f"{folder}/first")
     I.drained(rows, I.merge_into(f"{folder}/table", ["event_id"]), f"{folder}/second")
