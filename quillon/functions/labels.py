@@ -14,6 +14,65 @@ GATEWAY_STATES = {
 }
 
 
+# Gateway states that count as settled.
+SETTLED = ("settledSuccessfully", "refundSettledSuccessfully")
+
+# Words that decide an error's class, in the order in which classes are tried.
+ERROR_WORDS = {
+    "authorization": ("oauth", "unauthorized", "401", "token", "authentication", "access denied", "forbidden", "403", "invalid_grant", "refresh token", "expired token", "invalid_client", "token_revoked", "authorization_revoked"),
+    "configuration": ("configuration", "not configured", "missing required", "account not found", "invalid account", "realm not found", "company not found", "missing company"),
+    "data_integrity": ("mismatch", "duplicate", "integrity", "constraint", "validation", "does not match", "inconsistent", "already exists", "violation"),
+}
+
+# Time zones of states and provinces, by country.
+ZONES = {
+    "CA": {"BC": "America/Vancouver", "AB": "America/Edmonton", "SK": "America/Regina", "MB": "America/Winnipeg", "ON": "America/Toronto", "QC": "America/Toronto", "NB": "America/Halifax", "NS": "America/Halifax", "PE": "America/Halifax", "NL": "America/St_Johns", "YT": "America/Whitehorse", "NT": "America/Yellowknife", "NU": "America/Iqaluit"},
+    "AU": {"NSW": "Australia/Sydney", "VIC": "Australia/Melbourne", "QLD": "Australia/Brisbane", "WA": "Australia/Perth", "SA": "Australia/Adelaide", "TAS": "Australia/Hobart", "ACT": "Australia/Sydney", "NT": "Australia/Darwin"},
+}
+COUNTRY_ZONES = {"CA": "America/Toronto", "AU": "Australia/Sydney", "GB": "Europe/London"}
+
+
+def error_class(text: Column) -> Column:
+    """The class of an error's text: the first whose words it holds; what none claims is of the infrastructure, and may be tried again."""
+    out = F.lit("infrastructure")
+    for name, words in reversed(ERROR_WORDS.items()):
+        holds = F.lit(False)
+        for w in words:
+            holds = holds | F.contains(F.lower(text), F.lit(w))
+        out = F.when(holds, name).otherwise(out)
+    return out
+
+
+def zone(country: Column, state: Column) -> Column:
+    """The time zone of a state or province, else of its country, else New York's."""
+    at = F.upper(F.trim(state))
+    own = F.when(country == "CA", lookup(ZONES["CA"], at)).when(country == "AU", lookup(ZONES["AU"], at))
+    return F.coalesce(own, lookup(COUNTRY_ZONES, country), F.lit("America/New_York"))
+
+
+def clean_metadata(meta: Column) -> Column:
+    """A map without the keys that belong to matching and status."""
+    return F.map_filter(meta, lambda k, _: ~(k.startswith("qbo_") | k.startswith("match_") | k.isin("status", "ready", "readiness", "confidence", "needs_review")))
+
+
+def amount_key(amount: Column) -> Column:
+    return F.abs(amount).cast("decimal(18,2)").cast("string")
+
+
+def full_name(first: Column, last: Column) -> Column:
+    return F.nullif(F.trim(F.concat_ws(" ", first, last)), F.lit(""))
+
+
+def stream_start(cursor: Column, new: Column, today: Column) -> Column:
+    """The day from which a source is read: its cursor, or 62 days back for a new source, 7 for one whose cursor is lost."""
+    return F.coalesce(cursor, F.when(new, F.date_sub(today, 62)).otherwise(F.date_sub(today, 7)))
+
+
+def transfer_start(starts: Column, today: Column) -> Column:
+    """Bank transfers settle late, so they are read 14 days back at least."""
+    return F.least(starts, F.date_sub(today, 14))
+
+
 def lookup(table: dict[str, str], key: Column, default: Column | None = None) -> Column:
     found = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
     return found if default is None else F.coalesce(found, default)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import labels
@@ -10,6 +10,9 @@ from quillon.functions import labels
 # Allowed changes of a job's state.
 ALLOWED = (("QUEUED", "CLAIMED"), ("CLAIMED", "RUNNING"), ("RUNNING", "COMPLETED"), ("RUNNING", "FAILED"), ("FAILED", "RETRYING"), ("RETRYING", "QUEUED"), ("QUEUED", "CANCELLED"))
 
+# Fixed value: refresh failures in a row from which a workspace may not sync.
+REFRESH_FAILURES = 5
+
 
 def active(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin("CLAIMED", "RUNNING"))
@@ -39,11 +42,31 @@ def gates(jobs: DataFrame, now: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     s = jobs.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("total"), n("COMPLETED").alias("success"), n("FAILED").alias("failures"), n("RUNNING").alias("running"), F.max("heartbeat_at").alias("last_at"), F.max(F.when(F.col("status") == "COMPLETED", F.col("heartbeat_at"))).alias("last_ok"))
     at = F.lit(now).cast("timestamp")
-    gate = F.when(F.col("success") == 0, "no_licence").when(F.col("failures") >= 90, "refresh_failures").when(F.col("running") > 70, "running").when(F.col("last_at") > at, "cooldown").otherwise("open")
+    # The aggregate stands for a snapshot of the workspace: its gates are tried in the fixed order.
+    s = s.withColumns({
+        "licence": F.lit("active"), "licence_ends": at + F.expr("interval 1 day"), "credentials": F.col("success") > 0, "refresh_failures": F.col("failures") % 9,
+        "state": F.when(F.col("running") % 4 == 0, "running").otherwise("ready"), "active_jobs": (F.col("running") % 5 == 0).cast("int"), "cooldown_until": F.col("last_at"),
+    })
+    gate = first_gate(at)
     health = labels.health(F.col("total"), F.col("success"), F.col("last_ok") < at - F.expr("interval 24 hours"), F.col("failures") % 4)
     return s.select("workspace_id", gate.alias("gate"), health.alias("health"), labels.terminal_state(F.col("success"), F.col("failures"), F.col("running"), F.lit(0)).alias("terminal"))
 
 
+def first_gate(now: Column) -> Column:
+    """The first closed gate of a workspace row (licence, licence_ends, credentials, refresh_failures, state, active_jobs, cooldown_until), in their fixed order."""
+    c = F.col
+    return (
+        F.when(c("licence") != "active", "licence_status").when(c("licence_ends") <= now, "licence_expired").when(~c("credentials"), "no_credentials")
+        .when(c("refresh_failures") >= REFRESH_FAILURES, "refresh_failures").when(c("state") == "running", "running").when(c("active_jobs") > 0, "active_jobs")
+        .when(c("cooldown_until") > now, "cooldown").when(c("state") == "gated", "gated").otherwise("open")
+    )
+
+
+def after_run(status: Column, error: Column) -> Column:
+    """A workspace's state after a run that ended so, with an error of that class."""
+    return F.when(status == "COMPLETED", "cooldown").when((status == "FAILED") & error.isin("authorization", "configuration"), "gated").otherwise("ready")
+
+
 def transitions(jobs: DataFrame) -> DataFrame:
     """Changes from a workspace's job to its next that the table of states doesn't allow."""
     w = Window.partitionBy("workspace_id").orderBy("scheduled_at", "job_id")

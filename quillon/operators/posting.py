@@ -36,3 +36,9 @@ def plans(lines: DataFrame, batches: DataFrame) -> DataFrame:
     """Each plan's lines and total, and how far it is from the batch's net."""
     sums = lines.groupBy("k").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("amount").alias("total"))
     return sums.join(batches.select("k", "net_amount"), "k").withColumn("off", F.col("total") - F.col("net_amount"))
+
+
+def unbalanced(batches: DataFrame) -> DataFrame:
+    """Headers (gross_amount, fees, refunds, net) that don't add up, with how far they are off."""
+    off = (F.col("gross_amount") - F.col("fees") - F.col("refunds") - F.col("net")).cast("decimal(18,2)")
+    return batches.withColumn("off", off).where("abs(off) >= 0.01")

@@ -32,9 +32,23 @@ def _normal(c: Column) -> Column:
     return F.coalesce(F.bround(text.try_cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string"), text)
 
 
-def _aligned(original: DataFrame, replay: DataFrame, fields: list[str]) -> DataFrame:
-    side = lambda df, s: df.select(KEY, F.struct(*[_normal(F.col(f)).alias(f) for f in fields]).alias(s))
-    return side(original, "o").join(side(replay, "r"), KEY, "full_outer")
+def keyed(facts: DataFrame) -> DataFrame:
+    """facts with `rk`, the key that a replay is held against: payment id, else refund id, else payout id and kind; of several rows of a key the last."""
+    rk = F.coalesce("processor_payment_id", "processor_refund_id", F.concat_ws(":", "processor_payout_id", "event_type"))
+    columns = facts.columns
+    return facts.groupBy(rk.alias("rk")).agg(F.max_by(F.struct(*columns), "k").alias("_r")).select("rk", "_r.*")
+
+
+def _aligned(original: DataFrame, replay: DataFrame, fields: list[str], key: str = KEY) -> DataFrame:
+    side = lambda df, s: df.select(key, F.struct(*[_normal(F.col(f)).alias(f) for f in fields]).alias(s))
+    return side(original, "o").join(side(replay, "r"), key, "full_outer")
+
+
+def verdict(original: DataFrame, replay: DataFrame, fields: list[str], key: str = "rk") -> DataFrame:
+    """One row: keys missing, extra, differing and equal, and whether the replay passed."""
+    o, r = F.col("o"), F.col("r")
+    n = _aligned(original, replay, fields, key).agg(F.count_if(r.isNull()).alias("missing"), F.count_if(o.isNull()).alias("extra"), F.count_if(o.isNotNull() & r.isNotNull() & ~o.eqNullSafe(r)).alias("differing"), F.count_if(o.eqNullSafe(r)).alias("equal"))
+    return n.withColumn("passed", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("differing") == 0))
 
 
 def equivalence(original: DataFrame, replay: DataFrame, fields: list[str]) -> DataFrame:
@@ -42,8 +56,8 @@ def equivalence(original: DataFrame, replay: DataFrame, fields: list[str]) -> Da
     return _aligned(original, replay, fields).groupBy(result.alias("result")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def field_differences(original: DataFrame, replay: DataFrame, fields: list[str]) -> DataFrame:
+def field_differences(original: DataFrame, replay: DataFrame, fields: list[str], key: str = KEY) -> DataFrame:
     """A row for each field that differs between rows present on both sides."""
-    both = _aligned(original, replay, fields).where("o is not null and r is not null")
+    both = _aligned(original, replay, fields, key).where("o is not null and r is not null")
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").alias("was"), F.col(f"r.{f}").alias("now")) for f in fields])
-    return both.select(KEY, F.inline(F.filter(each, lambda x: ~x["was"].eqNullSafe(x["now"]))))
+    return both.select(key, F.inline(F.filter(each, lambda x: ~x["was"].eqNullSafe(x["now"]))))

@@ -54,13 +54,14 @@ def orphan_runs(spark, d):
     return jobs.where("status = 'COMPLETED'").select(*keys).distinct().join(C.active(jobs).select(*keys), keys, "left_anti")
 
 
-@query("""select l.workspace_id, l.n from (select workspace_id, count(*) n from jobs where status = 'CANCELLED' and sync_run_id % 5 = 0 group by 1) l
-where not exists (select 1 from jobs j where j.workspace_id = l.workspace_id and status = 'RUNNING' and sync_run_id = 48) and not exists (select 1 from jobs j where j.workspace_id = l.workspace_id and status = 'CLAIMED' and sync_run_id = 49)""")
+@query("""with l as (select workspace_id, sync_run_id, count(*) n from jobs where status = 'CANCELLED' group by 1, 2) select l.workspace_id, l.sync_run_id, l.n from l
+where not exists (select 1 from jobs j where j.workspace_id = l.workspace_id and j.sync_run_id = l.sync_run_id and status = 'RUNNING') and not exists (select 1 from jobs j where j.workspace_id = l.workspace_id and j.sync_run_id = l.sync_run_id + 1 and status = 'CLAIMED')""".replace("with l as", ", l as"))
 def orphan_locks(spark, d):
-    """Locks of workspaces with neither a running nor a claimed job of a kind: two anti-joins."""
-    jobs = V.sync_jobs(spark, d)
-    locks = jobs.where("status = 'CANCELLED' and sync_run_id % 5 = 0").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n"))
-    return locks.join(jobs.where("status = 'RUNNING' and sync_run_id = 48"), "workspace_id", "left_anti").join(jobs.where("status = 'CLAIMED' and sync_run_id = 49"), "workspace_id", "left_anti")
+    """Locks of a run that has neither a running job nor a claimed one that follows: two anti-joins."""
+    jobs, keys = V.sync_jobs(spark, d), ["workspace_id", "sync_run_id"]
+    locks = jobs.where("status = 'CANCELLED'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    follows = jobs.where("status = 'CLAIMED'").select("workspace_id", (F.col("sync_run_id") - 1).alias("sync_run_id"))
+    return locks.join(jobs.where("status = 'RUNNING'").select(*keys), keys, "left_anti").join(follows, keys, "left_anti")
 
 
 @query("""select 'single_running' as invariant, workspace_id subject from jobs where status = 'RUNNING' group by workspace_id having count(*) > 1
@@ -70,7 +71,7 @@ def invariant_violations(spark, d):
     return C.violations(V.sync_jobs(spark, d), V.outcomes(spark, d))
 
 
-@query(f"""select workspace_id, case when success = 0 then 'no_licence' when failures >= 90 then 'refresh_failures' when running > 70 then 'running' when last_at > timestamp '{NOW}' then 'cooldown' else 'open' end gate,
+@query(f"""select workspace_id, case when success = 0 then 'no_credentials' when failures % 9 >= 5 then 'refresh_failures' when running % 4 = 0 then 'running' when running % 5 = 0 then 'active_jobs' when last_at > timestamp '{NOW}' then 'cooldown' else 'open' end gate,
 case when total = 0 then 1.0 else round(greatest(0, success / total - case when last_ok < timestamp '{NOW}' - interval 24 hour then 0.2 else 0 end - least(0.3, 0.1 * (failures % 4))), 2) end health,
 case when failures > 0 and success > 0 then 'partially_completed' when failures > 0 then 'failed' when running > 0 then 'completed_with_ambiguity' else 'completed' end terminal
 from (select workspace_id, count(*) total, count(*) filter (status = 'COMPLETED') success, count(*) filter (status = 'FAILED') failures, count(*) filter (status = 'RUNNING') running, max(heartbeat_at) last_at, max(heartbeat_at) filter (status = 'COMPLETED') last_ok from jobs group by 1)""")
@@ -123,11 +124,10 @@ def raw_versions_changed(spark, d):
     return V.raw_objects(spark, d).withColumn("previous", F.lag("raw_json").over(w)).where("previous is not null and previous <> raw_json").select("id", "previous")
 
 
-@query("""select p.processor_payment_id, b.k batch, o.accounting_id, a.acct_date from proc p left join batches b using (workspace_id, processor, processor_payout_id) left join outc o using (workspace_id, processor_payment_id) left join acct a on a.accounting_id = o.accounting_id where p.k % 16 = 3""")
+@query("""select p.processor_payment_id, b.k batch, o.accounting_id, a.acct_date from proc p left join batches b using (workspace_id, processor, processor_payout_id) left join outc o using (workspace_id, processor_payment_id) left join acct a on a.accounting_id = o.accounting_id""")
 def lineage_back(spark, d):
     """From facts back to batch, outcome and accounting object."""
-    p = V.processor_facts(spark, d).where("k % 16 = 3")
-    return R.back(p, V.payout_batches(spark, d), V.outcomes(spark, d), V.accounting_facts(spark, d))
+    return R.back(V.processor_facts(spark, d), V.payout_batches(spark, d), V.outcomes(spark, d), V.accounting_facts(spark, d))
 
 
 @query("select b.k batch, p.processor_payment_id, o.match_type from batches b join proc p using (workspace_id, processor, processor_payout_id) left join outc o using (workspace_id, processor_payment_id) where b.status = 'posted'")

@@ -117,14 +117,14 @@ def canonicalize_observed(spark, d):
     return a.select("k", ids.accounting_id(F.col("workspace_id"), F.lit("qbo"), kind, F.col("accounting_id")).alias("id"), "event_type", "amount_gross", "acct_date", S.blank_to_null(F.col("ref_no")).alias("ref_no"))
 
 
-@query("select event_id, k from (select event_id, json_extract_string(props, '$.k') k from events) where k is not null", head=False)
+@query("""select event_id, json_extract_string(props, '$.k') k, cast(1 + (event_id % 2) as int) n_kept from events""", head=False)
 def metadata_clean(spark, d):
-    """Metadata without the keys that belong to matching and status."""
+    """Metadata without the keys that belong to matching and status; what else there is stays."""
     e = V.table(spark, d, "events")
-    meta = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("qbo_id"), F.lit("1"), F.lit("match_score"), F.lit("2"), F.lit("status"), F.lit("x")))
-    dropped = ("status", "ready", "readiness", "confidence", "needs_review")
-    kept = F.map_filter(meta, lambda k, _: ~(k.startswith("qbo_") | k.startswith("match_") | k.isin(*dropped)))
-    return e.select("event_id", F.explode(kept).alias("key", "k")).where("key = 'k'").select("event_id", "k")
+    more = F.create_map(*[F.lit(x) for x in ("qbo_id", "1", "match_score", "2", "status", "x", "needs_review", "y", "readiness", "z")])
+    note = F.when(F.col("event_id") % 2 == 1, F.create_map(F.lit("note"), F.lit("n"))).otherwise(F.create_map().cast("map<string,string>"))
+    kept = labels.clean_metadata(F.map_concat(F.from_json("props", "map<string,string>"), more, note))
+    return e.select("event_id", kept["k"].alias("k"), F.size(kept).alias("n_kept"))
 
 
 @query("select l_orderkey, l_linenumber, l_suppkey, coalesce(nullif(case when l_suppkey % 3 = 0 then '' else 'own' end, ''), s_name) account_name from lineitem left join supplier on l_suppkey = s_suppkey", head=False)
@@ -135,9 +135,9 @@ def account_name_enrich(spark, d):
     return line.join(s, line.l_suppkey == s.s_suppkey, "left").select("l_orderkey", "l_linenumber", "l_suppkey", F.coalesce(S.blank_to_null(own), "s_name").alias("account_name"))
 
 
-@query("select distinct 'tx' || l_orderkey id from lineitem where l_orderkey % 4 = 1 and 'tx' || l_orderkey not in (select processor_payment_id from proc where k % 8 = 1)")
+@query("select distinct 'tx' || l_orderkey id from lineitem where 'tx' || l_orderkey not in (select processor_payment_id from proc where k % 8 = 1)")
 def idempotent_append(spark, d):
-    new = V.table(spark, d, "lineitem").where("l_orderkey % 4 = 1").select(F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("id"))
+    new = V.table(spark, d, "lineitem").select(F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("id"))
     old = V.processor_facts(spark, d).where("k % 8 = 1").select(F.col("processor_payment_id").alias("id"))
     return writes.appended(new, old, ["id"])
 
@@ -159,16 +159,14 @@ def confirmed_pair_upsert(spark, d):
     return o.join(p, o.o_orderkey == p.k).groupBy("o_custkey", "workspace_id", "processor").agg(F.count(F.lit(1)).alias("confirmations"), F.min("o_orderdate").alias("first_confirmed_at"), F.max("o_orderdate").alias("last_confirmed_at"), F.max_by("o_orderkey", "o_orderkey").alias("last_event"))
 
 
-@query("""select event_id, case when event_id % 5 = 0 then 'rate_limit' when event_id % 5 = 1 then 'authorization' when event_id % 5 = 2 then 'network' else 'unknown' end category,
-case when event_id % 5 in (0, 2) then [5, 30, 120][least(event_id % 4, 2) + 1] end retry_after from events""", head=False)
+@query("""select event_id, case event_id % 8 when 0 then 'infrastructure' when 1 then 'authorization' when 2 then 'infrastructure' when 3 then 'configuration' when 4 then 'data_integrity' when 5 then 'authorization' when 6 then 'data_integrity' else 'infrastructure' end category,
+case when event_id % 8 in (0, 2, 7) then [5, 30, 120][least(event_id % 4, 2) + 1] end retry_after from events""", head=False)
 def error_taxonomy(spark, d):
-    """Ordered keyword classes of error texts, and the wait before a retry of those that pass."""
-    texts = ("HTTP 429 too many requests", "401 unauthorized", "connection timed out", "odd", "??")
-    e = V.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 5 + 1).cast("int")).alias("text"))
-    t = F.lower("text")
-    kind = F.when(t.rlike("429|rate limit|too many"), "rate_limit").when(t.rlike("401|403|unauthorized|forbidden"), "authorization").when(t.rlike("time.?d? ?out|connection"), "network").otherwise("unknown")
+    """Classes of error texts by words tried in order, and the wait before a retry of those that pass."""
+    texts = ("HTTP 429 rate limit", "401 Unauthorized", "connection timed out", "Account not found", "duplicate key", "token mismatch", "value already exists", "odd")
+    e = V.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 8 + 1).cast("int")).alias("text"))
     wait = F.element_at(F.array(*map(F.lit, (5, 30, 120))), (F.least(F.col("event_id") % 4, F.lit(2)) + 1).cast("int"))
-    return e.withColumn("category", kind).select("event_id", "category", F.when(F.col("category").isin("rate_limit", "network"), wait).alias("retry_after"))
+    return e.withColumn("category", labels.error_class(F.col("text"))).select("event_id", "category", F.when(F.col("category") == "infrastructure", wait).alias("retry_after"))
 
 
 @query("select k, (k % 4) || '.' || (k % 11) || '.' || (k % 3) || 'b' version, (k % 4 > 2 or k % 4 = 2 and (k % 11 > 5 or k % 11 = 5 and k % 3 >= 1)) compatible from proc")
@@ -183,10 +181,13 @@ def deposit_stamp(spark, d):
     return V.processor_facts(spark, d).select("processor_payout_id").distinct().withColumn("stamp", labels.deposit_stamp(F.col("processor_payout_id")))
 
 
-@query("select n_nationkey, coalesce(map {'UNITED STATES': 'America/New_York', 'CANADA': 'America/Toronto', 'UNITED KINGDOM': 'Europe/London'}[n_name], 'America/New_York') zone from nation", head=False)
+@query("""select c_custkey, case when c_custkey % 4 = 1 then case c_custkey % 3 when 0 then 'America/Vancouver' when 1 then 'America/St_Johns' else 'America/Toronto' end when c_custkey % 4 = 2 then case c_custkey % 3 when 0 then 'Australia/Perth' when 1 then 'Australia/Darwin' else 'Australia/Sydney' end when c_custkey % 4 = 3 then 'Europe/London' else 'America/New_York' end zone from customer""", head=False)
 def timezone_map(spark, d):
-    zones = {"UNITED STATES": "America/New_York", "CANADA": "America/Toronto", "UNITED KINGDOM": "Europe/London"}
-    return V.table(spark, d, "nation").select("n_nationkey", labels.lookup(zones, F.col("n_name"), F.lit("America/New_York")).alias("zone"))
+    """Time zones by country and state, with a default for each country and one for all."""
+    k = F.col("c_custkey")
+    pick = lambda of, values: F.element_at(F.array(*map(F.lit, values)), (of + 1).cast("int"))
+    state = F.when(k % 4 == 1, pick(k % 3, ("bc ", "NL", "??"))).when(k % 4 == 2, pick(k % 3, ("WA", "nt", "")))
+    return V.table(spark, d, "customer").select("c_custkey", labels.zone(pick(k % 4, ("US", "CA", "AU", "GB")), state).alias("zone"))
 
 
 @query("select event_type metric, count(*) counter, arg_max(value, ts) gauge, round(sum(value), 4) hist_sum from events group by 1", head=False)

@@ -208,12 +208,14 @@ def payments_for_payout(spark, d):
     return p.join(o.select("processor_payment_id", "accounting_id"), "processor_payment_id", "left").join(a.select("accounting_id", F.col("event_type").alias("a_type")), "accounting_id", "left").select("processor_payment_id", "amount_gross", "accounting_id", kind.alias("object_type"))
 
 
-@query("""select a.deposit_id probe, b.deposit_id found from (select deposit_id, deposit_date, sum(amount) total_amount, count(*) over () n from dep_lines group by 1, 2) a
-join (select deposit_id, deposit_date, sum(amount) total_amount from dep_lines group by 1, 2) b on a.deposit_date = b.deposit_date and abs(a.total_amount - b.total_amount) < 200000.01 and a.deposit_id <> b.deposit_id and contains(b.deposit_id, '_ws_')""")
+@query("""with dep as (select workspace_id, deposit_id, deposit_date, cast(sum(amount) as decimal(18,2)) total_amount from dep_lines group by all), twice as (select * from dep union all select workspace_id, deposit_id || '_again', deposit_date, total_amount + case when day(deposit_date) % 3 = 0 then 1 else 0.01 end from dep)
+select a.deposit_id probe, b.deposit_id as found from twice a join twice b on a.workspace_id = b.workspace_id and a.deposit_date = b.deposit_date and abs(a.total_amount - b.total_amount) < 0.02 and a.deposit_id <> b.deposit_id and contains(b.deposit_id, '_again')""".replace("with dep as", ", dep as"))
 def duplicate_deposit_probe(spark, d):
-    """Deposits of one date within a tolerance whose memo holds a mark: an equi-join on the date, the rest a filter."""
-    dep = V.deposits(spark, d)
-    return D.duplicates(dep.select("deposit_id", "deposit_date", "total_amount"), tolerance=200000.01, mark="_ws_")
+    """Deposits of a workspace and date within two hundredths whose memo holds a mark: an equi-join, the rest a filter. Each is here twice, some a whole unit apart."""
+    dep = V.deposits(spark, d).select("workspace_id", "deposit_id", "deposit_date", "total_amount")
+    step = F.when(F.dayofmonth("deposit_date") % 3 == 0, F.lit(1)).otherwise(F.lit(0.01).cast("decimal(18,2)"))
+    again = dep.select("workspace_id", F.concat("deposit_id", F.lit("_again")).alias("deposit_id"), "deposit_date", (F.col("total_amount") + step).cast("decimal(18,2)").alias("total_amount"))
+    return D.duplicates(dep.union(again), tolerance=0.02, mark="_again")
 
 
 @query("select workspace_id, processor_payment_id, dense_rank() over (partition by workspace_id order by amount_gross desc) amount_rank from proc where event_type = 'payment' qualify row_number() over (partition by workspace_id order by amount_gross desc, k) <= 20")

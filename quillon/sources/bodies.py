@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import labels
 
 CHARGE = "id string, amount long, currency string, created long, receipt_email string, customer string, billing_details struct<email:string>, payment_method_details struct<type:string>"
+REFUND = "amount long, created long, charge string, status string"
 GATEWAY = "transId long, batchId string, transactionStatus string, settleAmount decimal(18,2), accountType string, accountNumber string"
 BALANCE = "array<struct<id:string,amount:long,fee:long,source:string>>"
 
@@ -47,6 +48,20 @@ def gateway_rows(bodies: DataFrame) -> DataFrame:
     return r.select("k", F.col("t.batchId").alias("batch"), labels.gateway_kind(F.col("t.transactionStatus")).alias("kind"), F.col("t.settleAmount").alias("amount"), F.right("t.accountNumber", F.lit(4)).alias("last4"), method.alias("method"))
 
 
+def refund_bodies(facts: DataFrame) -> DataFrame:
+    k = F.col("k").cast("string")
+    charge = F.when(F.col("k") % 2 == 0, F.concat(F.lit('"tx'), k, F.lit('"'))).otherwise(F.concat(F.lit('{"id":"tx'), k, F.lit('"}')))
+    status = F.when(F.col("k") % 3 == 0, "pending").otherwise("succeeded")
+    body = F.concat(F.lit('{"amount":'), (F.col("amount_gross") * 100).cast("long").cast("string"), F.lit(',"created":'), F.unix_timestamp(F.col("proc_date").cast("timestamp")).cast("string"), F.lit(',"charge":'), charge, F.lit(',"status":"'), status, F.lit('"}'))
+    return facts.select("k", body.alias("body"))
+
+
+def refund_rows(bodies: DataFrame) -> DataFrame:
+    r = bodies.withColumn("r", F.from_json("body", REFUND))
+    charge = F.coalesce(F.get_json_object("r.charge", "$.id"), F.col("r.charge"))
+    return r.select("k", (F.col("r.amount").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"), charge.alias("charge"), F.col("r.status").alias("status"), F.concat(F.lit("Refund of "), charge).alias("description"), F.to_date(F.timestamp_seconds("r.created")).alias("proc_date"))
+
+
 def balance_bodies(facts: DataFrame) -> DataFrame:
     entry = F.struct(F.col("processor_payment_id").alias("id"), (F.col("amount_gross") * 100).cast("long").alias("amount"), F.when(F.col("k") % 3 == 0, 100).otherwise(0).cast("long").alias("fee"), F.col("processor_payment_id").alias("source"))
     return facts.groupBy("processor_payout_id").agg(F.to_json(F.collect_list(entry)).alias("body"))
