@@ -63,7 +63,7 @@ def accounting_updated_since(spark, d):
 
 @query("select accounting_id, amount_gross amount from acct where accounting_id in (select 'q' || o_orderkey from orders where o_orderpriority = '1-URGENT')")
 def accounting_object_fetch(spark, d):
-    """Single objects by id, as a semi-join against the snapshot."""
+    """Single objects by id, as a semi-join against the accounting facts."""
     asked = V.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("accounting_id"))
     b = V.accounting_facts(spark, d).select("accounting_id", F.col("amount_gross").alias("amount"))
     return b.join(asked, "accounting_id", "left_semi")
