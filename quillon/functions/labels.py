@@ -50,6 +50,11 @@ def zone(country: Column, state: Column) -> Column:
     return F.coalesce(own, lookup(COUNTRY_ZONES, country), F.lit("America/New_York"))
 
 
+def is_fee(description: Column) -> Column:
+    """Whether a bank transfer is a fee, by words of its description."""
+    return F.lower(description).rlike("fee|discount|adjustment|service charge")
+
+
 def clean_metadata(meta: Column) -> Column:
     """A map without the keys that belong to matching and status."""
     return F.map_filter(meta, lambda k, _: ~(k.startswith("qbo_") | k.startswith("match_") | k.isin("status", "ready", "readiness", "confidence", "needs_review")))

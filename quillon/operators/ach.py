@@ -34,9 +34,17 @@ def members(batches: DataFrame, proc: DataFrame, outcomes: DataFrame) -> DataFra
 
 
 def band(batches: DataFrame, width: int = 15) -> DataFrame:
-    """Per batch the number of batches of the workspace whose gross is within `width`, itself included."""
-    w = Window.partitionBy("workspace_id").orderBy(F.col("gross_amount").cast("double")).rangeBetween(-width, width)
-    return batches.where("payout_type = 'ach'").withColumn("n", F.count(F.lit(1)).over(w))
+    """Per batch the number of batches of the workspace whose gross is within `width`, itself included.
+
+    Amounts are counted first and cut into cells of `width`; each meets those of its own cell and the two
+    beside it in an equi-join, so no task holds a workspace.
+    """
+    ach = batches.where("payout_type = 'ach'")
+    cell = F.floor(F.col("gross_amount") / width).cast("long")
+    amounts = ach.groupBy("workspace_id", "gross_amount").agg(F.count(F.lit(1)).alias("_c"))
+    near = amounts.select("workspace_id", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"), F.col("gross_amount").alias("_other"), "_c")
+    pairs = amounts.select("workspace_id", cell.alias("_cell"), "gross_amount").join(near, ["workspace_id", "_cell"]).where(F.abs(F.col("gross_amount") - F.col("_other")) <= width)
+    return ach.join(pairs.groupBy("workspace_id", "gross_amount").agg(F.sum("_c").alias("n")), ["workspace_id", "gross_amount"])
 
 
 def ranked(deposits: DataFrame, batches: DataFrame, proc: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["workspace_id", "processor", "processor_payout_id"]
@@ -42,3 +42,9 @@ def unbalanced(batches: DataFrame) -> DataFrame:
     """Headers (gross_amount, fees, refunds, net) that don't add up, with how far they are off."""
     off = (F.col("gross_amount") - F.col("fees") - F.col("refunds") - F.col("net")).cast("decimal(18,2)")
     return batches.withColumn("off", off).where("abs(off) >= 0.01")
+
+
+def component_checks() -> list[Column]:
+    """Over a header with the sums of its components (payments, refunds, fees): whether each is its total, to less than a cent; without fee details, null, fees are right."""
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 0.01
+    return [near("payments", "gross_amount").alias("payments_valid"), near("refunds", "refund_amount").alias("refunds_valid"), F.coalesce(near("fees", "fee_amount"), F.lit(True)).alias("fees_valid")]

@@ -110,7 +110,11 @@ def realm_conflicts(spark, d):
 
 @query("select object_type, count(*) n, list_sort(list(distinct processor_object_id))[1:5] sample from raw group by 1")
 def raw_inventory(spark, d):
-    return V.raw_objects(spark, d).groupBy("object_type").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("processor_object_id")), 1, 5).alias("sample"))
+    """Objects of each type and the first five ids. Ranks stop at five in each task, so no group is gathered."""
+    r = V.raw_objects(spark, d)
+    first = F.row_number().over(Window.partitionBy("object_type").orderBy("processor_object_id"))
+    sample = r.select("object_type", "processor_object_id").distinct().withColumn("_i", first).where("_i <= 5").groupBy("object_type").agg(F.array_sort(F.collect_list("processor_object_id")).alias("sample"))
+    return r.groupBy("object_type").agg(F.count(F.lit(1)).alias("n")).join(sample, "object_type").select("object_type", "n", "sample")
 
 
 @query("select workspace_id, object_type, processor_object_id, max(id) id, arg_max(raw_json, id) raw_json from raw group by 1, 2, 3")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import ach as A
@@ -107,7 +108,7 @@ def ach_eligibility(spark, d):
 
 @query(_RANK + " select k, n from uq")
 def ach_uniqueness_band(spark, d):
-    """Batches of a workspace within 15 of a batch's gross: a range frame, no self-join."""
+    """Batches of a workspace within 15 of a batch's gross, counted by cells of amounts."""
     return A.band(V.payout_batches(spark, d)).select("k", "n")
 
 
@@ -128,4 +129,7 @@ def ach_group_by_date(spark, d):
 @query("""select processor_payout_id, 'ach_transfer_' || proc_date payout_id, sum(amount_gross) gross, list_sort(list(processor_payment_id))[1:5] sample from proc where payment_method = 'bank_account' group by processor_payout_id, proc_date""")
 def ach_payout_build(spark, d):
     p = V.processor_facts(spark, d).where("payment_method = 'bank_account'")
-    return p.groupBy("processor_payout_id", "proc_date").agg(F.sum("amount_gross").alias("gross"), F.slice(F.array_sort(F.collect_list("processor_payment_id")), 1, 5).alias("sample")).select("processor_payout_id", F.concat(F.lit("ach_transfer_"), F.col("proc_date").cast("string")).alias("payout_id"), "gross", "sample")
+    keys = ["processor_payout_id", "proc_date"]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("processor_payment_id"))  # ranks stop at five in each task
+    sample = p.withColumn("_i", first).where("_i <= 5").groupBy(*keys).agg(F.array_sort(F.collect_list("processor_payment_id")).alias("sample"))
+    return p.groupBy(*keys).agg(F.sum("amount_gross").alias("gross")).join(sample, keys).select("processor_payout_id", F.concat(F.lit("ach_transfer_"), F.col("proc_date").cast("string")).alias("payout_id"), "gross", "sample")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import ids
+from quillon.functions import ids, labels
 from quillon.functions import scores as S
 from quillon.operators import checks as K
 from quillon.operators import deposits as D
@@ -95,7 +95,7 @@ def ach_fee_classifier(spark, d):
     """Fees among bank transfers by words in the description or the type."""
     texts = ("eCheck service FEE", "processing fee 2", "refund", "discount", "invoice", "adjustment of batch")
     t = F.element_at(F.array(*map(F.lit, texts)), (F.col("k") % 6 + 1).cast("int"))
-    return V.processor_facts(spark, d).where("payment_method = 'bank_account'").select("k", F.lower(t).rlike("fee|discount|adjustment|service charge").alias("is_fee"))
+    return V.processor_facts(spark, d).where("payment_method = 'bank_account'").select("k", labels.is_fee(t).alias("is_fee"))
 
 
 @query("""select user_id, event_id started from (select *, lead(event_type) over w next_type, lead(ts) over w next_ts from events window w as (partition by user_id order by ts, event_id))

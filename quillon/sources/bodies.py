@@ -69,3 +69,51 @@ def balance_bodies(facts: DataFrame) -> DataFrame:
 
 def balance_rows(bodies: DataFrame) -> DataFrame:
     return bodies.select("processor_payout_id", F.inline(F.from_json("body", BALANCE))).select("processor_payout_id", "id", (F.col("amount").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"), (F.col("fee") / 100).cast("long").alias("fee"))
+
+
+PAGE = "has_more boolean, data array<struct<id:string,amount:long>>"
+#: Entries of a page at most.
+PAGE_ROWS = 100
+PAYOUT = "id string, amount long, currency string, arrival_date long, status string"
+ACCOUNT = "id string, default_currency string, business_profile struct<name:string>"
+BATCHES = "batchList struct<batch:array<struct<batchId:string,settlementState:string,settlementTimeUTC:string>>>"
+
+
+def charge_pages(facts: DataFrame) -> DataFrame:
+    """Pages by spans of ids, so that none holds over PAGE_ROWS entries; every third is the last of its list."""
+    page = F.floor(F.col("k") / PAGE_ROWS)
+    entry = F.struct("k", F.concat(F.lit("tx"), F.col("k").cast("string")).alias("id"), (F.col("amount_gross") * 100).cast("long").alias("amount"))
+    pages = facts.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(entry)).alias("data"))
+    return pages.select(F.to_json(F.struct((F.col("page") % 3 != 0).alias("has_more"), F.transform("data", lambda x: F.struct(x["id"].alias("id"), x["amount"].alias("amount"))).alias("data"))).alias("body"))
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    last = F.when(F.col("has_more"), F.element_at("data", -1)["id"])
+    rows = pages.select(last.alias("next_after"), F.inline("data"))
+    return rows.select(F.substring("id", 3, 20).cast("long").alias("k"), (F.col("amount").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"), "next_after")
+
+
+def payout_bodies(batches: DataFrame) -> DataFrame:
+    arrives = F.unix_timestamp(F.col("settlement_date").cast("timestamp"))
+    return batches.select(F.to_json(F.struct(F.col("processor_payout_id").alias("id"), (F.col("net_amount") * 100).cast("long").alias("amount"), F.lit("usd").alias("currency"), arrives.alias("arrival_date"), F.when(F.col("k") % 6 != 0, "paid").alias("status"))).alias("body"))
+
+
+def payout_rows(bodies: DataFrame) -> DataFrame:
+    p = bodies.select(F.from_json("body", PAYOUT).alias("p")).select("p.*")
+    return p.select("id", (F.col("amount").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"), F.upper("currency").alias("currency"), F.to_date(F.timestamp_seconds("arrival_date")).alias("arrives"), F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+def batch_bodies(batches: DataFrame) -> DataFrame:
+    """A list for each workspace and 31 days, as a gateway answers; some batches aren't settled, some lack the time."""
+    k = F.col("k")
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    time = F.when(k % 11 != 0, tag("settlementTimeUTC", F.concat(F.col("settlement_date").cast("string"), F.lit("T10:30:00Z")))).otherwise("")
+    batch = tag("batch", F.concat(tag("batchId", F.col("processor_payout_id")), tag("settlementState", F.when(k % 9 == 0, "settlementError").otherwise("settledSuccessfully")), time))
+    lists = batches.groupBy("workspace_id", F.floor(F.unix_date("settlement_date") / 31).alias("span")).agg(F.concat_ws("", F.collect_list(batch)).alias("all"))
+    return lists.select(F.concat(F.lit("<answer><batchList>"), "all", F.lit("</batchList></answer>")).alias("body"))
+
+
+def batch_rows(bodies: DataFrame) -> DataFrame:
+    b = bodies.select(F.inline(F.from_xml("body", BATCHES)["batchList"]["batch"]))
+    settled = b.where(F.col("settlementState").isin(*labels.SETTLED) & (F.col("batchId") != "") & F.col("settlementTimeUTC").isNotNull())
+    return settled.select(F.col("batchId").alias("processor_payout_id"), F.left("settlementTimeUTC", F.lit(10)).cast("date").alias("settlement_date"), F.concat(F.lit("Batch "), "batchId").alias("description"))
