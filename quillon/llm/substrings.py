@@ -122,8 +122,9 @@ def _window_rows(window: int):
 def copies(docs: DataFrame) -> DataFrame:
     """The rows of docs(doc_id, h, text) whose text occurs twice or more: (doc_id, h, first), first marking one key for each text."""
     keyed = docs.where("text is not null").select("doc_id", "h", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    many = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("doc_id", "h")).alias("_f")).where("_c > 1")
-    return keyed.join(many, ["k1", "k2"]).select("doc_id", "h", (F.col("_f") == F.struct("doc_id", "h")).alias("first")).distinct()
+    many = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("doc_id", "h")).alias("_f")).where("_c > 1").select("k1", "k2", "_f")
+    many = written(many, "many")  # a table of its own, so that the copies of a hot text can be split in the join
+    return keyed.join(many.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "h", (F.col("_f") == F.struct("doc_id", "h")).alias("first")).distinct()
 
 
 def repeated_windows(docs: DataFrame, same: DataFrame, window: int = WINDOW) -> DataFrame:
