@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import audit, buckets, codes, decontaminate, embeddings, jaccard, licenses, quality, secrets, sharding, substrings, tokens
+from quillon.llm import audit, buckets, codes, decontaminate, embeddings, jaccard, licenses, quality, secrets, sharding, substrings, suffixes, tokens
 from quillon.llm.shared import documents_of
 
 
@@ -52,9 +52,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(documents_of(spark, sf_dir), length=100, keep=False).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "string(kept) kept_sha256")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op3_length_buckets": op3_length_buckets, "op4_substring_dedup": op4_substring_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan, "op10_packed_tokens": op10_packed_tokens, "op11_filter_audit": op11_filter_audit, "op13_vector_codes": op13_vector_codes}
-SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90), "op4_substring_dedup": substrings.sql(35), "op7_embedding_near_dedup": embeddings.sql(0.98), "op11_filter_audit": audit.sql(), "op13_vector_codes": codes.sql()}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_jaccard_join": op2_jaccard_join, "op3_length_buckets": op3_length_buckets, "op4_substring_dedup": op4_substring_dedup, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality": op8_quality, "op9_secret_scan": op9_secret_scan, "op10_packed_tokens": op10_packed_tokens, "op11_filter_audit": op11_filter_audit, "op12_suffix_dedup": op12_suffix_dedup, "op13_vector_codes": op13_vector_codes}
+SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_jaccard_join": jaccard.sql(3, 90), "op4_substring_dedup": substrings.sql(35), "op7_embedding_near_dedup": embeddings.sql(0.98), "op11_filter_audit": audit.sql(), "op12_suffix_dedup": suffixes.sql(), "op13_vector_codes": codes.sql()}
