@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -50,17 +51,32 @@ def encoding(path: str) -> tiktoken.Encoding:
         return encoding_of(file.read())
 
 
+#: White space as the pattern knows it, in runs so long that the pattern's engine, which looks back from the end of a run, might run out of stack.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def ids_of(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text, of any length. The pattern takes a run of white space as one piece, but for its last character where something follows; long runs are cut out so beforehand."""
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def _encode(vocabulary, row: int, end: int, kind: str):
     """vocabulary: a broadcast of the file's content, as executors need not have the file."""
 
     def scan(batches):
         from pyspark import TaskContext
 
-        part, encode, seen = TaskContext.get().partitionId(), encoding_of(vocabulary.value).encode_ordinary, defaultdict(int)
+        part, enc, seen = TaskContext.get().partitionId(), encoding_of(vocabulary.value), defaultdict(int)
         for batch in batches:
             columns = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end], dtype=kind)
+                ids = np.array([*ids_of(enc, text.as_py() or ""), end], dtype=kind)
                 for piece, at in enumerate(range(0, len(ids), row)):
                     n = min(row, len(ids) - at)
                     for column, value in zip(columns, (doc, piece, at, n, part, seen[n], ids[at : at + n].tobytes())):
