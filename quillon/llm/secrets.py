@@ -17,6 +17,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -87,15 +88,35 @@ def battery(token: str, enc: int) -> tuple[float, float]:
 
 
 def _of_text(text: str) -> tuple[list[tuple[str, int, int]], list[dict]]:
-    """The fixed patterns' spans, and the candidates outside them with their statistics."""
-    base, cands = base_spans(text), []
+    """The fixed patterns' spans; and for each run of key characters the candidates outside those spans with their statistics: the run itself, or None, and its parts."""
+    base, runs = base_spans(text), []
+    begins, ends = _joined(base)
+
+    def candidate(start: int, end: int) -> dict | None:
+        enc, i = encoding_of(text[start:end]), bisect.bisect_right(ends, start)
+        if enc is None or (i < len(begins) and begins[i] < end):  # of the spans that end behind `start` the first begins before `end`
+            return None
+        x2, p_random = battery(text[start:end], enc)
+        return {"start": start, "end": end, "n": end - start, "enc": enc, "x2": x2, "p_random": p_random}
+
     for m in CANDIDATE.finditer(text):
-        for start, end in dict.fromkeys([m.span(), *(part.span() for part in PART.finditer(text, *m.span()))]):
-            enc = encoding_of(text[start:end])
-            if enc is not None and not any(a < end and start < b for _, a, b in base):
-                x2, p_random = battery(text[start:end], enc)
-                cands.append({"start": start, "end": end, "n": end - start, "enc": enc, "x2": x2, "p_random": p_random})
-    return base, cands
+        run, parts = candidate(*m.span()), [candidate(*x.span()) for x in PART.finditer(text, *m.span()) if x.span() != m.span()]
+        parts = [x for x in parts if x]
+        if run or parts:
+            runs.append({"run": run, "parts": parts})
+    return base, runs
+
+
+def _joined(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the union of sorted spans."""
+    begins, ends = [], []
+    for _, a, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
 
 
 #: Rows whose candidates a task holds as Python objects at once.
@@ -107,18 +128,19 @@ def _scan(batches):
         for part in (batch.slice(at, SCAN_ROWS) for at in range(0, batch.num_rows, SCAN_ROWS)):
             ids, texts, rows = part.column(0).to_pylist(), part.column(1), []
             for i in range(len(ids)):
-                base, cands = _of_text(texts[i].as_py() or "")
-                rows.append({"doc_id": ids[i], "base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "cands": cands, "bytes": None})
+                base, runs = _of_text(texts[i].as_py() or "")
+                rows.append({"doc_id": ids[i], "base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "runs": runs, "bytes": None})
             joined = texts.cast(pa.large_binary())
             offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
             data = np.frombuffer(joined.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if joined.buffers()[2] else np.zeros(0, np.uint8)
-            rows.append({"doc_id": None, "base": [], "cands": [], "bytes": np.bincount(data, minlength=256).tolist()})
+            rows.append({"doc_id": None, "base": [], "runs": [], "bytes": np.bincount(data, minlength=256).tolist()})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCANNED)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n", pa.int32()), ("enc", pa.int32()), ("x2", pa.float64()), ("p_random", pa.float64())])
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(_SPAN)), ("cands", pa.list_(_CAND)), ("bytes", pa.list_(pa.int64()))])
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(_SPAN)), ("runs", pa.list_(pa.struct([("run", _CAND), ("parts", pa.list_(_CAND))]))), ("bytes", pa.list_(pa.int64()))])
+_CAND_SQL = "struct<start:long,end:long,n:int,enc:int,x2:double,p_random:double>"
 
 
 def text_moments(byte_counts: np.ndarray) -> list[tuple[float, float, float, float]]:
@@ -154,16 +176,18 @@ class Rule:
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """All spans of a text, by start and then kind."""
-        base, cands = _of_text(text or "")
+        base, runs = _of_text(text or "")
         more = []
-        for c in cands:
-            a, b, v, w = self.moments[c["enc"]]
-            z = (c["x2"] - (a * c["n"] + b)) / math.sqrt(v * c["n"] + w)
-            if c["p_random"] >= self.least_random and math.floor(z * 16) / 16 < self.limits.get(int(math.log2(c["n"])), -math.inf):
-                if not more or c["end"] > more[-1][2]:  # a run comes before its parts
-                    more.append(("random", c["start"], c["end"]))
+        for r in runs:
+            for c in [r["run"]] if r["run"] and self.accepts(r["run"]) else filter(self.accepts, r["parts"]):
+                more.append(("random", c["start"], c["end"]))
         return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
+    def accepts(self, c: dict) -> bool:
+        a, b, v, w = self.moments[c["enc"]]
+        z = (c["x2"] - (a * c["n"] + b)) / math.sqrt(v * c["n"] + w)
+        return c["p_random"] >= self.least_random and math.floor(z * 16) / 16 < self.limits.get(int(math.log2(c["n"])), -math.inf)
+
     def redact(self, text: str | None, mark: str = "[SECRET]") -> str | None:
         """The text with `mark` in place of its spans; overlapping spans get one."""
         if text is None:
@@ -178,10 +202,11 @@ class Rule:
 
 def _scanned(docs: DataFrame, alpha: float, least_random: float) -> tuple[DataFrame, Rule]:
     """The written scan, a row per row of docs and one with byte counts per batch; and the rule. The driver gets the corpus's byte counts (256 numbers) and counts of candidates by band and z bin, of fixed size."""
-    scanned = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, base array<struct<kind:string,start:long,end:long>>, cands array<struct<start:long,end:long,n:int,enc:int,x2:double,p_random:double>>, bytes array<long>"), "secrets")
+    scanned = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, f"doc_id long, base array<struct<kind:string,start:long,end:long>>, runs array<struct<run:{_CAND_SQL},parts:array<{_CAND_SQL}>>>, bytes array<long>"), "secrets")
     totals = scanned.filter("bytes is not null").agg(*[F.sum(F.col("bytes")[i]).alias(f"b{i}") for i in range(256)]).first()
     moments = text_moments(np.array([x or 0 for x in totals]))
-    each = scanned.filter("bytes is null").select(F.explode("cands").alias("x")).where(F.col("x.p_random") >= least_random)
+    both = F.flatten(F.transform("runs", lambda r: F.concat(F.array_compact(F.array(r["run"])), r["parts"])))
+    each = scanned.filter("bytes is null").select(F.explode(both).alias("x")).where(F.col("x.p_random") >= least_random)
     bins = each.select(_band(F.col("x")).alias("band"), F.greatest(F.lit(-640), F.floor(_z(F.col("x"), moments) * 16)).cast("int").alias("bin")).groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
     return scanned, Rule(moments, bh_limits(bins, alpha), least_random)
 
@@ -205,12 +230,12 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.0
     no = F.lit(float("-inf"))
     limit = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in rule.limits.items() for y in kv]), _band(x)), no) if rule.limits else no
     passes = lambda x: (x["p_random"] >= least_random) & (F.floor(_z(x, rule.moments) * 16) / 16 < limit(x))
-    accepted = F.filter("cands", passes)
-    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x["n"] < y["n"])
-    kept = F.transform(F.filter("_accepted", lambda x: ~F.exists("_accepted", lambda y: within(x, y))), lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    order = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    spans = F.array_sort(F.concat("base", kept), lambda x, y: F.when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise((order(x) - order(y)).cast("int")))
-    return scanned.filter("bytes is null").withColumn("_accepted", accepted).select("doc_id", spans.alias("spans"))
+    of_run = lambda r: F.when(F.coalesce(passes(r["run"]), F.lit(False)), F.array(r["run"])).otherwise(F.filter(r["parts"], passes))  # noqa: E731  parts within an accepted run aren't named again
+    order = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+    place = lambda kind, x: F.struct(x["start"].alias("start"), order(kind).alias("order"), kind.alias("kind"), x["end"].alias("end"))
+    found = F.concat(F.transform("base", lambda x: place(x["kind"], x)), F.transform(F.flatten(F.transform("runs", of_run)), lambda x: place(F.lit("random"), x)))
+    spans = F.transform(F.array_sort(found), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return scanned.filter("bytes is null").select("doc_id", spans.alias("spans"))
 
 
 def redacted(docs: DataFrame, alpha: float = 0.01, least_random: float = 0.001) -> DataFrame:
