@@ -1,12 +1,16 @@
 """Secrets, quality, decontamination, packing and the pipeline, by rows made for each case and by brute force."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 import corpus_pipeline
 from quillon.llm import buckets, decontaminate, jaccard, quality, queries, secrets, tokens
@@ -79,6 +83,74 @@ def test_random_secrets_in_paths_and_of_one_case(spark, documents):
     assert all((clean[i] != text[i]) == bool(got[i]) for i in text)
 
 
+def plain_random(texts, alpha=0.01, least=0.001):
+    """The randomness battery and the false-discovery rule, written out: accepted (text number, start, end)."""
+    up, low, dig = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [dig, dig + "abcdef", dig + "ABCDEF", low, up, up + "234567", dig + low, dig + up, up + low, dig + up + low, up + low + dig + "+/", up + low + dig + "_-"]
+    used = Counter("".join(texts).encode())
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    found = []
+    for t, text in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_by_hand(text)]
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text):
+            for span in [m.span()] + [x.span() for x in re.finditer("[A-Za-z0-9]{16,}", text) if m.start() <= x.start() and x.end() <= m.end() and x.span() != m.span()]:
+                token = text[slice(*span)]
+                fit = [a for a in alphabets if set(token) <= set(a)]
+                if not fit or not re.search("[A-Za-z0-9]", token) or any(a < span[1] and span[0] < b for a, b in base):
+                    continue
+                symbols, n = fit[0], len(token)
+                k, at = len(symbols), [symbols.index(c) for c in token]
+                x2 = sum((token.count(c) - n / k) ** 2 / (n / k) for c in symbols)
+                even = tail((x2 - (k - 1)) / math.sqrt(2 * (k - 1))) if x2 > k - 1 else 1.0
+                above = [x >= k / 2 for x in at]
+                m1, m0 = sum(above), n - sum(above)
+                if m1 and m0:
+                    mean = 2 * m1 * m0 / n + 1
+                    var = (mean - 1) * (mean - 2) / (n - 1)
+                    runs = tail((1 + sum(a != b for a, b in zip(above, above[1:])) - mean) / math.sqrt(var)) if var > 0 else 1.0
+                else:
+                    runs = 2.0 ** (1 - n)
+                mu = sum(at) / n
+                spread = sum((x - mu) ** 2 for x in at)
+                r = sum((x - mu) * (y - mu) for x, y in zip(at, at[1:])) / spread if spread else 1.0
+                s = -sum(math.log(max(p, 1e-300)) for p in (even, runs, tail((r + 1 / n) * math.sqrt(n))))
+                fisher = math.exp(-s) * (1 + s + s * s / 2)
+                q = [used[ord(c)] + 1 for c in symbols]
+                q = [x / sum(q) for x in q]
+                s2, s3 = sum(x**2 for x in q), sum(x**3 for x in q)
+                z = (x2 - ((k * s2 - 1) * n + k * (1 - s2))) / math.sqrt(4 * k * k * (s3 - s2 * s2) * n + 2 * k * k * (s2 - 2 * s3 + s2 * s2))
+                if fisher >= least:
+                    found.append((t, *span, int(math.log2(n)), math.floor(z * 16) / 16, m.span()))
+    accepted = set()
+    for band in {f[3] for f in found}:
+        mine = sorted(f[4] for f in found if f[3] == band)
+        ok = [z for z in sorted(set(mine)) if 0.5 * math.erfc(-(z + 1 / 16) / math.sqrt(2)) <= alpha * sum(x <= z for x in mine) / len(mine)]
+        accepted |= {f for f in found if f[3] == band and ok and f[4] <= ok[-1]}
+    whole = {(f[0], f[5]) for f in accepted if f[1:3] == f[5]}
+    return sorted(f[:3] for f in accepted if f[1:3] == f[5] or (f[0], f[5]) not in whole)
+
+
+def test_random_spans_against_a_plain_version(spark, documents):
+    r = random.Random(11)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(r.choice(base62) for _ in range(n))
+    words = ["the", "reason", "stations", "ethere", "onion", "sentence", "another", "rainbow"]
+    texts = [f"see /srv/{key(r.choice([20, 40, 64]))}/x-{key(48)} and {'-'.join(r.choice(words) for _ in range(9))} {' '.join(SECRETS[:5])}" for _ in range(60)]
+    texts += [" ".join(r.choice(words) + r.choice("-_/ ") + r.choice(words) * 3 for _ in range(30)) for _ in range(60)]
+    got = sorted((x.doc_id, s.start, s.end) for x in secrets.find_secrets(documents(list(enumerate(texts)))).collect() for s in x.spans if s.kind == "random")
+    assert got == plain_random(texts) and len(got) > 40
+
+
+def test_many_spans_in_near_linear_time(spark, documents):
+    text = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() + f"  folder_some_file_of_that_name_{i}" for i in range(40_000))
+    began = time.process_time()
+    base, runs = secrets._of_text(text)
+    assert len(base) == 40_000 and len(runs) >= 40_000 and time.process_time() - began < 20  # some 100 times that if each candidate met each span
+    rows = documents([(1, text)])
+    assert secrets.digest(secrets.find_secrets(rows)).first().n_hex == 40_000
+    assert secrets.redacted(rows).first().text.count("[SECRET]") >= 40_000
+
+
 def test_redaction(spark, documents):
     rows = [(i, s) for i, s in enumerate(SECRETS)] + [(50, None), (51, "clean text")]
     got = {x.doc_id: x.text for x in secrets.redacted(documents(rows, extra=True)).collect()}
@@ -267,6 +339,69 @@ def test_tokens_round_trip(spark, documents, odd, broadcast_rows, monkeypatch):
     assert tokens.pack(documents([])).count() == 0
 
 
+def test_ids_of_long_white_space():
+    enc = tokens.encoding(tokens.VOCABULARY)
+    r = random.Random(9)
+    for n in [1, 2, 998, 999, 1000, 1001, 1002, *(r.randrange(1, 5001) for _ in range(40))]:
+        for c in (" ", "\n", "\u00a0", "\u3000"):
+            for text in (c * n, c * n + "x", "x" + c * n, c * n + " x", "x." + c * n + "\n1", c * (n - 1) + " .", (c * n + "ab ") * 3):
+                assert tokens.ids_of(enc, text) == enc.encode_ordinary(text)
+    mixed = "".join(r.choice(" \t\n\r\u2003\x1c") for _ in range(30_000))
+    assert tokens.ids_of(enc, "a" + mixed + "b") == enc.encode_ordinary("a" + mixed + "b")
+    for text in (" " * 10_000_000, "\n" * 3_000_000 + "x", "y" + " " * 3_000_000 + "y"):
+        assert enc.decode(tokens.ids_of(enc, text)) == text
+
+
+def test_quality_score_against_a_plain_version(spark):
+    """Dictionaries, curve and scores anew from the sampled rows, with zstandard alone."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    text, label = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    marked = [i for i in label if label[i] in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2]
+    order = [r[0] for r in spark.createDataFrame([(i,) for i in marked], "i long").selectExpr("i", "xxhash64(i) h").orderBy("h", "i").collect()]
+    sides = [[text[i] for i in order if label[i] == y and 1 <= len(text[i].encode()) <= 16_384] for y in (1, 0)]
+
+    def shape(data):
+        return bytes(ord("a") if chr(b).islower() and b < 128 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in data)
+
+    def packer(texts, change):
+        share = max(64, 112_640 // len(texts))
+        parts = []
+        for t in texts:
+            data = change(t.encode())
+            begin = max(0, (len(data) - share) // 2)
+            parts.append(data[begin : begin + share])
+        held = zstandard.ZstdCompressionDict(b"\n".join(parts)[:112_640], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=9, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
+
+    channels = [(change, *(packer(side[::2], change) for side in sides)) for change in (bytes, shape)]
+
+    def features(t):
+        data, out, total = (t or "").encode(), [], 0
+        for change, good, bad in channels:
+            chunks = [change(data)[i : i + 1024] for i in range(0, len(data), 1024)]
+            g, b = (sum(len(p.compress(c)) for c in chunks) for p in (good, bad))
+            out.append((b - g) / (b + g))
+            total += g + b
+        return [*out, math.log(total / (4 * len(data)))]
+
+    model = quality.train(docs, labels)
+    for t in list(text.values())[:60]:
+        want = features(t)
+        assert model.features(t) == pytest.approx(want, abs=1e-3)  # a prepared dictionary may pack a few bytes otherwise
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-sum(w * x for w, x in zip(model.weights, [*model.features(t), 1.0])))))
+    # The curve: at its minimum the gradient of the weighted and penalised likelihood is nought.
+    x = np.array([model.features(t) for side in sides for t in side[1::2]])
+    y = np.array([v for v, side in zip((1, 0), sides) for _ in side[1::2]])
+    n = Counter(label[i] for i in marked)
+    rate = (n[1] + 1) / (n[0] + n[1] + 2)
+    weight = np.where(y == 1, rate / (y == 1).sum(), (1 - rate) / (y == 0).sum()) * len(y)
+    w = np.array(model.weights)
+    scale = x.std(axis=0)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    gradient = (x / scale).T @ (weight * (p - y)) + 0.1 * w[:-1] * scale
+    assert np.abs(gradient).max() < 1e-4 * len(y)
+
+
 def test_pipeline_against_its_parts(spark):
     """Each stage on its own input, by a plain version of its decision."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -315,5 +450,5 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_queries_have_their_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert jaccard.sql(3, 90) == queries.SQL["op2_jaccard_join"]
