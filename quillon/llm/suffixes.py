@@ -15,7 +15,7 @@
 5. Marks meet their texts, which are cut.
 
 Each round reads and writes its sequences in order only. They stand in memory, as a task's collections have a bounded size
-(some 155 entries of three bytes a string); what is outside memory are the written tables between the steps.
+(some 150 entries of three bytes a string); what is outside memory are the written tables between the steps.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; documents are ordered by doc_id, texts that share a doc_id by hash,
 and those without one come last, by hash; rows that share doc_id and text are one document and each gives its row; texts of any length are
@@ -36,25 +36,21 @@ from quillon.llm.substrings import window_minima
 
 LENGTH, GRAM = 100, 48
 COLLECTION, MOST_STRINGS = 2048, 4096
-#: Stands for a null doc_id, so that it comes last.
-NO_ID = (1 << 63) - 1
+#: Documents without a doc_id get numbers from here on, so that they come last.
+NO_ID = 1 << 62
 
 
 # --- step 1: strings -------------------------------------------------------------------------------
 
-_SECOND = mix(_BYTE)
-
-
 def strings_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Of texts (their bytes, and their offsets in it): first window, number of windows, key, and two hashes, of every run of windows that share an anchor."""
+    """Of texts (their bytes, and their offsets in it): first window, number of windows, key, and hash, of every run of windows that share an anchor."""
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     power, back = _powers(_BASE, len(data) + 1), _powers(_BASE_INV, len(data) + 1)
-    sums = np.zeros((2, len(data) + 1), dtype=np.uint64)
-    for table, out in zip((_BYTE, _SECOND), sums):
-        np.cumsum(table[data] * power[:-1], out=out[1:])
-    grams = mix((sums[0, gram:] - sums[0, :-gram]) * back[: len(data) - gram + 1])
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * power[:-1], out=sums[1:])
+    grams = mix((sums[gram:] - sums[:-gram]) * back[: len(data) - gram + 1])
     anchor = window_minima(grams, length - gram + 1)
     ends = np.repeat(bounds[1:], np.diff(bounds))[: len(anchor)]
     valid = np.arange(len(anchor)) + length <= ends
@@ -63,19 +59,17 @@ def strings_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram:
     first = np.flatnonzero(valid & ~follows)
     last = np.flatnonzero(valid & ~np.append(follows[1:], False))
     end = last + length
-    one, two = (mix((s[end] - s[first]) * back[first] + (end - first).astype(np.uint64)) for s in sums)
-    return first, last - first + 1, grams[anchor[first]], one, two
+    return first, last - first + 1, grams[anchor[first]], mix((sums[end] - sums[first]) * back[first] + (end - first).astype(np.uint64))
 
 
 def _string_keys(length: int, gram: int):
-    """From (d, h, text): a row per string, with its key and hashes."""
+    """From (d, h, text): a row per string, with its key and hash; together these have 128 bits."""
 
     def rows(batch, a, b, data, bounds, shift):
-        first, n, key, one, two = strings_of(data, bounds, length, gram)
+        first, n, key, content = strings_of(data, bounds, length, gram)
         doc = np.searchsorted(bounds, first, side="right") - 1
         start = first - bounds[doc] + shift
-        two = signed(two) >> 32
-        return pa.RecordBatch.from_arrays([*(batch.column(c)[a:b].take(pa.array(doc)) for c in (0, 1)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(signed(one)), pa.array(two.astype(np.int32))], names=["d", "h", "start", "n", "key", "c1", "c2"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c)[a:b].take(pa.array(doc)) for c in (0, 1)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(signed(content))], names=["d", "h", "start", "n", "key", "content"])
 
     def scan(batches):
         for batch in batches:
@@ -94,7 +88,7 @@ def _string_bytes(length: int):
     """From (d, h, text, held: list of start, n, key, hot): the strings' bytes; of hot keys each window apart, as a 16-byte hash."""
 
     def scan(batches):
-        names, kinds = ["d", "h", "start", "n", "key", "hot", "string"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        names, kinds = ["d", "h", "start", "n", "key", "hot", "string"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         out, size = [[] for _ in names], 0
 
         def flush():
@@ -243,25 +237,25 @@ def _collections(length: int):
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with their place among documents, (d, h)."""
     own = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text", own.alias("doc_id"))
+    return docs.select(F.coalesce(own, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("d"), F.hash("text").alias("h"), "text", own.alias("doc_id"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_STRINGS) -> DataFrame:
     """Of docs(d, h, text): (d, h, start, n) of runs of n windows, from byte `start` on, that start earlier, too."""
-    found = written(docs.select("d", "h", "text").mapInArrow(_string_keys(length, gram), "d long, h long, start int, n int, key long, c1 long, c2 int"), "strings")
+    found = written(docs.select("d", "h", "text").mapInArrow(_string_keys(length, gram), "d long, h int, start int, n int, key long, content long"), "strings")
     place = F.struct("d", "h", "start")
     keys = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key"), "keys")
     again = written(found.join(keys.hint("shuffle_hash"), "key"), "again")  # both sides are tables, so that a hot key can be split
     for table in (found, keys):
         dropped(table)
-    firsts = written(again.groupBy("key", "c1", "c2", "n").agg(F.min(place).alias("p")).select("key", "n", "p.*"), "firsts")
+    firsts = written(again.groupBy("key", "content", "n").agg(F.min(place).alias("p")).select("key", "n", "p.*"), "firsts")
     sizes = written(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key", (F.col("_c") > most).alias("hot")), "sizes")
     held = written(firsts.join(sizes.hint("shuffle_hash"), "key").groupBy("d", "h").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("held")), "held")
-    strings = written(docs.dropDuplicates(["d", "h"]).join(held, ["d", "h"]).select("d", "h", "text", "held").mapInArrow(_string_bytes(length), "d long, h long, start int, n int, key long, hot boolean, string binary"), "bytes")
+    strings = written(docs.dropDuplicates(["d", "h"]).join(held, ["d", "h"]).select("d", "h", "text", "held").mapInArrow(_string_bytes(length), "d long, h int, start int, n int, key long, hot boolean, string binary"), "bytes")
     dropped(held)
     copies = again.join(firsts.select("d", "h", "start"), ["d", "h", "start"], "left_anti").select("d", "h", "start", "n")
     sorted_ = strings.where("not hot").select("key", "d", "h", "start", "string").repartition("key").sortWithinPartitions("key")
-    inside = sorted_.mapInArrow(_collections(length), "d long, h long, start int, n int")
+    inside = sorted_.mapInArrow(_collections(length), "d long, h int, start int, n int")
     windows = strings.where("hot")
     least = windows.groupBy("string").agg(F.min(place).alias("p")).select("p.*")
     apart = windows.select("d", "h", "start", "n").join(least, ["d", "h", "start"], "left_anti")
