@@ -8,6 +8,7 @@ from quillon.plans.catalogue import query
 from quillon.sources import views as V
 from quillon.sources.scratch import folder_of
 from quillon.streaming import ingest as I
+from quillon.streaming import machines as M
 
 
 def _events(spark, d):
@@ -38,3 +39,48 @@ def stream_late_backfill(spark, d):
     I.drained(rows.where("not late"), I.merge_into(f"{folder}/table", ["event_id"]), f"{folder}/first")
     I.drained(rows, I.merge_into(f"{folder}/table", ["event_id"]), f"{folder}/second")
     return spark.read.parquet(f"{folder}/table")
+
+
+#: Files of steps that the machine queries read one after another.
+STEP_FILES = 5
+
+
+def _step_files(spark, d, folder):
+    """Steps in files by time, each up to forty minutes out of its turn, and at last a clock row a day later, which lets every timer fire."""
+    steps = V.machine_steps(spark, d)
+    late = F.col("at") + F.make_dt_interval(mins=F.col("seq") % 3 * 20)
+    span = steps.agg(F.min(late).alias("a"), F.max(late).alias("b"), F.max("at").alias("end")).first()
+    edges = [span.a + (span.b - span.a) * i / STEP_FILES for i in range(STEP_FILES)]
+    number = sum((late >= F.lit(edge)).cast("int") for edge in edges)
+    for i in range(1, STEP_FILES + 1):
+        steps.where(number == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    clock = spark.range(1).select(F.lit("clock").alias("kind"), F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("seq"), (F.lit(span.end) + F.expr("interval 1 day")).alias("at"), F.lit("tick").alias("to_state"))
+    clock.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def _machine_rows(spark, d):
+    folder = folder_of(spark, "machines")
+    _step_files(spark, d, folder)
+    M.started(spark.readStream.schema(M.STEPS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder).awaitTermination()
+    return M.results(spark, folder)
+
+
+_FOLD = f"with recursive {V.STEPS_SQL}, {M.sql('steps')}"
+
+
+@query(_FOLD + " select * from folded", head=False)
+def stream_machines(spark, d):
+    """Runs, jobs, operations and locks folded as their steps arrive, with illegal steps and what timers ended."""
+    return _machine_rows(spark, d)
+
+
+@query(_FOLD + ", ok as (select * from folded where verdict <> 'illegal') select kind, id, to_state state, verdict = 'expired' by_timer from ok qualify row_number() over (partition by kind, id order by \"at\" desc, coalesce(seq, -1) desc) = 1", head=False)
+def stream_machine_states(spark, d):
+    """The state that each key ends in, and whether a timer put it there."""
+    return M.latest(_machine_rows(spark, d))
+
+
+@query(_FOLD + " select kind, from_state, to_state, count(*) n from folded where verdict = 'expired' group by all", head=False)
+def stream_timeouts(spark, d):
+    """What timers ended: pending operations of 30 minutes, jobs without a heartbeat for 5, locks of 60, runs by phase and in all."""
+    return _machine_rows(spark, d).where("verdict = 'expired'").groupBy("kind", "from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))

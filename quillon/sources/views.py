@@ -6,6 +6,8 @@ engine computes the same rows. `SQL` holds the same definitions for the oracle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,30 @@ def sync_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("job_id"), F.concat(F.lit("ws_"), (F.col("user_id") % 20).cast("string")).alias("workspace_id"), status.alias("status"), (i % 5).cast("int").alias("priority"), F.col("ts").cast("timestamp").alias("scheduled_at"), F.col("ts").cast("timestamp").alias("heartbeat_at"), (i % 4).cast("int").alias("retry_count"), F.lit(3).alias("max_retries"), (i % 50).alias("sync_run_id"))
 
 
+def machine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six steps for each key, minutes apart, from the events; every fifth user's ones are out of turn."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    key, pos = F.floor(i / 6), i % 6
+    turn = pos + F.when(F.col("user_id") % 5 == 0, 1).otherwise(0)
+    states = F.from_json(F.lit(json.dumps(TURNS)), "map<string,array<string>>")
+    kind = F.element_at(F.array(*map(F.lit, TURNS)), (key % 4 + 1).cast("int"))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + key * 60 + pos * (2 + key % 13) * 60)
+    return e.select(kind.alias("kind"), key.alias("id"), i.alias("seq"), at.alias("at"), F.element_at(states[kind], (turn % 6 + 1).cast("int")).alias("to_state"))
+
+
+#: What the keys of each kind ask for, one after another.
+TURNS = {
+    "run": ["initiated", "discovering", "matching", "executing", "completed", "cancelled"],
+    "job": ["QUEUED", "CLAIMED", "RUNNING", "RUNNING", "COMPLETED", "FAILED"],
+    "operation": ["pending", "failed", "pending", "completed", "pending", "failed"],
+    "lock": ["held", "released", "held", "held", "released", "held"],
+}
+
+#: The same for the oracle, as a relation `steps`.
+STEPS_SQL = f"""steps as (select k.kind, e.id, e.seq, timestamp '2024-01-01' + interval 1 minute * (e.id + e.pos * (2 + e.id % 13)) "at", k.states[e.turn % 6 + 1] to_state
+  from (select event_id // 6 id, event_id seq, event_id % 6 pos, event_id % 6 + case when user_id % 5 = 0 then 1 else 0 end turn from events) e
+  join (values {", ".join(f"({n}, '{kind}', {states})" for n, (kind, states) in enumerate(TURNS.items()))}) k(n, kind, states) on k.n = e.id % 4)"""
+
 #: The same views for the oracle, as the head of a WITH clause.
 SQL = """proc as (select o_orderkey k, 'ws_' || (o_custkey % 4) workspace_id, case when o_orderkey % 2 = 0 then 'stripe' else 'authorize_net' end processor,
   case when o_orderkey % 97 = 0 then 'ach_return' when o_orderkey % 20 = 1 then 'refund' else 'payment' end event_type, 'tx' || o_orderkey processor_payment_id,
