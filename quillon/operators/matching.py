@@ -64,6 +64,102 @@ def best(pairs: DataFrame) -> DataFrame:
     return top.select(*FACT, F.col("_t._c.rank.id").alias("accounting_id"), (-F.col("_t._c.rank.score")).alias("score"), F.col("_t._c.level").alias("level"), (F.col("_t._n") > 1).alias("has_tie"))
 
 
+# --- candidates by keys and days, without the pairs of a block ------------------------------------
+
+
+#: Letters of a piece of a name by which names that hold it are found.
+PIECE = 6
+
+
+def _pieces(name: Column, n: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n)))
+
+
+def _held(short: DataFrame, long: DataFrame, block: list[str]) -> DataFrame:
+    """Names `s` of short that a name `l` of long holds within a block: equi-joins on a piece of s, its rarest one, and then a check."""
+    n = F.lit(PIECE)
+    posted = long.where(F.length("l") >= PIECE).select(*block, "l", F.explode(_pieces(F.col("l"), n)).alias("g"))
+    counts = posted.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    asked = short.where(F.length("s") >= PIECE).select(*block, "s", F.explode(_pieces(F.col("s"), n)).alias("g")).join(counts, "g")
+    asked = asked.groupBy(*block, "s").agg(F.min(F.struct("c", "g"))["g"].alias("g"))
+    # Names shorter than a piece are pieces themselves; only their blocks post pieces of their lengths.
+    brief = short.where(F.length("s") < PIECE).select(*block, "s", F.col("s").alias("g"))
+    sizes = brief.groupBy(*block).agg(F.collect_set(F.length("s")).alias("sizes"))
+    small = long.join(sizes, block).select(*block, "l", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("l")), lambda n: _pieces(F.col("l"), n))))).alias("g"))
+    both = asked.join(posted, [*block, "g"]).unionByName(brief.join(small, [*block, "g"]))
+    return both.where(F.contains("l", "s") & (F.col("l") != F.col("s"))).select(*block, "s", "l")
+
+
+def identity_pairs(p: DataFrame, a: DataFrame, block: list[str]) -> DataFrame:
+    """The pairs of a block whose identity agrees, with their points: joins on e-mail, name, name words and pieces of names. p has identity_keys as _a, a as _b.
+
+    Each pair comes from the first key that it agrees in, so none comes twice.
+    """
+    same = lambda k: F.coalesce(F.col(f"_a.{k}") == F.col(f"_b.{k}"), F.lit(False))
+    keys, out = ["email", "name", "words"], None
+    for i, key in enumerate(keys):
+        pairs = p.withColumn("_k", F.col(f"_a.{key}")).join(a.withColumn("_k", F.col(f"_b.{key}")), [*block, "_k"]).drop("_k")
+        for earlier in keys[:i]:
+            pairs = pairs.where(~same(earlier))
+        pairs = pairs.withColumn("points", F.lit(25))
+        out = pairs if out is None else out.unionByName(pairs)
+    mine, theirs = (df.select(*block, F.col(f"{c}.name").alias("x")).where("x is not null").distinct() for df, c in ((p, "_a"), (a, "_b")))
+    names = _held(mine.withColumnRenamed("x", "s"), theirs.withColumnRenamed("x", "l"), block).select(*block, F.col("s").alias("_x"), F.col("l").alias("_y"))
+    names = names.union(_held(theirs.withColumnRenamed("x", "s"), mine.withColumnRenamed("x", "l"), block).select(*block, "l", "s"))
+    held = p.withColumn("_x", F.col("_a.name")).join(names, [*block, "_x"]).join(a.withColumn("_y", F.col("_b.name")), [*block, "_y"]).drop("_x", "_y")
+    return out.unionByName(held.where(~same("email") & ~same("words")).withColumn("points", F.lit(12)))
+
+
+def _days_about(p: DataFrame, width: int = 7) -> DataFrame:
+    """Each fact once for each day that gives points, with the day and its distance."""
+    return p.where("proc_date is not null").withColumn("days", F.explode(F.sequence(F.lit(-width), F.lit(width)))).withColumn("acct_date", F.expr("date_add(proc_date, days)"))
+
+
+def best_by_keys(proc: DataFrame, acct: DataFrame) -> DataFrame:
+    """best(scored(candidates(proc, acct), "c")) without the pairs of a block.
+
+    A row can score by its identity (joins on keys), by its day (counts and the first row of a day of a block, fifteen days a
+    fact) or by nothing; of the last kind only the latest row of a block can win, and only where there is no other. Rows that score
+    by identity have more points than their day alone gives, so they count once where they matter.
+    """
+    block = FACT[:2]
+    a = acct.select("workspace_id", F.abs("amount_gross").alias("amount"), "accounting_id", S.blank_to_null(F.col("ref_no")).alias("ref"), "acct_date", S.identity_keys(F.col("customer_email"), F.col("customer_name")).alias("_b"))
+    n = a.groupBy(*block).agg(F.count(F.lit(1)).alias("n_amount"))
+    p = proc.select("workspace_id", F.abs("amount_gross").alias("amount"), "processor_payment_id", "proc_date", S.identity_keys(F.col("customer_email"), F.col("customer_name")).alias("_a"))
+    free = a.where("ref is null").drop("ref")
+    mine = p.join(a.withColumnRenamed("ref", "processor_payment_id"), FACT).withColumn("points", S.points_of(F.col("_a"), F.col("_b")))
+    named = identity_pairs(p, free, block).unionByName(mine).join(n, block).withColumn("days", F.datediff("acct_date", "proc_date"))
+    bonus = F.when((F.col("points") > 0) & (F.col("n_amount") == 1), 10).otherwise(0)
+    named = named.select(*FACT, (F.least(F.lit(100), F.lit(40) + S.date_points(F.col("days")) + F.col("points") + bonus)).alias("score"), "acct_date", "accounting_id", F.lit(1).cast("long").alias("n"), (F.col("points") > 0).alias("identity"))
+    cells = free.groupBy(*block, "acct_date").agg(F.count(F.lit(1)).alias("n"), F.min("accounting_id").alias("accounting_id"))
+    dated = _days_about(p.drop("_a")).join(cells, [*block, "acct_date"]).select(*FACT, (F.lit(40) + S.date_points(F.col("days"))).alias("score"), "acct_date", "accounting_id", "n", F.lit(False).alias("identity"))
+    latest = cells.groupBy(*block).agg(F.min(F.struct(F.coalesce(-F.unix_date("acct_date"), F.lit(1 << 30)), "accounting_id", "acct_date")).alias("_l"), F.sum("n").alias("n"))
+    rest = p.join(latest, block).select(*FACT, F.lit(40).alias("score"), "_l.acct_date", "_l.accounting_id", "n", F.lit(False).alias("identity"))
+    each = named.unionByName(dated).unionByName(rest).withColumn("level", F.when((F.col("score") >= 80) & F.col("identity"), "high").otherwise("review"))
+    by_score = each.groupBy(*FACT, "score").agg(F.sum("n").alias("_n"), F.min(F.struct(_rank().alias("rank"), "level")).alias("_c"))
+    top_ = by_score.groupBy(*FACT).agg(F.min(F.struct("_c", "_n")).alias("_t"))
+    return top_.select(*FACT, F.col("_t._c.rank.id").alias("accounting_id"), (-F.col("_t._c.rank.score")).alias("score"), F.col("_t._c.level").alias("level"), (F.col("_t._n") > 1).alias("has_tie"))
+
+
+def near_counts(proc: DataFrame, acct: DataFrame, width: int = 7) -> DataFrame:
+    """For each processor fact with candidates of its signed amount: how many lie within `width` days; where either date is unknown, a candidate counts."""
+    block = FACT[:2]
+    days = acct.select("workspace_id", F.col("amount_gross").alias("amount"), "acct_date").groupBy(*block, "acct_date").agg(F.count(F.lit(1)).alias("n"))
+    all_ = days.groupBy(*block).agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("acct_date").isNull(), F.col("n"))).alias("n_undated"))
+    p = proc.select("workspace_id", F.col("amount_gross").alias("amount"), "processor_payment_id", "proc_date")
+    inside = _days_about(p, width).join(days, [*block, "acct_date"]).groupBy(*FACT).agg(F.sum("n").alias("n_inside"))
+    n = F.when(F.col("proc_date").isNull(), F.col("n_all")).otherwise(F.coalesce("n_inside", F.lit(0)) + F.coalesce("n_undated", F.lit(0)))
+    return p.join(all_, block).join(inside, FACT, "left").select(*FACT, n.alias("n_near"))
+
+
+def day_pairs(proc: DataFrame, acct: DataFrame) -> DataFrame:
+    """The number of candidate pairs by their days apart: counts of either side by day, multiplied."""
+    block = FACT[:2]
+    count = lambda df, day, out: df.groupBy("workspace_id", F.abs("amount_gross").alias("amount"), day).agg(F.count(F.lit(1)).alias(out))
+    both = count(proc, "proc_date", "n_p").join(count(acct, "acct_date", "n_a"), block)
+    return both.groupBy(F.datediff("acct_date", "proc_date").alias("days")).agg(F.sum(F.col("n_p") * F.col("n_a")).alias("n"))
+
+
 def top(pairs: DataFrame, n: int = 5) -> DataFrame:
     """The n best candidates of each processor fact with their rank from 1."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*FACT).orderBy(_rank()))).where(F.col("rank") <= n)
@@ -72,7 +168,7 @@ def top(pairs: DataFrame, n: int = 5) -> DataFrame:
 def sections(proc: DataFrame, acct: DataFrame) -> DataFrame:
     """Each processor fact with the section that its best candidate alone would put it in."""
     exact = by_reference(proc, acct).select("processor_payment_id", F.lit(True).alias("exact"))
-    rated = best(scored(candidates(proc, acct), "c")).select("processor_payment_id", "score", "level")
+    rated = best_by_keys(proc, acct).select("processor_payment_id", "score", "level")
     both = proc.join(exact, "processor_payment_id", "left").join(rated, "processor_payment_id", "left")
     ach, refund = F.col("payment_method").eqNullSafe("bank_account"), F.col("event_type") == "refund"
     section = F.when(F.col("event_type") == "ach_return", "ach").when(refund, "refund").when(ach, "ach").when(F.col("exact") | (F.col("level") == "high"), "ready").otherwise("needs_review")
@@ -105,17 +201,74 @@ def _decide(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*BLOCK, "txn", "day", "accounting_id", "score"])
 
 
-def run(proc: DataFrame, acct: DataFrame, deposited: DataFrame | None = None, classified: DataFrame | None = None) -> DataFrame:
-    """The run that uses each ready accounting fact once: processor_payment_id, pass (card, ach or refund), accounting_id, score, outcome.
+def running(rows: DataFrame, keys: list[str], day: str, order: list[Column], sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None) -> DataFrame:
+    """rows with running sums and least values within keys, up to and with the row itself, in the order of day and then `order`.
 
-    proc: payments and refunds; acct: payment_observed and refund_observed; deposited(txn_id): accounting ids in a
-    deposit, which leave the pool; classified(processor_payment_id): facts that deposits explain, which are left out.
-    The passes have pools of their own. Facts go newest first, then by id. One with an exact reference takes that
-    row out of the pool of its amount, wherever that is, or gives no row if it is in a deposit. Of the others only
-    a pair within a week, with an identity, can be ready, so only these few pairs and the exact matches of a block
-    go through the sequential choice; counts of what is left and the best of what is free follow as aggregates.
-    A block is a workspace, pass and amount: the order within it is what is computed, so it isn't split.
+    A key may hold most rows, so they are summed by day first; the days before and the rows of a day before are then two
+    windows, of which neither holds a whole key's rows.
     """
+    each = [(n, F.sum, c) for n, c in (sums or {}).items()] + [(n, F.min, c) for n, c in (least or {}).items()]
+    per_day = rows.groupBy(*keys, day).agg(*[f(c).alias(n) for n, f, c in each])
+    before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    per_day = per_day.select(*keys, day, *[f(n).over(before).alias(f"_{n}") for n, f, _ in each])
+    inside = Window.partitionBy(*keys, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumns({n: f(c).over(inside) for n, f, c in each}).join(per_day, [*keys, day])
+    join = lambda n, f: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.col(n) if f is F.sum else F.least(f"_{n}", n)
+    return out.withColumns({n: join(n, f) for n, f, _ in each}).drop(*[f"_{n}" for n, _, _ in each])
+
+
+#: Pairs and exact matches of a block that one task may decide in order; larger blocks are decided in rounds.
+BLOCK_ROWS = 20_000
+
+_READY = "workspace_id string, pass string, amount decimal(18,2), txn string, day int, accounting_id string, score int"
+
+
+def _rounds(near: DataFrame, takes: DataFrame) -> DataFrame:
+    """What _decide gives, for blocks of any size, in rounds over all of their facts at once.
+
+    A fact is settled once what goes before it can't change its choice: it is the first that still may take its best row, and
+    it is sure whether it finds the pool's last row. How many rows have gone by then is known within bounds: exact
+    matches and settled facts before it, and at most one for each open fact before it. The first open fact of a
+    block is always sure, so each round settles one of each block at least, and nearly all as a rule.
+    """
+    live, ready = near, None
+    while True:
+        facts = live.groupBy(*BLOCK, "day", "txn").agg(F.min("pool").alias("pool"))
+        one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+        marks = takes.select(*BLOCK, "day", "txn", F.lit(None).cast("long").alias("pool"), one.alias("sure"), no.alias("open"))
+        if ready is not None:
+            marks = marks.union(ready.select(*BLOCK, "day", "txn", F.lit(None).cast("long"), one, no))
+        marks = marks.union(facts.select(*BLOCK, "day", "txn", "pool", no, one))
+        bounds = running(marks, BLOCK, "day", [F.col("txn")], {"gone": F.col("sure"), "maybe": F.col("open")}).where("open = 1")
+        left = F.col("pool") - F.col("gone")
+        bonus = F.when(left - (F.col("maybe") - 1) >= 2, 0).when(F.col("maybe") == 1, F.when(left == 1, 10).otherwise(0))  # null: not known yet
+        rated = live.drop("pool").join(bounds.select(*BLOCK, "txn", "pool", bonus.alias("bonus")), [*BLOCK, "txn"]).withColumn("score", (40 + F.col("date_points") + F.col("points") + F.col("bonus")).cast("int"))
+        rated = kept(rated.where("score is null or score >= 80"), "round")
+        first = rated.groupBy(*BLOCK, "accounting_id").agg(F.min(F.struct("day", "txn")).alias("first"))
+        choice = rated.where("score is not null").groupBy(*BLOCK, "day", "txn").agg(F.min(F.struct((-F.col("score")).alias("score"), (-F.col("acct_day")).alias("acct_day"), "accounting_id")).alias("c"))
+        choice = choice.select(*BLOCK, "txn", "day", "c.accounting_id", F.least(F.lit(100), -F.col("c.score")).alias("score"))
+        settled = choice.join(first, [*BLOCK, "accounting_id"]).where("first = struct(day, txn)").select(*BLOCK, "txn", "day", "accounting_id", "score")
+        ready = kept(settled if ready is None else ready.union(settled), "settled")
+        open_ = rated.join(ready.select(*BLOCK, "txn"), [*BLOCK, "txn"], "left_anti").join(ready.select(*BLOCK, "accounting_id"), [*BLOCK, "accounting_id"], "left_anti")
+        live = kept(open_.select(*near.columns), "live")
+        if live.isEmpty():
+            return ready
+
+
+def _ready(near: DataFrame, removals: DataFrame, most: int) -> DataFrame:
+    """Each fact that takes a row as ready, with its row and score."""
+    sizes = kept(near.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).join(removals.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("m")), BLOCK, "left").select(*BLOCK, (F.col("n") + F.coalesce("m", F.lit(0)) <= most).alias("small")), "sizes")
+    small, large = sizes.where("small").drop("small"), sizes.where("not small").drop("small")
+    none = lambda kind: F.lit(None).cast(kind)
+    takes = removals.join(small, BLOCK, "left_semi").select(*BLOCK, "txn", "day", none("long"), none("double"), none("int"), none("int"), none("string"))
+    ready = near.join(small, BLOCK, "left_semi").union(takes).groupBy(*BLOCK).applyInPandas(_decide, _READY)
+    if large.isEmpty():
+        return kept(ready, "ready")
+    return kept(ready.union(_rounds(near.join(large, BLOCK, "left_semi"), removals.join(large, BLOCK, "left_semi"))), "ready")
+
+
+def _sides_of_run(proc: DataFrame, acct: DataFrame, deposited: DataFrame | None, classified: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The facts of a run with their pass, and the accounting facts, once for each pass, with `gone` for those in deposits."""
     if classified is not None:
         proc = proc.join(classified.select("processor_payment_id").distinct(), "processor_payment_id", "left_anti")
     refund = F.col("event_type") == "refund"
@@ -124,39 +277,84 @@ def run(proc: DataFrame, acct: DataFrame, deposited: DataFrame | None = None, cl
     side = F.when(F.col("event_type") == "refund_observed", F.array(F.lit("refund"))).otherwise(F.array(F.lit("card"), F.lit("ach")))
     a = acct.withColumn("pass", F.explode(side)).select("workspace_id", "pass", F.abs("amount_gross").alias("amount"), "accounting_id", S.blank_to_null(F.col("ref_no")).alias("ref"), "acct_date", S.identity_keys(F.col("customer_email"), F.col("customer_name")).alias("_b"))
     if deposited is not None:
-        a = a.join(deposited.select(F.col("txn_id").alias("accounting_id"), F.lit(True).alias("gone")).distinct(), "accounting_id", "left")
-    else:
-        a = a.withColumn("gone", F.lit(None).cast("boolean"))
+        return p, a.join(deposited.select(F.col("txn_id").alias("accounting_id"), F.lit(True).alias("gone")).distinct(), "accounting_id", "left")
+    return p, a.withColumn("gone", F.lit(None).cast("boolean"))
+
+
+def _with_hits(p: DataFrame, a: DataFrame) -> DataFrame:
+    """Each fact of a run with the accounting fact that refers to it, if any."""
     index = last_wins(a.where("ref is not null"), ["workspace_id", "pass", "ref"], [F.col("acct_date"), F.col("accounting_id")])
     hits = index.select("workspace_id", "pass", F.col("ref").alias("txn"), "accounting_id", F.col("amount").alias("acct_amount"), "gone")
-    both = kept(p.join(hits, ["workspace_id", "pass", "txn"], "left"), "facts")
+    return p.join(hits, ["workspace_id", "pass", "txn"], "left")
+
+
+def exact_matches(proc: DataFrame, acct: DataFrame, deposited: DataFrame | None = None, classified: DataFrame | None = None) -> DataFrame:
+    """The exact matches of run(), which depend on nothing else of it: processor_payment_id, pass, accounting_id."""
+    return _with_hits(*_sides_of_run(proc, acct, deposited, classified)).where("accounting_id is not null and gone is null").select(F.col("txn").alias("processor_payment_id"), "pass", "accounting_id")
+
+
+def _best_left(left: DataFrame, free: DataFrame, ready: DataFrame, named: DataFrame) -> DataFrame:
+    """For facts with something left in their pool the best row that is free as their turn comes, as _r: by identity, by the day, or the latest of all."""
+    went = ready.select(*BLOCK, "accounting_id", F.col("day").alias("w_day"), F.col("txn").alias("w_txn"))
+    rows = kept(free.drop("_b").join(went, [*BLOCK, "accounting_id"], "left"), "went")
+    turn = left.where("left > 0").select(*BLOCK, "txn", "day", "proc_date", "left")
+    still = F.col("w_day").isNull() | (F.struct("w_day", "w_txn") > F.struct("day", "txn"))
+    points = F.lit(40) + S.date_points(F.col("days")) + F.col("points") + F.when(F.col("left") == 1, 10).otherwise(0)
+    by_name = named.join(turn.select(*BLOCK, "txn", "left"), [*BLOCK, "txn"]).join(went, [*BLOCK, "accounting_id"], "left").where(still)
+    by_name = by_name.select(*BLOCK, "txn", F.least(F.lit(100), points).alias("score"), "acct_date", "accounting_id")
+
+    # The first row of a day: of those never taken, or of those taken later, a running least from the last turn back.
+    cells = rows.groupBy(*BLOCK, "acct_date").agg(F.min(F.when(F.col("w_day").isNull(), F.col("accounting_id"))).alias("never"), (F.count("w_day") > 0).alias("some"))
+    asked = _days_about(turn).join(cells, [*BLOCK, "acct_date"])
+    kept_days = asked.where("never is not null and not some").select(*BLOCK, "txn", "days", "acct_date", F.col("never").alias("accounting_id"))
+    took = rows.where("w_day is not null").select(*BLOCK, "acct_date", F.col("w_day").alias("day"), F.col("w_txn").alias("txn"), F.lit(None).cast("int").alias("days"), F.lit(None).cast("string").alias("never"), "accounting_id")
+    both = asked.where("some").select(*BLOCK, "acct_date", "day", "txn", "days", "never", F.lit(None).cast("string").alias("accounting_id")).union(took)
+    later = Window.partitionBy(*BLOCK, "acct_date").orderBy(F.desc("day"), F.desc("txn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    changed = both.withColumn("later", F.min("accounting_id").over(later)).where("days is not null").select(*BLOCK, "txn", "days", "acct_date", F.least("never", "later").alias("accounting_id"))
+    by_day = kept_days.unionByName(changed.where("accounting_id is not null")).select(*BLOCK, "txn", (F.lit(40) + S.date_points(F.col("days"))).alias("score"), "acct_date", "accounting_id")
+
+    # The latest row of a block, alike: the order of turns is cut by days.
+    place = F.struct(F.coalesce(-F.unix_date("acct_date"), F.lit(1 << 30)).alias("d"), "accounting_id", "acct_date")
+    never = rows.where("w_day is null").groupBy(*BLOCK).agg(F.min(place).alias("never"))
+    turns = rows.where("w_day is not null").select(*BLOCK, (-F.col("w_day")).alias("back"), F.col("w_txn").alias("txn"), place.alias("place"), F.lit(False).alias("asks"))
+    turns = turns.union(turn.select(*BLOCK, (-F.col("day")).alias("back"), "txn", F.lit(None).cast(turns.schema["place"].dataType), F.lit(True)))
+    latest = running(turns, BLOCK, "back", [F.desc("txn")], least={"later": F.col("place")}).where("asks").join(never, BLOCK, "left").select(*BLOCK, "txn", F.least("later", "never").alias("l"))
+    rest = latest.where("l is not null").select(*BLOCK, "txn", F.lit(40).alias("score"), "l.acct_date", "l.accounting_id")
+    return by_name.unionByName(by_day).unionByName(rest).groupBy(*BLOCK, "txn").agg(F.min(_rank()).alias("_r"))
+
+
+def run(proc: DataFrame, acct: DataFrame, deposited: DataFrame | None = None, classified: DataFrame | None = None, most: int = BLOCK_ROWS) -> DataFrame:
+    """The run that uses each ready accounting fact once: processor_payment_id, pass (card, ach or refund), accounting_id, score, outcome.
+
+    proc: payments and refunds; acct: payment_observed and refund_observed; deposited(txn_id): accounting ids in a
+    deposit, which leave the pool; classified(processor_payment_id): facts that deposits explain, which are left out.
+    The passes have pools of their own. Facts go newest first, then by id. One with an exact reference takes that
+    row out of the pool of its amount, wherever that is, or gives no row if it is in a deposit. Of the others only
+    a pair within a week, with an identity, can be ready; these few pairs come from joins on identity keys and are decided in order,
+    a small block in a task and a block of over `most` of them in rounds. Counts of what is left and the best of what is free as a fact's
+    turn comes follow as aggregates by day and running values; the pairs of a block (a workspace, pass and amount) are never made.
+    """
+    p, a = _sides_of_run(proc, acct, deposited, classified)
+    both = kept(_with_hits(p, a), "facts")
     exact, open_ = both.where("accounting_id is not null and gone is null"), both.where("accounting_id is null").drop("accounting_id", "acct_amount", "gone")
 
     pool = kept(a.where("gone is null").drop("gone"), "pool")
     size = pool.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("pool"))
     free = pool.where("ref is null").select(*BLOCK, "accounting_id", "acct_date", "_b")  # a row with another reference never wins
-    pairs = open_.join(size, BLOCK).join(free, BLOCK)
-    days = F.datediff("acct_date", "proc_date")
-    near = pairs.withColumn("date_points", S.date_points(days)).where("date_points > 0").withColumn("points", S.points_of(F.col("_a"), F.col("_b"))).where("date_points + points >= 30")
+    named = identity_pairs(open_.where("amount is not null").select(*BLOCK, "txn", "day", "proc_date", "_a"), free, BLOCK)
+    named = kept(named.select(*BLOCK, "txn", "day", "points", F.datediff("acct_date", "proc_date").alias("days"), "acct_date", "accounting_id"), "named")
+    near = named.withColumn("date_points", S.date_points(F.col("days"))).where("date_points > 0 and date_points + points >= 30").join(size, BLOCK)
     near = kept(near.select(*BLOCK, "txn", "day", "pool", F.col("points").cast("double").alias("points"), "date_points", F.unix_date("acct_date").alias("acct_day"), "accounting_id"), "near")
     removals = exact.select("workspace_id", "pass", F.col("acct_amount").alias("amount"), "txn", "day")
-    none = lambda kind: F.lit(None).cast(kind)
-    takes = removals.join(near.select(*BLOCK).distinct(), BLOCK, "left_semi").select(*BLOCK, "txn", "day", none("long"), none("double"), none("int"), none("int"), none("string"))
-    ready = kept(near.union(takes).groupBy(*BLOCK).applyInPandas(_decide, "workspace_id string, pass string, amount decimal(18,2), txn string, day int, accounting_id string, score int"), "ready")
+    ready = _ready(near, removals, most)
 
     # What each fact finds: the pool less what went before it, and the best of the rows that are still there.
-    gone = removals.select(*BLOCK, "txn", "day", F.lit(1).alias("one")).union(ready.select(*BLOCK, "txn", "day", F.lit(1)))
-    before = F.sum("one").over(Window.partitionBy(*BLOCK).orderBy("day", "txn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    waiting = open_.join(ready.select(*BLOCK, "txn"), [*BLOCK, "txn"], "left_anti")
-    waiting = waiting.where("amount is not null")
-    counted = waiting.select(*BLOCK, "txn", "day", F.lit(0).alias("one")).union(gone).withColumn("before", before).where("one = 0").select(*BLOCK, "txn", "before")
-    left = waiting.join(counted, [*BLOCK, "txn"]).join(size, BLOCK, "left").withColumn("left", F.coalesce("pool", F.lit(0)) - F.col("before"))
-    left = kept(left, "left")
-    went = ready.select(*BLOCK, "accounting_id", F.struct("day", "txn").alias("went"))
-    still = left.where("left > 0").join(free.join(went, [*BLOCK, "accounting_id"], "left"), BLOCK).where("went is null or went > struct(day, txn)")
-    still = still.withColumn("points", S.points_of(F.col("_a"), F.col("_b"))).withColumn("score", F.least(F.lit(100), F.lit(40) + S.date_points(days) + F.col("points") + F.when((F.col("points") > 0) & (F.col("left") == 1), 10).otherwise(0)))
-    top_ = still.groupBy(*BLOCK, "txn").agg(F.min(_rank()).alias("_r"))
+    gone = removals.select(*BLOCK, "txn", "day", F.lit(None).cast("date").alias("proc_date"), F.lit(1).alias("one")).union(ready.select(*BLOCK, "txn", "day", F.lit(None).cast("date"), F.lit(1)))
+    waiting = open_.join(ready.select(*BLOCK, "txn"), [*BLOCK, "txn"], "left_anti").where("amount is not null")
+    counted = running(waiting.select(*BLOCK, "txn", "day", "proc_date", F.lit(0).alias("one")).union(gone), BLOCK, "day", [F.col("txn")], {"before": F.col("one")}).where("one = 0")
+    left = kept(counted.join(size, BLOCK, "left").select(*BLOCK, "txn", "day", "proc_date", (F.coalesce("pool", F.lit(0)) - F.col("before")).alias("left")), "left")
+    top_ = _best_left(left, free, ready, named)
     found = left.select(*BLOCK, "txn").join(top_, [*BLOCK, "txn"], "left").select("txn", "pass", F.col("_r.id").alias("accounting_id"), F.coalesce(-F.col("_r.score"), F.lit(0)).alias("score"), F.when(F.col("_r").isNotNull(), "needs_review").otherwise("no_match").alias("outcome"))
-    unknown = open_.where("amount is null").select("txn", "pass", none("string"), F.lit(0), F.lit("no_amount"))
+    unknown = open_.where("amount is null").select("txn", "pass", F.lit(None).cast("string"), F.lit(0), F.lit("no_amount"))
     out = exact.select("txn", "pass", "accounting_id", F.lit(100).alias("score"), F.lit("deterministic").alias("outcome")).union(ready.select("txn", "pass", "accounting_id", "score", F.lit("ready"))).union(found).union(unknown)
     return out.select(F.col("txn").alias("processor_payment_id"), "pass", "accounting_id", F.col("score").cast("int").alias("score"), "outcome")

@@ -49,8 +49,7 @@ def amount_candidates(spark, d):
 
 @query(_CAND + " select days, dp points, ds symmetric_points, count(*) n from asym group by all")
 def date_scores(spark, d):
-    c = M.candidates(*_sides(spark, d)).select("days", S.date_points(F.col("days")).alias("points"), S.date_points_symmetric(F.col("days")).alias("symmetric_points"))
-    return c.groupBy("days", "points", "symmetric_points").agg(F.count(F.lit(1)).alias("n"))
+    return M.day_pairs(*_sides(spark, d)).select("days", S.date_points(F.col("days")).alias("points"), S.date_points_symmetric(F.col("days")).alias("symmetric_points"), "n")
 
 
 @query(_CAND + " select processor_payment_id, accounting_id, ip points from ident")
@@ -78,12 +77,12 @@ def score_engine_c(spark, d):
 
 @query(_CAND + " select processor_payment_id, accounting_id, score, has_tie from bc where rank = 1")
 def best_candidate(spark, d):
-    return M.best(M.scored(M.candidates(*_sides(spark, d)), "c")).select("processor_payment_id", "accounting_id", "score", "has_tie")
+    return M.best_by_keys(*_sides(spark, d)).select("processor_payment_id", "accounting_id", "score", "has_tie")
 
 
 @query(_CAND + " select score, has_tie, count(*) n from bc where rank = 1 group by all")
 def candidate_ties(spark, d):
-    return M.best(M.scored(M.candidates(*_sides(spark, d)), "c")).groupBy("score", "has_tie").agg(F.count(F.lit(1)).alias("n"))
+    return M.best_by_keys(*_sides(spark, d)).groupBy("score", "has_tie").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_CAND + " select processor_payment_id, count(*) filter (k % 3 = 0 or abs(days) <= 7) = 1 unique_near from c group by 1")
@@ -91,7 +90,7 @@ def unique_in_window(spark, d):
     """Whether a fact has one candidate within a week; where its date is unknown, as for every third one here, all count."""
     p, a = _sides(spark, d)
     undated = p.withColumn("proc_date", F.when(F.col("k") % 3 != 0, F.col("proc_date")))
-    return M.candidates(undated, a, signed=True).groupBy(*M.FACT).agg((F.count_if(S.inside(F.col("days"), 7)) == 1).alias("unique_near")).select("processor_payment_id", "unique_near")
+    return M.near_counts(undated, a).select("processor_payment_id", (F.col("n_near") == 1).alias("unique_near"))
 
 
 @query(_CAND + " select processor_payment_id, rank, accounting_id, score from bc where rank <= 5")
@@ -108,11 +107,11 @@ def match_sections_nongreedy(spark, d):
     return M.sections(*_sides(spark, d)).groupBy("workspace_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total_score"))
 
 
-def _run(spark, d):
+def _run(spark, d, operator=M.run):
     """The run in its order: deposits first, then card, bank and refund passes with pools of their own."""
     p, a, dep = V.processor_facts(spark, d), V.accounting_facts(spark, d), V.deposits(spark, d)
     explained = D.by_reference(dep, a, p).select("processor_payment_id").union(D.by_amount(dep, a, p).select("processor_payment_id"))
-    return M.run(p.where("event_type in ('payment', 'refund')"), a, D.deposited(dep), explained)
+    return operator(p.where("event_type in ('payment', 'refund')"), a, D.deposited(dep), explained)
 
 
 @query()
@@ -136,7 +135,7 @@ select p.processor_payment_id, ix.accounting_id, case when p.event_type = 'refun
 where p.processor_payment_id not in (select processor_payment_id from explained) and ix.accounting_id not in (select txn_id from gone)""")
 def match_run_exact(spark, d):
     """The run's exact matches, the part that SQL can say: no deposit explains the fact, and none holds its accounting fact."""
-    return _run(spark, d).where("outcome = 'deterministic'").select("processor_payment_id", "accounting_id", "pass")
+    return _run(spark, d, M.exact_matches).select("processor_payment_id", "accounting_id", "pass")
 
 
 @query(_LEFT + """ select case when event_type = 'ach_return' then 'ach' when event_type = 'refund' then 'refund' when payment_method = 'bank_account' then 'ach' else 'card' end pass_name, count(*) n, count(*) filter (event_type = 'ach_return') n_returns from proc where processor_payment_id not in (select processor_payment_id from explained) group by 1""")
