@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
+from quillon.operators import allocation as B
 from quillon.operators import deposits as D
 from quillon.operators import matching as M
 from quillon.plans.catalogue import query
@@ -75,6 +76,22 @@ def score_engine_c(spark, d):
     return M.scored(M.candidates(*_sides(spark, d)), "c").select("processor_payment_id", "accounting_id", "score", "level")
 
 
+@query()
+def engine_b_run(spark, d):
+    """Every payment by engine B: exact references, then the best row used up unless it is a tie."""
+    return B.run(*_sides(spark, d))
+
+
+@query(_EXACT.replace("from acct where", "from acct where event_type = 'payment_observed' and") + """ select p.workspace_id, count(*) payments, count(ix.accounting_id) exact, coalesce(sum(case when ix.amount_gross <> p.amount_gross then 1 else 0 end), 0)::bigint other_amount
+from proc p left join ix on p.workspace_id = ix.workspace_id and p.processor_payment_id = ix.ref_no where p.event_type = 'payment' group by 1""")
+def engine_b_exact(spark, d):
+    """The run's exact part by workspace: payments, those that a row refers to, and how many of these have another amount."""
+    p, a = _sides(spark, d)
+    hits = B.exact(p, a).select("workspace_id", "processor_payment_id", "accounting_id")
+    both = p.join(hits, ["workspace_id", "processor_payment_id"], "left").join(a.select("accounting_id", F.col("amount_gross").alias("theirs")), "accounting_id", "left")
+    return both.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("payments"), F.count("accounting_id").alias("exact"), F.count_if(F.col("theirs") != F.col("amount_gross")).alias("other_amount"))
+
+
 @query(_CAND + " select processor_payment_id, accounting_id, score, has_tie from bc where rank = 1")
 def best_candidate(spark, d):
     return M.best_by_keys(*_sides(spark, d)).select("processor_payment_id", "accounting_id", "score", "has_tie")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import labels
 from quillon.functions import scores as S
+from quillon.operators import allocation as B
 from quillon.operators import matching as M
 from quillon.operators import writes
 
@@ -121,6 +122,54 @@ def test_a_reference_to_another_amount_empties_that_pool(spark):
     assert got == {"t1": ("q1", 100, "deterministic"), "t2": ("q2", 87, "ready")}  # q2 is alone once q1 is gone
 
 
+def loop_b(proc, acct):
+    """Engine B as a plain loop over all free rows of equal signed amount."""
+    out, gone = {}, set()
+    index = {}
+    for a in sorted(acct, key=lambda a: (a[6], a[2]), reverse=True):
+        if a[4]:
+            index[a[1], a[4]] = a[2]
+    for p in proc:
+        if (p[0], p[1]) in index:
+            out[p[1]] = (index[p[0], p[1]], 100, "high", False)
+            gone.add(index[p[0], p[1]])
+    for p in sorted(proc, key=lambda p: (-p[5].toordinal() if p[5] else 1 << 30, p[1])):
+        if p[1] in out:
+            continue
+        free = [a for a in acct if a[2] not in gone and a[1] == p[0] and a[5] == p[4]]
+        inside = [a for a in free if not p[5] or not a[6] or abs((a[6] - p[5]).days) <= 7]
+        rated = []
+        for a in free:
+            d = (a[6] - p[5]).days if a[6] and p[5] else 99
+            same = bool(p[6] and a[7] and p[6].strip() and p[6].strip().lower() == a[7].strip().lower())
+            rated.append((-(40 + (25 if 0 <= d <= 3 else 12 if 4 <= d <= 7 else 10 if d == -1 else 5 if -7 <= d <= -2 else 0) + (10 + 10 * (len(inside) == 1) if same else 0)), a[2], same))
+        rated.sort()
+        if not rated:
+            out[p[1]] = (None, 0, "none", False)
+            continue
+        score, tie = -rated[0][0], len(rated) > 1 and rated[1][0] == rated[0][0]
+        identity = any(r[2] for r in rated if r[0] == rated[0][0])
+        if not tie:
+            gone.add(rated[0][1])
+        out[p[1]] = (rated[0][1], score, "high" if score >= 80 and identity else "medium" if score >= 50 else "low", tie)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_engine_b_is_the_sequential_loop(spark, seed):
+    r = random.Random(seed)
+    mails = [None, "a@x.org", "A@X.org ", "b@x.org", "c@x.org", "", " "]
+    amounts = [Decimal(x) for x in r.sample(range(-50, 400), 25)]
+    day = lambda lo, hi: r.choice([None, *[DAY + datetime.timedelta(r.randint(lo, hi))] * 9])
+    proc = [(f"w{r.randint(0, 1)}", f"t{i:03}", "payment", "card", r.choice(amounts), day(0, 20), r.choice(mails), None) for i in range(250)]
+    acct = [(i, f"w{r.randint(0, 1)}", f"q{i:03}", "payment_observed", r.choice(["", "", "", None, f"t{r.randrange(300):03}"]), r.choice(amounts), DAY + datetime.timedelta(r.randint(-9, 30)), r.choice(mails), None) for i in range(260)]
+    got = {g.processor_payment_id: (g.accounting_id, g.score, g.level, g.has_tie) for g in B.run(spark.createDataFrame(proc, PROC), spark.createDataFrame(acct, ACCT)).collect()}
+    want = loop_b(proc, acct)
+    assert got == want and {w[2] for w in want.values()} == {"high", "medium", "low", "none"} and any(w[3] for w in want.values())
+    taken = [g[0] for g in got.values() if g[0] and not g[3]]
+    assert len(taken) == len(set(taken))
+
+
 def test_date_points(spark):
     rows = {d: p for d, p in spark.createDataFrame([(d,) for d in (-8, -7, -2, -1, 0, 3, 4, 7, 8)], "d int").select("d", S.date_points(F.col("d"))).collect()}
     assert rows == {-8: 0, -7: 5, -2: 5, -1: 10, 0: 25, 3: 25, 4: 12, 7: 12, 8: 0}
