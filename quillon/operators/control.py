@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import labels
+from quillon.operators.ranges import lagged
 
 # Allowed changes of a job's state.
 ALLOWED = (("QUEUED", "CLAIMED"), ("CLAIMED", "RUNNING"), ("RUNNING", "COMPLETED"), ("RUNNING", "FAILED"), ("FAILED", "RETRYING"), ("RETRYING", "QUEUED"), ("QUEUED", "CANCELLED"))
@@ -69,6 +70,5 @@ def after_run(status: Column, error: Column) -> Column:
 
 def transitions(jobs: DataFrame) -> DataFrame:
     """Changes from a workspace's job to its next that the table of states doesn't allow."""
-    w = Window.partitionBy("workspace_id").orderBy("scheduled_at", "job_id")
     pair = F.concat_ws(">", "previous", "status")
-    return jobs.withColumn("previous", F.lag("status").over(w)).where(F.col("previous").isNotNull() & ~pair.isin(*[f"{a}>{b}" for a, b in ALLOWED])).select("job_id", "previous", "status")
+    return lagged(jobs, ["workspace_id"], ["scheduled_at", "job_id"], "status", "previous").where(F.col("previous").isNotNull() & ~pair.isin(*[f"{a}>{b}" for a, b in ALLOWED])).select("job_id", "previous", "status")

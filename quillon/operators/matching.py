@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
-from quillon.sources.scratch import kept
+from quillon.sources.scratch import dropped, kept
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -248,9 +248,10 @@ def _rounds(near: DataFrame, takes: DataFrame) -> DataFrame:
         choice = rated.where("score is not null").groupBy(*BLOCK, "day", "txn").agg(F.min(F.struct((-F.col("score")).alias("score"), (-F.col("acct_day")).alias("acct_day"), "accounting_id")).alias("c"))
         choice = choice.select(*BLOCK, "txn", "day", "c.accounting_id", F.least(F.lit(100), -F.col("c.score")).alias("score"))
         settled = choice.join(first, [*BLOCK, "accounting_id"]).where("first = struct(day, txn)").select(*BLOCK, "txn", "day", "accounting_id", "score")
-        ready = kept(settled if ready is None else ready.union(settled), "settled")
+        earlier, ready = ready, kept(settled if ready is None else ready.union(settled), "settled")
         open_ = rated.join(ready.select(*BLOCK, "txn"), [*BLOCK, "txn"], "left_anti").join(ready.select(*BLOCK, "accounting_id"), [*BLOCK, "accounting_id"], "left_anti")
-        live = kept(open_.select(*near.columns), "live")
+        done, live = live, kept(open_.select(*near.columns), "live")
+        dropped(rated, earlier, done)
         if live.isEmpty():
             return ready
 

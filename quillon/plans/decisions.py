@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions import labels
 from quillon.operators import control as C
+from quillon.operators import observed as O
 from quillon.operators import posting as P
 from quillon.operators import replay as R
 from quillon.plans.catalogue import query
 from quillon.sources import views as V
+from quillon.sources.scratch import folder_of
 
 NOW = "2024-01-20 12:00:00"
 
@@ -112,6 +114,18 @@ def backfill_counters(spark, d):
     return j.groupBy("sync_run_id").agg(F.count_if(F.col("first") & F.col("k").isNotNull()).alias("inserted"), F.count_if(~F.col("first")).alias("skipped"), F.count_if(F.col("first") & F.col("k").isNull()).alias("errors"))
 
 
+@query("""select count(*) filter (first and k is not null) inserted, count(*) filter (not first) skipped, count(*) filter (first and k is null) errors, count(distinct sync_run_id) runs from (select sync_run_id, try_cast(json_extract_string(raw_json, '$.k') as int) k, row_number() over (partition by object_type, processor_object_id order by id) = 1 first from raw)""")
+def backfill_observed(spark, d):
+    """The totals of a backfill, observed as its rows are written: no second pass counts them."""
+    r = V.raw_objects(spark, d)
+    first = r.groupBy("object_type", "processor_object_id").agg(F.min("id").alias("first_id"))
+    j = r.join(first, ["object_type", "processor_object_id"]).select("id", "sync_run_id", (F.col("id") == F.col("first_id")).alias("first"), F.get_json_object("raw_json", "$.k").try_cast("int").alias("k"))
+    path = folder_of(spark, "backfill") + "/rows"
+    seen = O.write_counted(j, path, {"inserted": F.count_if(F.col("first") & F.col("k").isNotNull()), "skipped": F.count_if(~F.col("first")), "errors": F.count_if(F.col("first") & F.col("k").isNull())})
+    runs = spark.read.parquet(path).agg(F.count_distinct("sync_run_id").alias("runs"))
+    return runs.select(*[F.lit(seen[n]).cast("long").alias(n) for n in ("inserted", "skipped", "errors")], "runs")
+
+
 @query("select workspace_id, count(*) filter (event_type = 'payment_observed') payments, count(*) filter (event_type = 'refund_observed') refunds, count(*) filter (event_type = 'payment_observed' and k % 5 = 0) payments_created, count(*) filter (event_type = 'refund_observed' and k % 5 = 0) refunds_created from acct group by 1")
 def accounting_sync_counters(spark, d):
     """Objects fetched and created by an accounting sync, by workspace and type."""

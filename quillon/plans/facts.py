@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ids, labels
 from quillon.functions import scores as S
 from quillon.operators import writes
+from quillon.operators.ranges import ids_hashes
 from quillon.plans.catalogue import query
 from quillon.sources import views as V
 
@@ -59,7 +60,7 @@ def idempotency_key_v2(spark, d):
 
 @query("""select workspace_id, count(*) n, sha256('["' || string_agg(processor_payment_id, '", "' order by processor_payment_id) || '"]') input_hash from proc group by workspace_id""")
 def match_run_input_hash(spark, d):
-    return V.processor_facts(spark, d).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n"), ids.ids_hash(F.collect_list("processor_payment_id")).alias("input_hash"))
+    return ids_hashes(V.processor_facts(spark, d), "workspace_id", F.col("processor_payment_id")).select(F.col("key").alias("workspace_id"), "n", F.col("hash").alias("input_hash"))
 
 
 @query("""select event_id id, cast(floor(value * 100) as bigint) cents, cast(floor(value * 100) / 100.0 as decimal(18,2)) amount, coalesce(nullif(json_extract_string(props, '$.currency'), ''), 'USD') currency,

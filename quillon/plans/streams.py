@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import observed as O
 from quillon.plans.catalogue import query
 from quillon.sources import views as V
 from quillon.sources.scratch import folder_of
+from quillon.streaming import healing as H
 from quillon.streaming import ingest as I
 from quillon.streaming import machines as M
 
@@ -24,10 +26,38 @@ def stream_ingest_dedup(spark, d):
     return spark.read.parquet(f"{folder}/table").select("event_id", "user_id", "event_type")
 
 
+_HEAL = """named as (select distinct txn_id from dep_lines where typed and txn_type = 'RefundReceipt'),
+r as (select accounting_id, amount_gross amount, acct_date from acct where event_type = 'refund_observed' and (acct_date >= date '1996-01-01' or accounting_id in (select txn_id from named)))"""
+
+
+@query(f", {_HEAL} select * from r")
+def stream_self_healing(spark, d):
+    """Refunds of a sync window, and of those before it the ones that deposits name: each batch of deposits reads them from the raw store. The deposits come twice over."""
+    folder = folder_of(spark, "healing")
+    raw = lambda: V.accounting_facts(spark, d).where("event_type = 'refund_observed'").select("accounting_id", F.col("amount_gross").alias("amount"), "acct_date")
+    raw().where("acct_date >= date '1996-01-01'").write.parquet(f"{folder}/refunds")
+    deposits = V.deposits(spark, d).select("deposit_id", "lines")
+    for _ in range(2):
+        deposits.repartition(3).write.mode("append").parquet(f"{folder}/deposits")
+    stream = spark.readStream.schema(deposits.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/deposits")
+    I.drained(stream, H.heal_from(raw, f"{folder}/refunds"), folder)
+    return spark.read.parquet(f"{folder}/refunds")
+
+
+@query("select count(*) seen, count(*) filter (event_type = 'error') errors, cast(sum(event_id) as bigint) id_sum from events", head=False)
+def stream_observed(spark, d):
+    """Counters of a stream's batches, observed as they are written."""
+    folder = folder_of(spark, "observed")
+    e = _events(spark, d).select("event_id", "event_type").observe("ingest", F.count(F.lit(1)).alias("seen"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("event_id").alias("id_sum"))
+    query = e.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.createDataFrame([tuple(O.totals(query, "ingest").get(n, 0) for n in ("seen", "errors", "id_sum"))], "seen long, errors long, id_sum long")
+
+
 @query("select event_type, max(ts) as cursor, count(*) n from events group by 1", head=False)
 def stream_cursor(spark, d):
     folder = folder_of(spark)
-    I.drained(_events(spark, d).select("event_id", "event_type", "ts"), I.merge_into(f"{folder}/table", ["event_id"]), folder)
+    I.drained(_events(spark, d).select("event_id", "event_type", "ts"), I.merge_into(f"{folder}/table", ["event_id"], "ts"), folder)
     return I.cursor(spark.read.parquet(f"{folder}/table"), ["event_type"], "ts")
 
 
@@ -35,10 +65,10 @@ def stream_cursor(spark, d):
 def stream_late_backfill(spark, d):
     """Rows that the first pass didn't see are found by an anti-join and merged by a second."""
     folder = folder_of(spark)
-    rows = _events(spark, d).select("event_id", (F.col("event_type") == "error").alias("late"))
-    I.drained(rows.where("not late"), I.merge_into(f"{folder}/table", ["event_id"]), f"{folder}/first")
-    I.drained(rows, I.merge_into(f"{folder}/table", ["event_id"]), f"{folder}/second")
-    return spark.read.parquet(f"{folder}/table")
+    rows = _events(spark, d).select("event_id", (F.col("event_type") == "error").alias("late"), "ts")
+    I.drained(rows.where("not late"), I.merge_into(f"{folder}/table", ["event_id"], "ts"), f"{folder}/first")
+    I.drained(rows, I.merge_into(f"{folder}/table", ["event_id"], "ts"), f"{folder}/second")
+    return spark.read.parquet(f"{folder}/table").select("event_id", "late")
 
 
 #: Files of steps that the machine queries read one after another.

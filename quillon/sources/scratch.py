@@ -22,4 +22,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: what several branches read is computed once, and lineage ends here."""
     path = folder_of(df.sparkSession, name) + "/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillon_folder = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of kept() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_quillon_folder", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
