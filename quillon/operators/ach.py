@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
@@ -47,8 +47,16 @@ def band(batches: DataFrame, width: int = 15) -> DataFrame:
     return ach.join(pairs.groupBy("workspace_id", "gross_amount").agg(F.sum("_c").alias("n")), ["workspace_id", "gross_amount"])
 
 
-def ranked(deposits: DataFrame, batches: DataFrame, proc: DataFrame, outcomes: DataFrame) -> DataFrame:
-    parts = window(deposits, batches).join(members(batches, proc, outcomes), "k").join(band(batches).select("k", S.rarity_points(F.col("n")).alias("uniqueness")), "k")
+def ranked(deposits: DataFrame, batches: DataFrame, proc: DataFrame, outcomes: DataFrame, explains: Column | None = None) -> DataFrame:
+    """The batches that may explain a deposit, ranked. explains: which batches take part (open ones that are marked as bank transfers); the band counts all the same."""
+    some = batches if explains is None else batches.where(explains)
+    parts = window(deposits, some).join(members(some, proc, outcomes), "k").join(band(batches).select("k", S.rarity_points(F.col("n")).alias("uniqueness")), "k")
     score = F.round(0.7 * F.col("amount_score") + 0.15 * F.col("date_score") + 0.1 * F.col("identity") + 0.05 * F.col("uniqueness"), 6)
     rank = F.row_number().over(Window.partitionBy("deposit_id").orderBy(F.col("eligible").desc(), F.col("score").desc(), "k"))
     return parts.withColumn("score", score).withColumn("rank", rank).select("deposit_id", "k", "eligible", "score", "rank")
+
+
+def review_items(ranked_: DataFrame) -> DataFrame:
+    """An item to review for each deposit that has candidates: their number, the best, and all of them in order. They are the batches of a workspace and fifteen days."""
+    items = ranked_.groupBy("deposit_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("eligible").alias("n_eligible"), F.array_sort(F.collect_list(F.struct("rank", "k"))).alias("_c"))
+    return items.select("deposit_id", F.lit("pending").alias("status"), "n_candidates", "n_eligible", F.col("_c")[0]["k"].alias("best"), F.array_join(F.transform("_c", lambda c: c["k"].cast("string")), ",").alias("candidates"))

@@ -141,6 +141,32 @@ def best_by_keys(proc: DataFrame, acct: DataFrame) -> DataFrame:
     return top_.select(*FACT, F.col("_t._c.rank.id").alias("accounting_id"), (-F.col("_t._c.rank.score")).alias("score"), F.col("_t._c.level").alias("level"), (F.col("_t._n") > 1).alias("has_tie"))
 
 
+def decide_a(proc: DataFrame, acct: DataFrame, enabled: Column) -> DataFrame:
+    """Engine A's decision on each processor fact: its best row of equal signed amount is a match from 85 points on, unless it is a tie or `enabled` (over the fact) is false; else a review.
+
+    A row without a date counts as of the fact's day. As in best_by_keys, rows score by an equal e-mail (a join) or by their
+    day (counts by day), and the rest is counted only.
+    """
+    block = FACT[:2]
+    email = lambda c: F.lower(S.blank_to_null(F.col(c))).alias("email")
+    a = acct.select("workspace_id", F.col("amount_gross").alias("amount"), "accounting_id", "acct_date", email("customer_email"))
+    p = proc.select("workspace_id", F.col("amount_gross").alias("amount"), "processor_payment_id", "proc_date", email("customer_email"), enabled.alias("enabled"))
+    n = a.groupBy(*block).agg(F.count(F.lit(1)).alias("n_amount"), F.min("accounting_id").alias("any"))
+    points = lambda days: F.when(days.isNull(), 25).otherwise(S.date_points_symmetric(days))
+    mine = p.join(a, [*block, "email"]).select(*FACT, (60 + points(F.datediff("acct_date", "proc_date"))).alias("score"), F.lit(1).cast("long").alias("n"), "accounting_id")
+    cells = a.groupBy(*block, "acct_date").agg(F.count(F.lit(1)).alias("n"), F.min("accounting_id").alias("accounting_id"))
+    dated = _days_about(p).join(cells, [*block, "acct_date"]).select(*FACT, (40 + S.date_points_symmetric(F.col("days"))).alias("score"), "n", "accounting_id")
+    undated = p.join(cells.where("acct_date is null").drop("acct_date"), block).select(*FACT, F.lit(65).alias("score"), "n", "accounting_id")
+    rest = p.join(n, block).select(*FACT, F.when(F.col("proc_date").isNull(), 65).otherwise(40).alias("score"), F.col("n_amount").alias("n"), F.col("any").alias("accounting_id"))
+    by_score = mine.unionByName(dated).unionByName(undated).unionByName(rest).groupBy(*FACT, "score").agg(F.sum("n").alias("n"), F.min("accounting_id").alias("accounting_id"))
+    best_ = by_score.groupBy(*FACT).agg(F.max(F.struct("score", "n", "accounting_id")).alias("b"))
+    out = p.join(n.drop("any"), block, "left").join(best_, FACT, "left")
+    score = F.least(F.lit(100), F.col("b.score") + F.when(F.col("n_amount") == 1, 25).otherwise(0))
+    tie = (F.col("n_amount") > 1) & (F.col("b.n") > 1)
+    status = F.when(F.col("b").isNull(), "no_candidates").when((score >= 85) & F.col("enabled") & ~tie, "matched").otherwise("needs_review")
+    return out.select("workspace_id", "processor_payment_id", F.coalesce("n_amount", F.lit(0)).alias("n_candidates"), F.coalesce(score, F.lit(0)).alias("score"), F.coalesce(tie, F.lit(False)).alias("has_tie"), status.alias("status"), F.when(status == "matched", F.col("b.accounting_id")).alias("accounting_id"))
+
+
 def near_counts(proc: DataFrame, acct: DataFrame, width: int = 7) -> DataFrame:
     """For each processor fact with candidates of its signed amount: how many lie within `width` days; where either date is unknown, a candidate counts."""
     block = FACT[:2]

@@ -32,6 +32,19 @@ def lines(batches: DataFrame, proc: DataFrame, outcomes: DataFrame) -> DataFrame
     return members.unionByName(fees)
 
 
+def bank_lines(batches: DataFrame, members: DataFrame) -> DataFrame:
+    """The lines of bank-transfer batches' plans: their members' lines, the fee that the user confirmed (ach_fees), and where the deposit that they
+    expect (expected_deposit, or null) is another sum, a line that makes up the difference on the settlement account."""
+    known = batches.select("k", F.col("ach_fees").cast("decimal(18,2)").alias("ach_fees"), F.col("expected_deposit").cast("decimal(18,2)").alias("expected"))
+    none = F.lit(None).cast("string").alias("linked")
+    own = members.where("kind <> 'fee'").join(known.select("k"), "k", "left_semi")
+    fees = known.where("ach_fees > 0").select("k", F.lit("ach_fee").alias("kind"), (-F.col("ach_fees")).cast("decimal(18,2)").alias("amount"), none)
+    both = own.unionByName(fees)
+    off = (F.col("expected") - F.coalesce("total", F.lit(0))).cast("decimal(18,2)")
+    change = known.where("expected is not null").join(both.groupBy("k").agg(F.sum("amount").alias("total")), "k", "left").select("k", F.lit("settlement_change").alias("kind"), off.alias("amount"), none).where("abs(amount) > 0.001")
+    return both.unionByName(change)
+
+
 def plans(lines: DataFrame, batches: DataFrame) -> DataFrame:
     """Each plan's lines and total, and how far it is from the batch's net."""
     sums = lines.groupBy("k").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("amount").alias("total"))

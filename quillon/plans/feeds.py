@@ -10,6 +10,7 @@ from quillon.operators import control as C
 from quillon.operators import posting as P
 from quillon.plans.catalogue import query
 from quillon.sources import bodies as B
+from quillon.sources import paged
 from quillon.sources import views as V
 from quillon.sources.scratch import folder_of
 
@@ -24,6 +25,31 @@ def charge_pages(spark, d):
     return B.page_rows(spark.read.schema(B.PAGE).json(path))
 
 
+def _recorded(spark, d):
+    """Answers of the charge and refund listings of each workspace, recorded by month."""
+    path = folder_of(spark, "recorded")
+    p = V.processor_facts(spark, d).where("event_type in ('payment', 'refund')")
+    body = F.to_json(F.struct((F.col("amount_gross") * 100).cast("long").alias("amount"), "customer_email"))
+    month = (F.year("proc_date") - 1990) * 12 + F.month("proc_date")
+    rows = p.select(F.when(F.col("event_type") == "refund", "refund").otherwise("charge").alias("object"), F.col("workspace_id").alias("source"), F.col("processor_payment_id").alias("id"), F.col("proc_date").alias("updated"), body.alias("body"), month.alias("n"))
+    paged.write_pages(rows, path, "n")
+    paged.register(spark)
+    return spark.read.format("recorded_pages").load(path)
+
+
+@query("select case when event_type = 'refund' then 'refund' else 'charge' end as object, workspace_id source, processor_payment_id id, proc_date updated, amount_gross amount, customer_email email from proc where event_type in ('payment', 'refund')")
+def paged_listings(spark, d):
+    """Charges and refunds of every workspace, read page after page by the cursor to the last one."""
+    b = F.from_json("body", "amount long, customer_email string")
+    return _recorded(spark, d).withColumn("b", b).select("object", "source", "id", "updated", (F.col("b.amount").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"), F.col("b.customer_email").alias("email"))
+
+
+@query("select workspace_id source, processor_payment_id id, proc_date updated from proc where event_type = 'refund' and proc_date >= date '1996-03-15'")
+def paged_updated_since(spark, d):
+    """Refunds updated since a day: the source takes the filters over, skips pages before the day and chains of charges."""
+    return _recorded(spark, d).where("object = 'refund' and updated >= date '1996-03-15'").select("source", "id", "updated")
+
+
 @query("select processor_payout_id id, net_amount amount, 'USD' currency, settlement_date arrives, case when k % 6 = 0 then 'pending' else 'paid' end status from batches where processor = 'stripe'")
 def payout_rows(spark, d):
     """Payout bodies as rows: cents, epoch seconds, a state that may be missing."""

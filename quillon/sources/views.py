@@ -65,6 +65,12 @@ def deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("workspace_id", F.concat_ws("_", F.lit("dep"), "workspace_id", F.col("payout_day").cast("string")).alias("deposit_id"), F.col("payout_day").alias("deposit_date"), "total_amount", F.when(typed, F.col("lines")).otherwise(none).alias("lines"), F.transform("lines", lambda x: x["txn_id"]).alias("component_payment_ids"))
 
 
+def deposit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounting facts that deposits hold, a row each."""
+    a = accounting_facts(spark, sf_dir).withColumn("payout_day", F.date_add("acct_date", (-((F.col("k") * 7) % 13 - 3)).cast("int"))).where(F.dayofmonth("payout_day") % 2 == 0)
+    return a.select(F.concat_ws("_", F.lit("dep"), "workspace_id", F.col("payout_day").cast("string")).alias("deposit_id"), "k", F.when(F.col("event_type") == "refund_observed", "RefundReceipt").otherwise("Payment").alias("txn_type"), F.col("accounting_id").alias("txn_id"), F.col("amount_gross").alias("amount"))
+
+
 def payout_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch for each payout, with a header that is off now and then."""
     p = processor_facts(spark, sf_dir)
