@@ -1,13 +1,13 @@
 """Licence scans: normalised lines and whole texts against licence templates by the Dice coefficient over word bigrams.
 
 A text's segments are its lines, the text as a whole, and, as a notice may be wrapped over lines or stand in a line of
-prose, runs of as many words as a template has, from every eighth of that length on. Segments and templates
+prose, all runs of as many words as a template has, of every start. Segments and templates
 are normalised alike: lower case, everything but ASCII letters and digits a space. With |A| and |B| bigrams a
 Dice coefficient of t or more needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, so a segment meets only the templates
 within these bounds. For lines and whole texts shared bigrams are found by a join with the templates' bigrams, a
 table of fixed size. Such a segment also shares t / (2 - t) of the template's bigrams at least. `telling_words`
 picks words that occur in more than the rest of every template's bigrams: a text, line or run without any of
-them can't match, so only runs about such words are looked at.
+them can't match. Runs are counted as they slide, in time that grows with the text's length.
 
 Defined results: a null or empty text, and one that matches nothing, has null license and dice and no
 matching segments; equal scores go to the licence first by name; repeated rows each give a row, also with a null
@@ -17,12 +17,11 @@ columns are ignored. A segment of one word has no bigrams and matches nothing.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,36 +118,44 @@ def _holds_any(c: Column, words: list[str]) -> Column:
     return F.arrays_overlap(F.transform(F.split(c, "[^A-Za-z0-9]+"), F.lower), F.array(*map(F.lit, words)))
 
 
-def _runs(texts, threshold: float, telling: list[str]) -> list[dict]:
-    """For each template: its number, licence, words in a run, step between runs, bigrams and telling words."""
-    out = []
-    for i, (name, text) in enumerate(texts):
-        w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
-        out.append({"template": i, "license": name, "words": len(w), "step": max(1, len(w) // 8), "grams": [" ".join(p) for p in dict.fromkeys(zip(w, w[1:]))], "telling": sorted(set(w) & set(telling))})
-    return out
+def _places(rows: DataFrame) -> DataFrame:
+    """Of rows(_row, template, words, i, gram), all occurrences of bigrams: first and last, the run starts at which a run of `words` words holds this occurrence as the first of its bigram."""
+    seen = Window.partitionBy("_row", "template", "gram").orderBy("i")
+    return rows.withColumn("first", F.greatest(F.lit(0), F.col("i") - F.col("words") + 2, F.coalesce(F.lag("i").over(seen) + 1, F.lit(0)))).withColumn("last", F.col("i")).where("first <= last")
 
 
-def run_matches(docs: DataFrame, texts: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The matching runs of words of docs(_row, text): _row, start (word number from 0), license, template, dice. Each run is a slice of its text's words and gives a row only if it matches."""
-    telling = telling_words(texts, threshold)
-    split = docs.where(_holds_any(F.col("text"), telling)).select("_row", _words(normalised(F.col("text"))).alias("_w"))
-    hits = F.filter(F.transform("_w", lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda x: x["w"].isin(telling))
-    split = split.withColumn("_hits", hits).where(F.size("_hits") > 0)
-    known = F.from_json(F.lit(json.dumps(_runs(texts, threshold, telling))), "array<struct<template:int,license:string,words:int,step:int,grams:array<string>,telling:array<string>>>")
-    return split.select("_row", F.inline(F.flatten(F.transform(known, lambda t: _near(t, threshold)))))
+def _by_start(places: DataFrame, *weights: Column) -> DataFrame:
+    """Sums of weights over the occurrences that runs hold, for all starts: rows (start, starts, s0, s1, ..) that stand for `starts` starts from `start` on."""
+    names = [f"s{n}" for n in range(len(weights))]
+    ends = lambda at, sign: F.struct(at.alias("start"), *[(sign * w).alias(n) for n, w in zip(names, weights)])
+    changes = places.select("_row", "template", F.inline(F.array(ends(F.col("first"), 1), ends(F.col("last") + 1, -1))))
+    along = Window.partitionBy("_row", "template").orderBy("start")
+    summed = changes.withColumns({n: F.sum(n).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for n in names})
+    return summed.withColumn("starts", F.lead("start").over(along) - F.col("start")).where("starts > 0")
 
 
-def _near(t: Column, threshold: float) -> Column:
-    """The matches of template t among runs that begin at a multiple of its step and hold one of its telling words."""
+def run_matches(docs: DataFrame, texts: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The matching runs of words of docs(_row, text), of every start: _row, start (word number from 0), starts (that many from there on match alike), license, template, dice.
+
+    A run's bigrams are counted as it slides. An occurrence of a bigram is the first in its run for the starts between the occurrence before
+    it and itself, so each count over all starts is a running sum of ends of such stretches. Shared bigrams alone are counted first, at
+    the templates' bigrams; only texts and templates with a run that shares enough of them have all of their bigrams counted.
+    """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    first = lambda i: F.ceil(F.greatest(F.lit(0), i - t["words"] + 1) / t["step"])
-    last = lambda i: F.floor(i / t["step"])
-    about = lambda x: F.when(first(x["i"]) <= last(x["i"]), F.sequence(first(x["i"]), last(x["i"]))).otherwise(F.array().cast("array<bigint>"))
-    starts = F.array_distinct(F.flatten(F.transform(F.filter("_hits", lambda x: F.array_contains(t["telling"], x["w"])), about)))
-    runs = F.transform(starts, lambda p: F.struct((p * t["step"]).cast("int").alias("start"), _bigrams(F.slice("_w", (p * t["step"]).cast("int") + 1, t["words"])).alias("run")))
-    in_bounds = lambda x: F.size(x["run"]).between(F.size(t["grams"]) * F.lit(low), F.size(t["grams"]) * F.lit(high))
-    rated = F.transform(F.filter(runs, in_bounds), lambda x: F.struct(x["start"].alias("start"), t["license"].alias("license"), t["template"].alias("template"), (2.0 * F.size(F.array_intersect(x["run"], t["grams"])) / (F.size(x["run"]) + F.size(t["grams"]))).alias("dice")))
-    return F.filter(rated, lambda x: x["dice"] >= threshold)
+    split = docs.where(_holds_any(F.col("text"), telling_words(texts, threshold))).dropDuplicates(["_row"]).select("_row", _words(normalised(F.col("text"))).alias("_w"))
+    n = F.size("_w")
+    pairs = F.when(n > 1, F.zip_with(F.slice("_w", 1, F.greatest(n - 1, F.lit(0))), F.slice("_w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    grams = split.select("_row", F.posexplode(pairs).alias("i", "gram"))
+    known = templates(docs.sparkSession, texts).withColumn("words", F.element_at(F.array(*[F.lit(len(re.sub("[^a-z0-9]+", " ", t.lower()).split())) for _, t in texts]), F.col("template") + 1))
+    wanted = F.broadcast(known.select("license", "template", "n_template", "words", F.explode("grams").alias("gram")))
+    hits = grams.join(wanted, "gram").repartition("_row", "template")  # one shuffle for both windows
+    enough = _by_start(_places(hits).withColumn("one", F.lit(1)), F.col("one")).groupBy("_row", "template").agg(F.max("s0").alias("most"))
+    some = enough.join(F.broadcast(known.select("license", "template", "n_template", "words")), "template").where(F.col("most") >= F.col("n_template") * F.lit(low)).select("_row", "template", "license", "n_template", "words")
+    some = written(some, "templates")
+    every = grams.join(some, "_row").join(wanted.select("template", "gram", F.lit(1).alias("shared")), ["template", "gram"], "left").repartition("_row", "template")
+    counts = _by_start(_places(every).withColumns({"one": F.lit(1), "shared": F.coalesce("shared", F.lit(0))}), F.col("one"), F.col("shared"))
+    rated = counts.join(some, ["_row", "template"]).where(F.col("s0").between(F.col("n_template") * F.lit(low), F.col("n_template") * F.lit(high)))
+    return rated.withColumn("dice", 2.0 * F.col("s1") / (F.col("s0") + F.col("n_template"))).where(F.col("dice") >= threshold).select("_row", "start", "starts", "license", "template", "dice")
 
 
 def matches(docs: DataFrame, texts: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,11 +181,11 @@ def scan(docs: DataFrame, texts=TEMPLATES, threshold: float = THRESHOLD) -> Data
     """Per row of docs: doc_id, license and dice (the best match), n_segments (those that match a template), licenses (all, sorted), n_runs (runs of words that match one)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("h")))
     few = written(rows.select("_row", "text").where(_holds_any(F.col("text"), telling_words(texts, threshold))), "telling")
-    found = matches(few, texts, threshold).drop("template").withColumn("start", F.lit(None).cast("int"))
-    runs = run_matches(few, texts, threshold).select("_row", F.lit(None).cast("int").alias("segment"), "license", "dice", "start", "template")
-    found = found.withColumn("template", F.lit(None).cast("int")).unionByName(runs)
+    found = matches(few, texts, threshold).select("_row", "segment", "license", "dice", F.lit(0).alias("starts"))
+    runs = run_matches(few, texts, threshold).select("_row", F.lit(None).cast("int").alias("segment"), "license", "dice", "starts")
+    found = found.unionByName(runs)
     # Repeated rows share a key, so their segments are counted once; each still gets its row in the join below.
-    per_doc = found.groupBy("_row").agg(F.min(F.struct((-F.col("dice")).alias("worst"), "license")).alias("_b"), F.count_distinct("segment").alias("n_segments"), F.count_distinct("start", "template").alias("n_runs"), F.array_sort(F.collect_set("license")).alias("_a"))
+    per_doc = found.groupBy("_row").agg(F.min(F.struct((-F.col("dice")).alias("worst"), "license")).alias("_b"), F.count_distinct("segment").alias("n_segments"), F.sum("starts").alias("n_runs"), F.array_sort(F.collect_set("license")).alias("_a"))
     out = rows.select("_row").join(per_doc, "_row", "left")
     return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_b.license").alias("license"), F.round(-F.col("_b.worst"), 6).alias("dice"), F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"), F.coalesce(F.array_join("_a", ","), F.lit("")).alias("licenses"), F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"))
 
@@ -201,11 +208,10 @@ sg as (select r, segment, {grams('w')} g from sw where len(w) > 1),
 m as (select r, segment, license, template, 2.0::double * len(list_intersect(sg.g, tg.g)) / (len(sg.g) + len(tg.g)) dice from sg, tg
       where len(sg.g) between len(tg.g) * {threshold / (2 - threshold)!r}::double and len(tg.g) * {(2 - threshold) / threshold!r}::double),
 dw as materialized (select r, {words('x')} w from d where x is not null),
-pos as (select r, w, unnest(range(1, len(w))) i from dw),
-tw as (select license, template, len(w) nw, greatest(1, len(w) // 8) step, {grams('w')} g from t),
-tp as (select template, nw, step, unnest(g) gram from tw),
-hit as (select distinct r, i, gram from (select r, i, w[i] || ' ' || w[i + 1] gram from pos)  where gram in (select gram from tp)),
-start as (select distinct r, template, s * step s from (select r, template, step, unnest(generate_series(cast(greatest(0, ceil((i - nw) / step)) as bigint), (i - 1) // step)) s from hit join tp using (gram))),
+tw as (select license, template, len(w) nw, {grams('w')} g from t),
+dg as (select r, len(w) n, {grams('w')} g from dw),
+near as (select r, template, n from dg, tw where len(list_intersect(dg.g, tw.g)) >= len(tw.g) * {threshold / (2 - threshold)!r}::double),
+start as (select r, template, unnest(range(0, n)) s from near),
 run as (select r, template, s, list_slice(dw.w, s + 1, s + nw) rw from start join tw using (template) join dw using (r)),
 rm as (select r, tw.license, template, s, 2.0::double * len(list_intersect(rg, tw.g)) / (len(rg) + len(tw.g)) dice from (select r, template, s, {grams('rw')} rg from run where len(rw) > 1) join tw using (template)
        where len(rg) between len(tw.g) * {threshold / (2 - threshold)!r}::double and len(tw.g) * {(2 - threshold) / threshold!r}::double),
