@@ -202,8 +202,25 @@ def _looked_up(items: Items, least: int, share: float):
     return scan
 
 
-def _seed_rows(least: int):
-    """From (key.., text) with the key in column 0: key, place in words, seed, words of the text."""
+#: Bits of the filter that documents' seeds must pass before they are shuffled: 16 MB, whatever the test set.
+FILTER_BITS = 1 << 27
+#: Keys of candidate documents (24 bytes each) up to which they are broadcast to the texts.
+BROADCAST_KEYS = 250_000
+
+
+def _filter_of(seeds: DataFrame) -> np.ndarray:
+    """Of a table of seeds, the bits that some seed has, as bytes. Spark sets the bits in buckets of fixed size, of which the driver gets FILTER_BITS / 32768 at most."""
+    bit = F.col("seed").bitwiseAND(FILTER_BITS - 1) + 1
+    buckets = seeds.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in buckets:
+        part = np.frombuffer(r["bits"], dtype=np.uint8)
+        out[(r["b"] - 1) * len(part) : r["b"] * len(part)] = part
+    return out
+
+
+def _seed_rows(least: int, bits=None):
+    """From (key.., text) with the key in column 0: key, place in words, seed, words of the text. bits: a broadcast of _filter_of(), for only the seeds that pass it, once a text."""
 
     def scan(batches):
         for batch in batches:
@@ -211,7 +228,13 @@ def _seed_rows(least: int):
                 w = Words(data, bounds, lower=True)
                 grams = w.grams(least)
                 at = np.flatnonzero(w.whole(least))
+                if bits is not None:
+                    bit = (grams[at] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    at = at[(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
                 doc = np.searchsorted(w.first, at, side="right") - 1
+                if bits is not None and len(at):
+                    once = np.unique(np.stack([doc.astype(np.uint64), grams[at]]), axis=1, return_index=True)[1]
+                    at, doc = at[once], doc[once]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(signed(grams[at])), pa.array(np.diff(w.first)[doc].astype(np.int32))], names=["k", "place", "seed", "n"])
 
     return scan
@@ -267,6 +290,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: floa
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.lower("text")).alias("h"))
     bad = _pairs(rows.withColumn("k", key), items, least, share).select("k").distinct()
+    bad = _few(bad)
     return docs.select(whole_row(docs).alias("row"), key.alias("k")).join(bad, "k", "left_anti").select("row.*")
 
 
@@ -275,17 +299,24 @@ def _pairs(keyed: DataFrame, items: DataFrame, least: int, share: float) -> Data
     columns, items = "place int, seed long, n int", items.withColumn("item", F.struct("item_id", F.xxhash64("text").alias("h")))
     theirs = items.select("item", "text").mapInArrow(_seed_rows(least), f"k struct<item_id:long,h:long>, {columns}").select(F.col("k").alias("item"), "place", "seed", "n")
     theirs = written(theirs, "seeds")  # a table of its own, so that a hot seed is split in the join
-    ours = keyed.select("k", "text").mapInArrow(_seed_rows(least), f"k struct<d:long,h:long>, {columns}").select("k", "seed").distinct()
+    bits = keyed.sparkSession.sparkContext.broadcast(_filter_of(theirs))
+    ours = keyed.select("k", "text").mapInArrow(_seed_rows(least, bits), f"k struct<d:long,h:long>, {columns}").select("k", "seed").distinct()
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("place", F.col("place") + (least - 1))))))
     pairs = written(ours.join(theirs, "seed").groupBy("k", "item", "n").agg(covered.alias("c")).where(F.col("c") >= share * F.col("n")).select("k", "item"), "pairs")
     dropped(theirs)
-    texts = keyed.select("k", "text").dropDuplicates(["k"])
+    texts = keyed.select("k", "text").join(_few(pairs.select("k").distinct()), "k", "left_semi").dropDuplicates(["k"])
     ready = pairs.join(texts, "k").join(items.withColumnRenamed("text", "theirs"), "item").select("k", "item_id", "theirs", "text")
     tiled = written(ready.mapInArrow(_tiled(least), "k struct<d:long,h:long>, item_id long, coverage double").where(F.col("coverage") >= share), "tiled")
     dropped(pairs)
     return tiled
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys that are broadcast where they are few, so that whole texts needn't be moved to meet them."""
+    keys = written(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _joined(rows: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
     keyed = rows.withColumn("k", F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h")))
     found = _pairs(keyed, items, least, share).groupBy("k").agg(F.collect_list(F.struct("item_id", "coverage")).alias("found"))

@@ -207,6 +207,27 @@ def brute_tiles(a, b, least):
         out.append((i, j, n))
 
 
+def test_decontamination_moves_few_seeds(spark, documents, monkeypatch):
+    """The join path gives the look-up's rows whether keys are broadcast or not, and only seeds of the test set pass the filter."""
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    item = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, item(30)) for i in range(40)]
+    rows = [(i, " ".join([item(200), r.choice(items)[1] if i % 3 == 0 else item(9), item(50)])) for i in range(90)] + [(200, None), (None, items[0][1]), (201, items[1][1]), (201, items[1][1])]
+    docs, bench = documents(rows), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: Counter(map(tuple, df.collect()))
+    want = key(decontaminate.find(docs, bench))
+    kept = decontaminate.clean(docs, bench).count()
+    for keys in (decontaminate.BROADCAST_KEYS, -1):
+        monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", keys)
+        assert key(decontaminate.find(docs, bench, broadcast_bytes=0)) == want
+        assert decontaminate.clean(docs, bench, broadcast_bytes=0).count() == kept
+    seeds = spark.createDataFrame([(i * 7919 * (1 if i % 2 else -1),) for i in range(1000)], "seed long")
+    bits = decontaminate._filter_of(seeds)
+    held = [(i * 7919 * (1 if i % 2 else -1)) & (decontaminate.FILTER_BITS - 1) for i in range(1000)]
+    assert all(bits[b >> 3] >> (b & 7) & 1 for b in held) and int(np.unpackbits(bits).sum()) == len(set(held))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_tiles(seed):
     r = random.Random(seed)
