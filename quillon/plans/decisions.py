@@ -168,9 +168,8 @@ def first_active_workspace(spark, d):
 @query("select processor_payment_id, event_type, printf('%.2f', abs(amount_gross)) amount_key from proc where event_type in ('payment', 'refund', 'ach_return')")
 def lookup_pool(spark, d):
     """Payments, refunds and returns in one pool, each with its key of amount."""
-    p = V.processor_facts(spark, d)
-    part = lambda kind: p.where(F.col("event_type") == kind).select("processor_payment_id", "event_type", labels.amount_key(F.col("amount_gross")).alias("amount_key"))
-    return part("payment").union(part("refund")).union(part("ach_return"))
+    p = V.processor_facts(spark, d).where(F.col("event_type").isin("payment", "refund", "ach_return"))
+    return p.select("processor_payment_id", "event_type", labels.amount_key(F.col("amount_gross")).alias("amount_key"))
 
 
 @query("select c_custkey, case when c_custkey % 4 = 0 then null else date '2024-01-01' + cast(c_custkey % 200 as int) end cursor_at, case when c_custkey % 4 = 0 and c_custkey % 8 = 0 then date '2024-07-01' - 62 when c_custkey % 4 = 0 then date '2024-07-01' - 7 else date '2024-01-01' + cast(c_custkey % 200 as int) end starts, least(case when c_custkey % 4 = 0 and c_custkey % 8 = 0 then date '2024-07-01' - 62 when c_custkey % 4 = 0 then date '2024-07-01' - 7 else date '2024-01-01' + cast(c_custkey % 200 as int) end, date '2024-07-01' - 14) transfer_starts from customer", head=False)

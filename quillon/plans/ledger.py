@@ -13,6 +13,7 @@ from quillon.operators import posting as P
 from quillon.plans.batches import _RANK, LINES_SQL
 from quillon.plans.catalogue import query
 from quillon.sources import bodies as B
+from quillon.sources import processors as X
 from quillon.sources import views as V
 
 _BANK = LINES_SQL + """, bb as (select k, case when k % 3 = 0 then 0 else (k % 50) / 10.0 end fee, case when k % 4 = 0 then null else gross_amount - (k % 3) end expected from batches where payout_type = 'ach'),
@@ -184,3 +185,39 @@ def body_schema_findings(spark, d):
     each = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("finding"), x.alias("name")))
     rows = V.processor_facts(spark, d).select(F.inline(F.concat(each("unexpected", F.array_except(found, wanted)), each("missing", F.array_except(wanted, found)))))
     return rows.groupBy("finding", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _raw(spark, d):
+    """Raw objects of both processors as they are kept, one table; some kinds that no processor knows."""
+    p, b = V.processor_facts(spark, d), V.payout_batches(spark, d)
+    mine = lambda df, name: df.where(F.col("processor") == name)
+    part = lambda df, processor, kind, id_: df.select(F.lit(processor).alias("processor"), F.lit(kind).alias("object"), id_.cast("string").alias("id"), "body")
+    none = F.lit("")
+    return (
+        part(B.charge_bodies(mine(p, "stripe")), "stripe", "charge", F.concat(F.lit("tx"), F.col("k").cast("string")))
+        .union(part(B.payout_bodies(mine(b, "stripe")), "stripe", "payout", none)).union(part(B.balance_bodies(mine(p, "stripe")), "stripe", "balance", F.col("processor_payout_id")))
+        .union(part(B.gateway_answers(mine(p, "authorize_net")), "authorize_net", "transaction", none)).union(part(B.gateway_bodies(mine(p, "authorize_net")), "authorize_net", "listed", F.col("k")))
+        .union(part(B.gateway_bodies(mine(p, "stripe")), "other", "listed", F.col("k")))
+    )
+
+
+@query("""select processor, case when processor = 'stripe' then 'tx' || k else '' || k end payment_id, amount_gross amount, case when processor = 'stripe' then case when payment_method is null or payment_method = 'card' then 'card' else 'bank_account' end when k % 2 = 0 then 'bank_account' else 'card' end as method,
+case when processor = 'stripe' then coalesce(customer_email, 'r' || k || '@x.org') when k % 3 = 0 then customer_email end email from proc""")
+def processor_payments(spark, d):
+    """Payments of all processors in one shape, each through the interface that its processor implements."""
+    return X.normalised(_raw(spark, d), "payments")
+
+
+@query("""select processor, payout_id, count(*) n, sum(amount) total from (select processor, processor_payout_id payout_id, amount_gross amount from proc where processor = 'stripe' union all select processor, 'b' || (k % 50), case when k % 20 = 1 then -amount_gross else amount_gross end from proc where processor = 'authorize_net') group by all""")
+def processor_members(spark, d):
+    """What payouts consist of, by either processor's answers."""
+    return X.normalised(_raw(spark, d), "members").groupBy("processor", "payout_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 2 then 'unknown' when c_custkey % 3 = 0 and c_nationkey % 2 = 0 then 'api_key' when c_custkey % 3 = 1 and c_nationkey % 4 = 0 then 'login_id' when c_custkey % 3 = 1 and c_nationkey % 4 = 1 then 'transaction_key' end problem from customer", head=False)
+def processor_settings(spark, d):
+    """What is wrong with the settings of workspaces, as their processors see it."""
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    settings = F.create_map(F.lit("api_key"), F.when(n % 2 == 0, "pk_x").otherwise("sk_x"), F.lit("login_id"), F.when(n % 4 == 0, " ").otherwise("me"), F.lit("transaction_key"), F.when(n % 4 != 1, "key"))
+    w = V.table(spark, d, "customer").select("c_custkey", F.when(c % 3 == 0, "stripe").when(c % 3 == 1, "authorize_net").otherwise("paper").alias("processor"), settings.alias("settings"))
+    return X.problems(w).select("c_custkey", "problem")

@@ -238,4 +238,5 @@ def duplicate_deposit_probe(spark, d):
 def largest_payments(spark, d):
     p = V.processor_facts(spark, d).where("event_type = 'payment'")
     w = Window.partitionBy("workspace_id").orderBy(F.col("amount_gross").desc())
-    return p.withColumn("amount_rank", F.dense_rank().over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.col("amount_gross").desc(), "k"))).where("_n <= 20").select("workspace_id", "processor_payment_id", "amount_rank")
+    first = p.withColumn("_n", F.row_number().over(w.orderBy(F.col("amount_gross").desc(), "k"))).where("_n <= 20")  # limited in each task before the shuffle
+    return first.withColumn("amount_rank", F.dense_rank().over(w)).select("workspace_id", "processor_payment_id", "amount_rank")
