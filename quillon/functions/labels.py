@@ -113,3 +113,19 @@ def health(total: Column, success: Column, stale: Column, failures: Column) -> C
 
 def terminal_state(processed: Column, failed: Column, ambiguous: Column, warnings: Column) -> Column:
     return F.when((failed > 0) & (processed > 0), "partially_completed").when(failed > 0, "failed").when(ambiguous > 0, "completed_with_ambiguity").when(warnings > 0, "completed_with_warnings").otherwise("completed")
+
+
+# Abbreviations of time zones by their minutes from UTC.
+ZONE_ABBREVIATIONS = {
+    "America/New_York": {-300: "EST", -240: "EDT"}, "America/Toronto": {-300: "EST", -240: "EDT"}, "America/Chicago": {-360: "CST", -300: "CDT"}, "America/Denver": {-420: "MST", -360: "MDT"},
+    "America/Phoenix": {-420: "MST"}, "America/Los_Angeles": {-480: "PST", -420: "PDT"}, "America/Vancouver": {-480: "PST", -420: "PDT"}, "America/Halifax": {-240: "AST", -180: "ADT"},
+    "America/St_Johns": {-210: "NST", -150: "NDT"}, "Europe/London": {0: "GMT", 60: "BST"}, "Australia/Sydney": {600: "AEST", 660: "AEDT"}, "Australia/Brisbane": {600: "AEST"},
+    "Australia/Adelaide": {570: "ACST", 630: "ACDT"}, "Australia/Darwin": {570: "ACST"}, "Australia/Perth": {480: "AWST"},
+}
+
+
+def zone_abbreviation(zone: Column, at: Column, local_at: Column) -> Column:
+    """The abbreviation of a zone at a time, from the distance of its local time; UTC and hours where there is none."""
+    minutes = F.round((F.unix_timestamp(local_at) - F.unix_timestamp(at)) / 60).cast("int")
+    known = F.create_map(*[F.lit(x) for z, of in ZONE_ABBREVIATIONS.items() for m, name in of.items() for x in (f"{z}:{m}", name)])
+    return F.coalesce(F.element_at(known, F.concat_ws(":", zone, minutes.cast("string"))), F.format_string("UTC%+d", F.floor(minutes / 60).cast("int")))

@@ -61,3 +61,15 @@ def field_differences(original: DataFrame, replay: DataFrame, fields: list[str],
     both = _aligned(original, replay, fields, key).where("o is not null and r is not null")
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").alias("was"), F.col(f"r.{f}").alias("now")) for f in fields])
     return both.select(key, F.inline(F.filter(each, lambda x: ~x["was"].eqNullSafe(x["now"]))))
+
+
+def report(original: DataFrame, replay: DataFrame, fields: list[str]) -> DataFrame:
+    """By workspace: facts there were and facts that the replay made, how many are missing, extra or different, and the verdict (equivalent, differences, or failed where nothing came)."""
+    side = lambda df, s: df.select(KEY, F.col("workspace_id").alias(f"w{s}"), F.struct(*[_normal(F.col(f)).alias(f) for f in fields]).alias(s))
+    both = side(original, "o").join(side(replay, "r"), KEY, "full_outer")
+    o, r = F.col("o"), F.col("r")
+    n = both.groupBy(F.coalesce("wo", "wr").alias("workspace_id")).agg(
+        F.count("o").alias("originals"), F.count("r").alias("replayed"), F.count_if(r.isNull()).alias("missing"), F.count_if(o.isNull()).alias("extra"), F.count_if(o.isNotNull() & r.isNotNull() & ~o.eqNullSafe(r)).alias("differing"),
+    )
+    same = (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("differing") == 0)
+    return n.withColumn("verdict", F.when(same, "equivalent").when(F.col("replayed") == 0, "failed").otherwise("differences"))
