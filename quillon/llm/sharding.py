@@ -23,16 +23,19 @@ length count as one row; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import dropped, ranked, written
 
-#: Iterations after which open groups are laid into the rooms left. Each places the largest group of every shard asked, most place nearly all.
-MOST_ITERATIONS = 60
+#: Tables of groups that entered, one an iteration, up to which they stand apart.
+APART = 16
 
 
-def shard(docs: DataFrame, shards: int = 24, iterations: int = MOST_ITERATIONS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, size, text_crc32, law (`rows`), shard, slot (gapless from 0 within the shard), grown_shard (null under this law), n_copies (rows of this text) and n_with (those of them in this shard)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("g1"), F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(1), "text")).alias("g2"))
@@ -52,13 +55,18 @@ def shard(docs: DataFrame, shards: int = 24, iterations: int = MOST_ITERATIONS)
     votes = linked.where(F.col("members") < least).groupBy("g1", "g2", "members", "shard").agg(F.count(F.lit(1)).alias("n"))
     open_ = written(votes.groupBy("g1", "g2", "members").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes")), "votes")
     homes = []
-    for i in range(iterations):
+    for i in itertools.count():  # until no group finds room; each iteration places the largest group of every shard asked at least
         entered = _entered(open_, room, i)
         loads = {r["shard"]: r["load"] for r in entered.groupBy("shard").agg(F.sum("members").alias("load")).collect()}
         if not loads:
             break
         room = [x - loads.get(s, 0) for s, x in enumerate(room)]
         homes.append(entered)
+        if len(homes) > APART:
+            together = written(reduce(DataFrame.union, homes), "entered")
+            for table in homes:
+                dropped(table)
+            homes = [together]
         rest = written(open_.join(entered.select("g1", "g2"), ["g1", "g2"], "left_anti"), "votes")
         dropped(open_)
         open_ = rest

@@ -239,6 +239,21 @@ def test_sharding_of_uneven_groups(spark, documents):
     assert sum(len(s) > 1 for c, s in where.items()) <= 3 and len(where[zlib.crc32(b"hot")]) <= 9
 
 
+def test_sharding_goes_on_until_no_group_finds_room(spark, documents, monkeypatch):
+    """Groups of many sizes at few shards take many iterations; none that a shard has room for is split."""
+    monkeypatch.setattr(sharding, "APART", 1)
+    r = random.Random(12)
+    rows, i = [], 0
+    for g in range(60):
+        for _ in range(r.choice([2, 3, 5, 8, 13])):
+            rows.append((i, f"group {g}"))
+            i += 1
+    rows += [(i + j, f"single {j}") for j in range(200)]
+    got = sharding.shard(documents(rows), shards=5).collect()
+    assert Counter(x.shard for x in got).most_common()[0][1] - Counter(x.shard for x in got).most_common()[-1][1] <= 1
+    assert all(x.n_with == x.n_copies for x in got)  # 200 single rows leave room for every group
+
+
 def test_sharding_few_rows(spark, documents):
     assert sharding.shard(documents([]), 24).count() == 0
     got = sharding.shard(documents([(1, "a"), (2, "a"), (3, None)]), 24).collect()
