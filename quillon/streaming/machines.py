@@ -75,9 +75,8 @@ class Fold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802,N803  Spark's names
         for r in rows:
-            at = _millis(r.at)
-            self.waiting.appendValue((at, r.seq, r.to_state))
-            self.handle.registerTimer(at)
+            self.waiting.appendValue((r.ms, r.seq, r.to_state))
+            self.handle.registerTimer(r.ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802,N803
@@ -91,23 +90,23 @@ class Fold(StatefulProcessor):
         before = deadline
         for at, seq, to in [*due, (passed + 1, None, None)]:
             if deadline is not None and deadline < at:
-                yield Row(kind=key[0], id=key[1], seq=None, at=_time(deadline), from_state=state, to_state=machine.expired, verdict="expired")
+                yield Row(kind=key[0], id=key[1], seq=None, ms=deadline, from_state=state, to_state=machine.expired, verdict="expired")
                 state, since = machine.expired, deadline
                 deadline = machine.deadline(state, started, since)
             if to is None:
                 break
             legal = machine.allows(state, to)
-            yield Row(kind=key[0], id=key[1], seq=seq, at=_time(at), from_state=state, to_state=to, verdict="moved" if legal else "illegal")
+            yield Row(kind=key[0], id=key[1], seq=seq, ms=at, from_state=state, to_state=to, verdict="moved" if legal else "illegal")
             if legal:
                 state, since, started = to, at, at if to == machine.first else started
                 deadline = machine.deadline(state, started, since)
+        left = [tuple(w) for w in waiting if w[0] > passed]
         if due:
-            left = [tuple(w) for w in waiting if w[0] > passed]
             self.waiting.put(left) if left else self.waiting.clear()
         if state is not None:
             self.now.update((state, started, since, deadline))
         if deadline != before:
-            if before is not None and before > passed:
+            if before is not None and before > passed and before not in {w[0] for w in left}:  # a step may wait for the same time
                 self.handle.deleteTimer(before)
             if deadline is not None:
                 self.handle.registerTimer(deadline)
@@ -116,20 +115,11 @@ class Fold(StatefulProcessor):
         pass
 
 
-def _millis(at) -> int:
-    return round(at.timestamp() * 1000)
-
-
-def _time(millis: int):
-    from datetime import datetime
-
-    return datetime.fromtimestamp(millis / 1000)
-
-
 def folded(steps: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The rows of a stream of steps."""
-    keyed = steps.withWatermark("at", delay).groupBy("kind", "id")
-    return keyed.transformWithState(statefulProcessor=Fold(), outputStructType=ROWS, outputMode="Append", timeMode="EventTime")
+    """The rows of a stream of steps. Times are milliseconds within the processor, so that no time zone of a worker matters."""
+    keyed = steps.withWatermark("at", delay).withColumn("ms", F.unix_millis("at")).groupBy("kind", "id")
+    rows = keyed.transformWithState(statefulProcessor=Fold(), outputStructType=ROWS.replace("at timestamp", "ms long"), outputMode="Append", timeMode="EventTime")
+    return rows.select("kind", "id", "seq", F.timestamp_millis("ms").alias("at"), "from_state", "to_state", "verdict")
 
 
 def started(steps: DataFrame, folder: str, delay: str = "1 hour") -> StreamingQuery:

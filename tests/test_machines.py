@@ -107,8 +107,14 @@ def test_timers_fire_without_a_step_and_steps_at_the_deadline_are_in_time(spark,
     assert rows[3, "TIMED_OUT", "expired"] == START + 15 * MINUTE and (3, "COMPLETED", "illegal") in rows
     assert rows[4, "expired", "expired"] == START + 60 * MINUTE and rows[5, "timed_out", "expired"] == START + 45 * MINUTE
     assert not any(g[1] == 6 for g in got(spark, folder))
+    late = START + 300 * MINUTE  # a deadline that a step moves, and a step that waits for the very time of it
+    put(spark, folder, [("job", 7, 12, late, "QUEUED"), ("job", 7, 13, late, "CLAIMED"), ("job", 7, 14, late + 2 * MINUTE, "RUNNING"), ("job", 7, 15, late + 5 * MINUTE, "COMPLETED"), tick(late + 61 * MINUTE)])
+    put(spark, folder, [tick(late + 63 * MINUTE)])
+    put(spark, folder, [tick(late + 90 * MINUTE)])
+    run(spark, folder)
+    assert {(g[5], g[6]) for g in got(spark, folder) if g[1] == 7} == {(s, "moved") for s in ("QUEUED", "CLAIMED", "RUNNING", "COMPLETED")}
     put(spark, folder, [("operation", 1, 20, START + MINUTE, "completed")])  # later than the delay allows
-    put(spark, folder, [tick(START + 400 * MINUTE)])
+    put(spark, folder, [tick(START + 600 * MINUTE)])
     query = run(spark, folder)
     assert (1, "completed", "moved") not in {(g[1], g[5], g[6]) for g in got(spark, folder)}
     assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 1
