@@ -161,7 +161,7 @@ def decide_a(proc: DataFrame, acct: DataFrame, enabled: Column) -> DataFrame:
     by_score = mine.unionByName(dated).unionByName(undated).unionByName(rest).groupBy(*FACT, "score").agg(F.sum("n").alias("n"), F.min("accounting_id").alias("accounting_id"))
     best_ = by_score.groupBy(*FACT).agg(F.max(F.struct("score", "n", "accounting_id")).alias("b"))
     out = p.join(n.drop("any"), block, "left").join(best_, FACT, "left")
-    score = F.least(F.lit(100), F.col("b.score") + F.when(F.col("n_amount") == 1, 25).otherwise(0))
+    score = F.when(F.col("b").isNotNull(), F.least(F.lit(100), F.col("b.score") + F.when(F.col("n_amount") == 1, 25).otherwise(0)))
     tie = (F.col("n_amount") > 1) & (F.col("b.n") > 1)
     status = F.when(F.col("b").isNull(), "no_candidates").when((score >= 85) & F.col("enabled") & ~tie, "matched").otherwise("needs_review")
     return out.select("workspace_id", "processor_payment_id", F.coalesce("n_amount", F.lit(0)).alias("n_candidates"), F.coalesce(score, F.lit(0)).alias("score"), F.coalesce(tie, F.lit(False)).alias("has_tie"), status.alias("status"), F.when(status == "matched", F.col("b.accounting_id")).alias("accounting_id"))
