@@ -71,23 +71,38 @@ def best(pairs: DataFrame) -> DataFrame:
 PIECE = 6
 
 
-def _pieces(name: Column, n: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n)))
+def _pieces(name: Column, n: Column, step: int = 1) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1, F.lit(step)), lambda i: F.substring(name, i, n)))
 
 
-def _held(short: DataFrame, long: DataFrame, block: list[str]) -> DataFrame:
-    """Names `s` of short that a name `l` of long holds within a block: equi-joins on a piece of s, its rarest one, and then a check."""
-    n = F.lit(PIECE)
-    posted = long.where(F.length("l") >= PIECE).select(*block, "l", F.explode(_pieces(F.col("l"), n)).alias("g"))
-    counts = posted.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    asked = short.where(F.length("s") >= PIECE).select(*block, "s", F.explode(_pieces(F.col("s"), n)).alias("g")).join(counts, "g")
-    asked = asked.groupBy(*block, "s").agg(F.min(F.struct("c", "g"))["g"].alias("g"))
-    # Names shorter than a piece are pieces themselves; only their blocks post pieces of their lengths.
-    brief = short.where(F.length("s") < PIECE).select(*block, "s", F.col("s").alias("g"))
-    sizes = brief.groupBy(*block).agg(F.collect_set(F.length("s")).alias("sizes"))
-    small = long.join(sizes, block).select(*block, "l", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("l")), lambda n: _pieces(F.col("l"), n))))).alias("g"))
-    both = asked.join(posted, [*block, "g"]).unionByName(brief.join(small, [*block, "g"]))
-    return both.where(F.contains("l", "s") & (F.col("l") != F.col("s"))).select(*block, "s", "l")
+def _held_names(mine: DataFrame, theirs: DataFrame, block: list[str]) -> DataFrame:
+    """Pairs of names of a block, x of mine and y of theirs, of which one holds the other and is not it: (block, x, y).
+
+    A name that another holds is looked for by one piece of it, the rarest of those that it falls into; names shorter than a piece are
+    pieces themselves, and only their blocks post pieces of their lengths. Pieces and names meet as hashes; the names
+    themselves are joined to what meets, and checked.
+    """
+    sides = [df.select(*block, F.col("name"), F.lit(own).alias("own")) for df, own in ((mine, True), (theirs, False))]
+    names = sides[0].union(sides[1]).where("name is not null").distinct()
+    names = kept(names.select("*", F.xxhash64(*block).alias("b"), F.xxhash64(*block, "name").alias("h")), "names")
+    key = lambda g: F.xxhash64("b", g).alias("key")
+    long = names.where(F.length("name") >= PIECE)
+    cut = lambda step: long.select("b", "own", "h", F.explode(F.transform(_pieces(F.col("name"), F.lit(PIECE), step), lambda g: F.xxhash64(g))).alias("g"))
+    apart = cut(PIECE)  # a name is in another at any place, so that one posts its pieces of every start, and few of this one's will do
+    rare = apart.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    asked = apart.join(rare, "g").groupBy("b", "own", "h").agg(F.min(F.struct("c", "g"))["g"].alias("g")).select("own", "h", key("g"))
+    posted = cut(1).select("own", "h", key("g"))
+    brief = names.where(F.length("name") < PIECE)
+    if not brief.isEmpty():
+        sizes = brief.groupBy("b").agg(F.collect_set(F.length("name")).alias("sizes"))  # five at most
+        of = F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("name")), lambda n: _pieces(F.col("name"), n))))
+        posted = posted.union(names.join(sizes, "b").select("b", "own", "h", F.explode(F.transform(of, lambda g: F.xxhash64(g))).alias("g")).select("own", "h", key("g")))
+        asked = asked.union(brief.select("own", "h", key(F.xxhash64("name"))))
+    met = asked.join(posted.select("key", F.col("own").alias("other"), F.col("h").alias("lh")), "key").where("own <> other and h <> lh").select("own", "h", "lh").distinct()
+    short = names.select(*block, F.col("name").alias("s"), "own", "h")
+    whole = names.select(F.col("name").alias("l"), (~F.col("own")).alias("own"), F.col("h").alias("lh"))
+    found = met.join(short, ["own", "h"]).join(whole, ["own", "lh"]).where(F.contains("l", "s"))
+    return found.select(*block, F.when(F.col("own"), F.col("s")).otherwise(F.col("l")).alias("x"), F.when(F.col("own"), F.col("l")).otherwise(F.col("s")).alias("y")).distinct()
 
 
 def identity_pairs(p: DataFrame, a: DataFrame, block: list[str]) -> DataFrame:
@@ -103,9 +118,7 @@ def identity_pairs(p: DataFrame, a: DataFrame, block: list[str]) -> DataFrame:
             pairs = pairs.where(~same(earlier))
         pairs = pairs.withColumn("points", F.lit(25))
         out = pairs if out is None else out.unionByName(pairs)
-    mine, theirs = (df.select(*block, F.col(f"{c}.name").alias("x")).where("x is not null").distinct() for df, c in ((p, "_a"), (a, "_b")))
-    names = _held(mine.withColumnRenamed("x", "s"), theirs.withColumnRenamed("x", "l"), block).select(*block, F.col("s").alias("_x"), F.col("l").alias("_y"))
-    names = names.union(_held(theirs.withColumnRenamed("x", "s"), mine.withColumnRenamed("x", "l"), block).select(*block, "l", "s"))
+    names = _held_names(p.select(*block, F.col("_a.name").alias("name")), a.select(*block, F.col("_b.name").alias("name")), block).withColumnsRenamed({"x": "_x", "y": "_y"})
     held = p.withColumn("_x", F.col("_a.name")).join(names, [*block, "_x"]).join(a.withColumn("_y", F.col("_b.name")), [*block, "_y"]).drop("_x", "_y")
     return out.unionByName(held.where(~same("email") & ~same("words")).withColumn("points", F.lit(12)))
 
