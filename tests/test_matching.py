@@ -12,6 +12,7 @@ from quillon.functions import scores as S
 from quillon.operators import allocation as B
 from quillon.operators import matching as M
 from quillon.operators import writes
+from quillon.sources.scratch import kept
 
 DAY = datetime.date(2024, 5, 10)
 PROC = "workspace_id string, processor_payment_id string, event_type string, payment_method string, amount_gross decimal(18,2), proc_date date, customer_email string, customer_name string"
@@ -115,6 +116,48 @@ def test_best_by_keys_is_the_best_of_all_pairs(spark):
     assert all(x.n_near == near.get(x.processor_payment_id, 0) for x in M.near_counts(p, a).collect())
 
 
+def _crowd(spark, seed, n_proc=120, n_acct=240):
+    """Few amounts, days, mails and names, so that cells hold many rows, rows come from several kinds, and facts are copies of others."""
+    r = random.Random(seed)
+    names = ["Ann Lee", "Lee, Ann", "Bo Ek", None, "Ann", "An", "n", "Cy Orr of Malmo", "Orr of Malmo", " cy orr of malmo"]
+    mails = [None, None, "a@x.org", "A@X.org", "b@x.org", ""]
+    day = lambda lo, hi: r.choice([None, *[DAY + datetime.timedelta(r.randint(lo, hi))] * 7])
+    proc = [("w" + r.choice("12"), f"t{i:03}", "payment", "card", r.choice([Decimal(5), Decimal(-5), Decimal(7), Decimal(8), None]), day(0, 14), r.choice(mails), r.choice(names)) for i in range(n_proc)]
+    acct = [(i, "w" + r.choice("12"), f"q{i:03}", "payment_observed", r.choice(["", None, "", f"t{r.randrange(n_proc):03}", "t001"]), r.choice([Decimal(5), Decimal(7), Decimal(-7), Decimal(9)]), day(-9, 24), r.choice(mails), r.choice(names)) for i in range(n_acct)]
+    return spark.createDataFrame(proc + [(*x[:1], f"u{x[1]}", *x[2:]) for x in proc[:40]], PROC), spark.createDataFrame([*acct, (999, "w1", "q999", "payment_observed", "", Decimal(8), DAY, None, "An")], ACCT)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_top_by_keys_are_the_first_of_all_pairs(spark, seed):
+    p, a = _crowd(spark, seed)
+    want = M.top(M.scored(M.candidates(p, a), "c")).select("processor_payment_id", "rank", "accounting_id", "score").collect()
+    assert sorted(map(tuple, M.top_by_keys(p, a).collect())) == sorted(map(tuple, want)) and len(want) > 400
+    best = sorted(map(tuple, M.best(M.scored(M.candidates(p, a), "c")).collect()))
+    assert sorted(map(tuple, M.best_by_keys(p, a).collect())) == best and any(b[-1] for b in best)
+
+
+def _nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_kept_is_not_broadcast_by_the_size_of_its_files(spark):
+    """A table of few values has small files and many rows."""
+    table = kept(spark.range(200_000).select("id", F.lit("a long name that all rows share, as files hold it once").alias("name")), "test")
+    other = spark.range(10_000_000, numPartitions=4).withColumn("v", F.col("id") * 2)
+    assert "BroadcastHashJoin" not in _nodes(other.join(table.where("id > 5"), "id")) and table.count() == 200_000
+
+
+@pytest.mark.parametrize("query", ["best_by_keys", "top_by_keys"])
+def test_copies_of_facts_and_rows_meet_once(spark, query, monkeypatch):
+    """Sixty copies of a fact and of its row are one cell each (five rows, where five are asked for), and not their product."""
+    met = []
+    monkeypatch.setattr(M, "identity_pairs", lambda p, a, block, plain=M.identity_pairs: met.append(plain(p, a, block).count()) or plain(p, a, block))
+    proc = [("w", f"t{i:03}", "payment", "card", Decimal(5), DAY, "a@x.org", "Ann Lee") for i in range(60)]
+    acct = [(i, "w", f"q{i:03}", "payment_observed", "", Decimal(5), DAY, "a@x.org", "Ann Lee") for i in range(60)]
+    got = getattr(M, query)(spark.createDataFrame(proc, PROC), spark.createDataFrame(acct, ACCT))
+    assert got.count() == (60 if query == "best_by_keys" else 300) and met[0] <= 5
+
+
 def test_a_reference_to_another_amount_empties_that_pool(spark):
     proc = [("w", "t1", "payment", "card", Decimal(10), DAY, None, "Ann"), ("w", "t2", "payment", "card", Decimal(20), DAY, None, "Ann")]
     acct = [(1, "w", "q1", "payment_observed", "t1", Decimal(20), DAY, None, "Ann"), (2, "w", "q2", "payment_observed", "", Decimal(20), DAY, None, "An")]
