@@ -71,27 +71,33 @@ def stream_late_backfill(spark, d):
     return spark.read.parquet(f"{folder}/table").select("event_id", "late")
 
 
-#: Files of steps that the machine queries read one after another.
-STEP_FILES = 5
+#: Batches of steps that the machine queries read one after another, and steps that a file of a batch may hold.
+STEP_BATCHES, STEP_ROWS = 5, 50_000
 
 
 def _step_files(spark, d, folder):
-    """Steps in files by time, each up to forty minutes out of its turn, and at last a clock row a day later, which lets every timer fire."""
+    """Steps in batches by time, each step up to forty minutes out of its turn, and at last a clock row a day later, which lets every timer fire; gives the number of files of a batch.
+
+    A batch must be read as a whole, as what comes after it moves the watermark on; so all have the same number of files, which grows with the table.
+    """
     steps = V.machine_steps(spark, d)
     late = F.col("at") + F.make_dt_interval(mins=F.col("seq") % 3 * 20)
     span = steps.agg(F.min(late).alias("a"), F.max(late).alias("b"), F.max("at").alias("end")).first()
-    edges = [span.a + (span.b - span.a) * i / STEP_FILES for i in range(STEP_FILES)]
+    edges = [span.a + (span.b - span.a) * i / STEP_BATCHES for i in range(STEP_BATCHES)]
     number = sum((late >= F.lit(edge)).cast("int") for edge in edges)
-    for i in range(1, STEP_FILES + 1):
-        steps.where(number == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    files = max(1, min(r["count"] for r in steps.groupBy(number).count().collect()) // STEP_ROWS)  # the smallest batch fills them all
+    for i in range(1, STEP_BATCHES + 1):
+        batch = steps.where(number == i)
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(f"{folder}/in")
     clock = spark.range(1).select(F.lit("clock").alias("kind"), F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("seq"), (F.lit(span.end) + F.expr("interval 1 day")).alias("at"), F.lit("tick").alias("to_state"))
     clock.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return files
 
 
 def _machine_rows(spark, d):
     folder = folder_of(spark, "machines")
-    _step_files(spark, d, folder)
-    M.started(spark.readStream.schema(M.STEPS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder).awaitTermination()
+    files = _step_files(spark, d, folder)
+    M.started(spark.readStream.schema(M.STEPS).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder).awaitTermination()
     return M.results(spark, folder)
 
 

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from quillon.plans import streams
 from quillon.streaming import machines as M
 
 START = datetime.datetime(2024, 5, 1)
@@ -118,3 +119,47 @@ def test_timers_fire_without_a_step_and_steps_at_the_deadline_are_in_time(spark,
     query = run(spark, folder)
     assert (1, "completed", "moved") not in {(g[1], g[5], g[6]) for g in got(spark, folder)}
     assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 1
+
+
+def test_files_grow_with_the_table_and_batches_stay_whole(spark, tmp_path, monkeypatch):
+    """Several files a batch give the rows of one file a batch; a batch cut in two would lose steps to the watermark."""
+    data = "/root/testdata/sf0.001"
+    one = sorted(map(str, streams.stream_machines(spark, data).collect()))
+    monkeypatch.setattr(streams, "STEP_ROWS", 60)
+    files = streams._step_files(spark, data, str(tmp_path))
+    assert files > 1 and len(list((tmp_path / "in").glob("part-*"))) == 5 * files + 1
+    assert sorted(map(str, streams.stream_machines(spark, data).collect())) == one
+
+
+def test_a_key_has_one_timer_and_few_calls(monkeypatch):
+    """Six steps of a key at once set one timer, for the first, in one write of state; one call applies all that is due and sets the next."""
+
+    class Handle:
+        calls, value = [], None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.calls.append(("set", ms))
+
+        def deleteTimer(self, ms):  # noqa: N802
+            self.calls.append(("deleted", ms))
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 200_000
+
+    fold, handle = M.Fold(), Handle()
+    fold.init(handle)
+    rows = [M.Row(ms=60_000 * i, seq=i, to_state=s) for i, s in enumerate(["held", "released", "held", "held", "released", "held"], 1)]
+    assert not list(fold.handleInputRows(("lock", 1), reversed(rows), None)) and handle.calls == [("set", 60_000), "update"]
+    handle.calls = []
+    assert [r.seq for r in fold.handleExpiredTimer(("lock", 1), handle, None)] == [1, 2, 3]
+    assert handle.calls == [("set", 240_000), "update"]
