@@ -125,7 +125,7 @@ def test_files_grow_with_the_table_and_batches_stay_whole(spark, tmp_path, monke
     """Several files a batch give the rows of one file a batch; a batch cut in two would lose steps to the watermark."""
     data = "/root/testdata/sf0.001"
     one = sorted(map(str, streams.stream_machines(spark, data).collect()))
-    monkeypatch.setattr(streams, "STEP_ROWS", 60)
+    monkeypatch.setattr(streams, "STEP_ROWS", 15)
     files = streams._step_files(spark, data, str(tmp_path))
     assert files > 1 and len(list((tmp_path / "in").glob("part-*"))) == 5 * files + 1
     assert sorted(map(str, streams.stream_machines(spark, data).collect())) == one
