@@ -136,6 +136,47 @@ def test_top_by_keys_are_the_first_of_all_pairs(spark, seed):
     assert sorted(map(tuple, M.best_by_keys(p, a).collect())) == best and any(b[-1] for b in best)
 
 
+def _decisions(proc, acct):
+    """Engine A as a plain loop."""
+    out = {}
+    for p in proc:
+        rated = []
+        for a in acct:
+            if a[1] == p[0] and a[5] == p[4] and p[4] is not None:
+                d = abs((a[6] - p[5]).days) if a[6] and p[5] else 0
+                same = (p[6] or "").strip() and (p[6] or "").strip().lower() == (a[7] or "").strip().lower()
+                rated.append((40 + (25 if d <= 3 else 12 if d <= 7 else 0) + (20 if same else 0), a[2]))
+        if not rated:
+            out[p[1]] = (0, 0, False, "no_candidates", None)
+            continue
+        top_ = max(r[0] for r in rated)
+        ids = sorted(r[1] for r in rated if r[0] == top_)
+        score, tie = min(100, top_ + 25 * (len(rated) == 1)), len(ids) > 1
+        matched = score >= 85 and not tie and p[0] != "w2"
+        out[p[1]] = (len(rated), score, tie, "matched" if matched else "needs_review", ids[0] if matched else None)
+    return out
+
+
+def test_engine_a_is_the_loop_and_deals_days_once(spark):
+    p, a = _crowd(spark, 8)
+    r = random.Random(9)
+    lone = [("w1", f"l{i}", "payment", "card", Decimal(100 + i), r.choice([None, DAY]), r.choice([None, "a@x.org"]), None) for i in range(30)]
+    rows = [(1000 + i, "w1", f"r{i}", "payment_observed", "", Decimal(100 + i), r.choice([None, DAY, DAY + datetime.timedelta(6)]), r.choice([None, "A@x.org "]), None) for i in range(30)]
+    p, a = p.union(spark.createDataFrame(lone, PROC)), a.union(spark.createDataFrame(rows, ACCT))
+    want = _decisions(p.collect(), a.collect())
+    got = {x.processor_payment_id: tuple(x)[2:] for x in M.decide_a(p, a, F.col("workspace_id") != "w2").collect()}
+    assert got == want and {w[3] for w in want.values()} == {"no_candidates", "matched", "needs_review"}
+
+
+def test_engine_a_meets_days_and_not_facts(spark, monkeypatch):
+    """A thousand facts of one day look at the days about it once."""
+    seen = []
+    monkeypatch.setattr(M, "_days_about", lambda p, width=7, plain=M._days_about: seen.append(plain(p, width).count()) or plain(p, width))
+    p = spark.range(1000).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("t"), "id").alias("processor_payment_id"), F.lit(5).cast("decimal(18,2)").alias("amount_gross"), F.lit(DAY).alias("proc_date"), F.lit("a@x").alias("customer_email"))
+    a = spark.createDataFrame([(1, "w", "q1", "payment_observed", "", Decimal(5), DAY, "a@x", None)], ACCT)
+    assert M.decide_a(p, a, F.lit(True)).where("status = 'matched' and score = 100").count() == 1000 and seen == [15]
+
+
 def _nodes(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
