@@ -136,6 +136,19 @@ def test_top_by_keys_are_the_first_of_all_pairs(spark, seed):
     assert sorted(map(tuple, M.best_by_keys(p, a).collect())) == best and any(b[-1] for b in best)
 
 
+def test_engine_b_counts_the_week_before_there_are_pairs(spark):
+    p, a = _crowd(spark, 8)
+    pairs = M.candidates(p, a, signed=True, near=7)
+    got = M.scored(pairs, "b")
+    near = {}
+    for x in M.candidates(p, a, signed=True).select("processor_payment_id", "days").collect():
+        near[x[0]] = near.get(x[0], 0) + (x[1] is None or abs(x[1]) <= 7)
+    rows = got.collect()
+    assert len(rows) > 2000 and all(x.n_near == near[x.processor_payment_id] for x in rows) and 1 in near.values()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # from the top: no window, so no sort, over the pairs
+
+
 def _decisions(proc, acct):
     """Engine A as a plain loop."""
     out = {}
