@@ -12,6 +12,7 @@ from quillon.functions import scores as S
 from quillon.operators import allocation as B
 from quillon.operators import matching as M
 from quillon.operators import writes
+from quillon.plans import matches
 from quillon.sources.scratch import kept
 
 DAY = datetime.date(2024, 5, 10)
@@ -219,6 +220,11 @@ def test_a_reference_to_another_amount_empties_that_pool(spark):
     assert got == {"t1": ("q1", 100, "deterministic"), "t2": ("q2", 87, "ready")}  # q2 is alone once q1 is gone
 
 
+def test_the_run_reads_its_sides_as_written_tables(spark):
+    sides = matches._run(spark, "/root/testdata/sf0.001", lambda p, a, gone, explained: p.select("processor_payment_id").union(a.select("accounting_id")).union(gone).union(explained))
+    assert not any("customer" in f or "orders" in f for f in sides.inputFiles())  # each read of a view joined orders to customers, which may be broadcast each time
+
+
 def loop_b(proc, acct):
     """Engine B as a plain loop over all free rows of equal signed amount."""
     out, gone = {}, set()
