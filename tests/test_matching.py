@@ -150,6 +150,56 @@ def test_engine_b_counts_the_week_before_there_are_pairs(spark):
     assert plan.index("Join") < plan.index("Window")  # from the top: no window, so no sort, over the pairs
 
 
+def _block(spark, n=1500):
+    """Facts and rows of one amount, and a pair of another, with some mails and names in common."""
+    i, day = F.col("id"), F.date_add(F.lit(DAY), (F.col("id") % 400).cast("int"))
+    mail = F.when(i % 5 > 0, F.concat(F.lit("a"), (i % 300).cast("string"), F.lit("@x.org")))
+    side = spark.range(n).select(i.alias("k"), F.lit("w").alias("workspace_id"), F.when(i == 0, 9).otherwise(5).cast("decimal(18,2)").alias("amount_gross"), day.alias("day"), mail.alias("customer_email"), F.concat(F.lit("Ann "), (i % 200).cast("string")).alias("customer_name"))
+    proc = side.select(F.format_string("t%05d", "k").alias("processor_payment_id"), F.lit("payment").alias("event_type"), F.lit("card").alias("payment_method"), F.col("day").alias("proc_date"), "*").select(*[c.split()[0] for c in PROC.split(", ")])
+    acct = side.select("*", F.format_string("q%05d", "k").alias("accounting_id"), F.lit("payment_observed").alias("event_type"), F.when(F.col("k") % 3 == 0, F.format_string("t%05d", "k")).otherwise("").alias("ref_no"), F.col("day").alias("acct_date")).select(*[c.split()[0] for c in ACCT.split(", ")])
+    return proc, acct
+
+
+#: The queries of pairs: operator and columns of pairs.
+PAIRS = {
+    "amount_candidates": (lambda p, a: M.candidates(p, a, columns=["accounting_id"]), ["n_amount", "conflict"]),
+}
+
+
+@pytest.mark.parametrize("name", list(PAIRS))
+def test_pairs_of_one_block_are_dealt_out_and_small_on_disk(spark, tmp_path, name):
+    """A block of two million pairs is made by several tasks, and its files have few bits a pair."""
+    made, columns = PAIRS[name]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = made(*_block(spark)).select("processor_payment_id", "accounting_id", *columns)
+        tasks = [x.n for x in pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        pairs.write.parquet(f"{tmp_path}/pairs")
+        assert pairs.select("processor_payment_id", "accounting_id").distinct().count() == sum(tasks)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert sum(tasks) == 1499**2 + 1 or name == "score_engine_c"
+    assert len(tasks) > 1 and max(tasks) < 0.5 * sum(tasks)
+    assert size < 0.4 * sum(tasks)
+
+
+@pytest.mark.parametrize("chunk, parts", [(1, 1), (7, 40), (512, 256)])
+def test_pairs_are_the_plain_join(spark, monkeypatch, chunk, parts):
+    monkeypatch.setattr(M, "CHUNK", chunk)
+    monkeypatch.setattr(M, "PARTS", parts)
+    p, a = _crowd(spark, 9)
+    want = sorted((x[1], y[2], x[5], y[6], y[4]) for x in p.collect() for y in a.collect() if x[0] == y[1] and x[4] is not None and abs(x[4]) == abs(y[5]))
+    got = M.candidates(p, a).select("processor_payment_id", "accounting_id", "proc_date", "acct_date", "ref_no").collect()
+    order = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert order(got) == order(want) and len(want) > 2000
+    n = {}
+    for x in want:
+        n[x[0]] = n.get(x[0], 0) + 1
+    assert all(x.n_amount == n[x.processor_payment_id] for x in M.candidates(p, a).select("processor_payment_id", "n_amount").distinct().collect())
+
+
 def _decisions(proc, acct):
     """Engine A as a plain loop."""
     out = {}
