@@ -164,6 +164,7 @@ def _block(spark, n=1500):
 PAIRS = {
     "amount_candidates": (lambda p, a: M.candidates(p, a, columns=["accounting_id"]), ["n_amount", "conflict"]),
     "name_identity_score": (lambda p, a: M.candidates(p, a, columns=["accounting_id", "_b"]).withColumn("points", S.points_of(F.col("_a"), F.col("_b"))), ["points"]),
+    "score_engine_a": (lambda p, a: M.scored(M.candidates(p, a, signed=True, columns=["accounting_id", "_b"]), "a"), ["score", "level"]),
 }
 
 
