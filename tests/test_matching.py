@@ -166,6 +166,7 @@ PAIRS = {
     "name_identity_score": (lambda p, a: M.candidates(p, a, columns=["accounting_id", "_b"]).withColumn("points", S.points_of(F.col("_a"), F.col("_b"))), ["points"]),
     "score_engine_a": (lambda p, a: M.scored(M.candidates(p, a, signed=True, columns=["accounting_id", "_b"]), "a"), ["score", "level"]),
     "score_engine_c": (lambda p, a: M.scored(M.candidates(p, a, columns=["accounting_id", "_b"]), "c"), ["score", "level"]),
+    "score_engine_b": (lambda p, a: M.scored(M.candidates(p, a, signed=True, near=7, columns=["accounting_id", "_b"]), "b"), ["identity", "score", "level"]),
 }
 
 
