@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -204,6 +205,26 @@ def test_pairs_are_the_plain_join(spark, monkeypatch, chunk, parts):
     assert all(x.n_amount == n[x.processor_payment_id] for x in M.candidates(p, a).select("processor_payment_id", "n_amount").distinct().collect())
 
 
+@pytest.mark.parametrize("strategy", ["a", "b", "c"])
+def test_pairs_are_handed_on_as_they_are_made(spark, strategy):
+    """The join of chunks and packs is not in the stage that makes pairs, which would hold those of a chunk with a whole part."""
+    p, a = _crowd(spark, 10)
+    pairs = M.candidates(p, a, signed=strategy != "c", near=7 if strategy == "b" else None)
+    df = M.scored(pairs, strategy).select("processor_payment_id", "accounting_id", "score")
+    assert df.count() > 500 and df.collect()
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"SortMergeJoin.* \[_part", x)]
+    assert joins and not any("*(" in x for x in joins)
+
+
+def test_pairs_have_only_what_is_asked_for(spark):
+    """Fewer columns and keys, the same scores."""
+    p, a = _crowd(spark, 11)
+    for strategy, near in (("a", None), ("b", 7)):
+        rows = lambda df: sorted(map(tuple, M.scored(df, strategy).select("processor_payment_id", "accounting_id", "score", "level").collect()))  # noqa: B023, E731
+        few = M.candidates(p, a, signed=True, near=near, columns=["accounting_id", "_b"], own=["processor_payment_id", "_a"], keys=("email",))
+        assert rows(few) == rows(M.candidates(p, a, signed=True, near=near)) and "name" not in few.select("_b.*").columns
+
+
 def _decisions(proc, acct):
     """Engine A as a plain loop."""
     out = {}
