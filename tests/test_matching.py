@@ -216,6 +216,17 @@ def test_pairs_are_handed_on_as_they_are_made(spark, strategy):
     assert joins and not any("*(" in x for x in joins)
 
 
+def test_likely_points_are_the_points(spark):
+    """Marks only save looking at texts: names shorter than a piece, other letters, blanks and nulls too."""
+    names = ["Ann Lee", "Lee, Ann", "lee  ann", "Ann", "An", "n", "nn", None, "", "  ", "Cy Orr of Malmö", "Orr of Malmö", "ö", "Malmö O", "aaa", "aaaa", "Customer#000000012 X", "Customer#000000012", "Customer#000000021"]
+    one = spark.createDataFrame([(m, n) for m in (None, "", "a@x.org", "A@X.org") for n in names], "email string, name string")
+    keys = S.identity_keys(F.col("email"), F.col("name"))
+    side = lambda c: one.select(S.marks(keys, ("email", "name", "words")).alias(c))
+    a, b = F.col("a"), F.col("b")
+    got = side("a").crossJoin(side("b")).groupBy(S.likely_points(a, b).alias("likely"), S.points_of(a, b).alias("points")).count().collect()
+    assert all(x.likely == x.points for x in got) and {x.points for x in got} == {0, 12, 25}
+
+
 def test_pairs_have_only_what_is_asked_for(spark):
     """Fewer columns and keys, the same scores."""
     p, a = _crowd(spark, 11)
