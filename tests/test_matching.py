@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+import time
 from decimal import Decimal
 
 import pytest
@@ -288,6 +289,34 @@ def test_what_is_kept_is_not_broadcast_by_the_size_of_its_files(spark):
     assert "BroadcastHashJoin" not in _nodes(other.join(table.where("id > 5"), "id")) and table.count() == 200_000
 
 
+def test_what_is_kept_leaves_no_shuffle_files(spark):
+    """They are many times the table's size, and else stay until the driver happens to collect its garbage."""
+    held = lambda: {str(f.getName()) for f in map(files().apply, range(files().size())) if str(f.getName()).startswith("shuffle_")}
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    before = held()
+    table = kept(spark.range(100_000, numPartitions=4).groupBy((F.col("id") % 5000).alias("g")).agg(F.max("id").alias("m")), "test")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and table.count() == 5000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("query", ["best_by_keys", "top_by_keys"])
+def test_facts_are_dealt_once_after_the_rest_is_written(spark, query):
+    """What is left to the result's own job is one join: facts, with the row that refers to them, and the best of what is found by identity and day."""
+    p, a = _crowd(spark, 7)
+    one = a.where("ref_no is null or ref_no = ''").union(a.where("ref_no <> ''").dropDuplicates(["ref_no"]))
+    assert _nodes(getattr(M, query)(p, one)).count("Exchange hashpartitioning") <= 2
+
+
+def test_facts_that_are_there_twice_count_twice(spark):
+    p, a = _crowd(spark, 8)
+    other = p.where("processor_payment_id < 't020'").withColumn("proc_date", F.date_add("proc_date", 3))
+    p = p.union(p.where("processor_payment_id < 't040'")).union(other)
+    assert sorted(map(str, M.best_by_keys(p, a).collect())) == sorted(map(str, M.best(M.scored(M.candidates(p, a), "c")).collect()))
+
+
 @pytest.mark.parametrize("query", ["best_by_keys", "top_by_keys"])
 def test_copies_of_facts_and_rows_meet_once(spark, query, monkeypatch):
     """Sixty copies of a fact and of its row are one cell each (five rows, where five are asked for), and not their product."""
