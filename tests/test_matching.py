@@ -310,6 +310,11 @@ def test_facts_are_dealt_once_after_the_rest_is_written(spark, query):
     assert _nodes(getattr(M, query)(p, one)).count("Exchange hashpartitioning") <= 2
 
 
+def test_sections_join_what_is_written(spark):
+    """Two joins of facts with written tables; the searches' shuffles would stay on disk beside them."""
+    assert 1 <= _nodes(M.sections(*_crowd(spark, 9))).count("Exchange hashpartitioning") <= 4
+
+
 def test_facts_that_are_there_twice_count_twice(spark):
     p, a = _crowd(spark, 8)
     other = p.where("processor_payment_id < 't020'").withColumn("proc_date", F.date_add("proc_date", 3))
