@@ -333,6 +333,17 @@ def test_copies_of_facts_and_rows_meet_once(spark, query, monkeypatch):
     assert got.count() == (60 if query == "best_by_keys" else 300) and met[0] <= 5
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_copies_meet_once_in_the_run(spark, monkeypatch, most):
+    """Sixty copies of a fact and forty of its row, of two days, are decided as the loop does, but found as kinds and not one by one."""
+    met = []
+    monkeypatch.setattr(M, "identity_pairs", lambda p, a, block, plain=M.identity_pairs: met.append(plain(p, a, block).count()) or plain(p, a, block))
+    proc = [("w", f"t{i:03}", "payment", "card", Decimal(5), DAY + datetime.timedelta(i % 2), "a@x.org", "Ann Lee") for i in range(60)]
+    acct = [(i, "w", f"q{i:03}", "payment_observed", "", Decimal(5), DAY + datetime.timedelta(i % 2), "a@x.org", "Ann Lee") for i in range(40)]
+    got = {g[0]: tuple(g)[1:] for g in M.run(spark.createDataFrame(proc, PROC), spark.createDataFrame(acct, ACCT), most=most).collect()}
+    assert got == loop(proc, acct, set()) and met[0] <= 4
+
+
 def test_a_reference_to_another_amount_empties_that_pool(spark):
     proc = [("w", "t1", "payment", "card", Decimal(10), DAY, None, "Ann"), ("w", "t2", "payment", "card", Decimal(20), DAY, None, "Ann")]
     acct = [(1, "w", "q1", "payment_observed", "t1", Decimal(20), DAY, None, "Ann"), (2, "w", "q2", "payment_observed", "", Decimal(20), DAY, None, "An")]
